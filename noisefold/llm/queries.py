@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noisefold.llm import bpe, packing, simhash
+from noisefold.llm import bpe, kneserney, packing, simhash, toxicity
 from noisefold.llm.common import load, ship
 
 
@@ -19,10 +20,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneserney.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    crf = toxicity.fit_on(docs, load(spark, sf_dir, "labels"))
+    return toxicity.score(docs, crf).select("doc_id", toxicity.is_held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -32,7 +43,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op4_bpe, op5_packing, op8_simhash)}
+    return {f.__name__: _shipped(f) for f in (op4_bpe, op5_packing, op7_quality, op8_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
