@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefold.llm import bpe, kneserney, packing, simhash, toxicity
+from noisefold.llm import bpe, kneserney, packing, simhash, substring, toxicity, warc
 from noisefold.llm.common import load, ship
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(load(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,6 +32,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(load(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     crf = toxicity.fit_on(docs, load(spark, sf_dir, "labels"))
@@ -43,7 +52,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op4_bpe, op5_packing, op7_quality, op8_simhash, op10_toxicity)}
+    return {f.__name__: _shipped(f) for f in (op1_substring, op4_bpe, op5_packing, op7_quality, op8_simhash, op9_warc, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
