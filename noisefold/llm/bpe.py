@@ -1,6 +1,6 @@
 """Operator 4: BPE encoding and decoding by a prefix-sharing traversal of the trie of distinct words.
 
-The last token of a prefix's encoding is fixed by the prefix alone: it is the one vocabulary token t that ends the prefix such that (last token of the rest, t) is what merging that pair's symbols gives back. So one traversal of the trie, depth first, settles the last token of every node from nodes above it, and the encoding of a prefix that many words share is computed once. The end-of-word suffix is one more step below a word's last node.
+The last token of a prefix's encoding is fixed by the prefix alone: it is the one vocabulary token t that ends the prefix such that (last token of the rest, t) is what merging that pair's symbols gives back. So one traversal of the trie, depth first, settles the last token of a node from nodes above it, and the encoding of a prefix that many words share is computed once. The end-of-word suffix is one more step below a word's last node.
 
 Words of a batch that the worker hasn't met lately form one trie; their encodings go to a bounded dictionary. Every text is then a join of its words' strings.
 """
@@ -25,7 +25,7 @@ ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class TrieBpe:
     """A word-level BPE read from a tokenizers file with an end-of-word suffix."""
 
-    def __init__(self, tokenizer_file: str, keep: int = 320_000):
+    def __init__(self, tokenizer_file: str, keep: int = 600_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -91,55 +91,52 @@ class TrieBpe:
             got = self.fits[a, b] = self._merged([*self._symbols(a), *self._symbols(b)]) == [a, b]
         return got
 
-    def _last(self, tail: str, n: int, states: list[str], final: bool) -> str:
-        """The last token of a prefix of n characters with the end `tail`, from states: the last token of each shorter prefix by its length."""
-        tokens, fits, m = self.final if final else self.inner, self.fits, len(tail)
-        for size in range(min(m, self.reach[final].get(tail[-2:], 1)), 0, -1):
-            token = tokens.get(tail[m - size :])
+    def _last(self, word: str, n: int, states: list[str | None], final: bool) -> str:
+        """The last token of word[:n] (final: of the whole word with its end), from the last tokens of shorter prefixes; those not asked for before are settled first."""
+        tokens, fits = self.final if final else self.inner, self.fits
+        for size in range(min(n, self.reach[final].get(word[max(0, n - 2) : n], 1)), 0, -1):
+            token = tokens.get(word[n - size : n])
             if token is not None:
                 if size == n:
-                    good = self._merged(self._symbols(token)) == [token]
-                else:
-                    good = fits.get((states[n - size], token))
-                    if good is None:
-                        good = self._pair_fits(states[n - size], token)
-                if good:
+                    if self._merged(self._symbols(token)) == [token]:
+                        return token
+                    continue
+                before = states[n - size]
+                if before is None:
+                    before = states[n - size] = self._last(word, n - size, states, False)
+                good = fits.get((before, token))
+                if good or (good is None and self._pair_fits(before, token)):
                     return token
-        raise ValueError(f"no token ends {tail!r}")
+        raise ValueError(f"no token ends {word[:n]!r}")
 
     def encode_trie(self, words: set[str]) -> dict[str, list[str]]:
-        """Tokens of each distinct word (in byte symbols). The trie's nodes are kept as {character: child}; a node's word flag is the key ''."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for c in word:
-                below = node.get(c)
-                if below is None:
-                    below = node[c] = {}
-                node = below
-            node[""] = word
+        """Tokens of each distinct word (in byte symbols).
+
+        The sorted words are their trie in depth-first order: going from one to the next climbs to the node of their common prefix, whose states stay, and descends along the rest.
+        """
         out: dict[str, list[str]] = {}
-        states = [""]  # last token of the path's prefix of each length
-        longest, skip = self.longest, len(self.end)
-        stack: list[tuple[str, int, dict]] = [("", 0, root)]
-        while stack:
-            tail, depth, node = stack.pop()
-            word = node.get("")
-            if depth:
-                del states[depth:]
-                if word is None or len(node) > 1:  # with nothing below, the final token is all that is asked
-                    states.append(self._last(tail, depth, states, False))
-            if word is not None:
-                token = self._last(tail, depth, states, True)
-                tokens, at = [token], depth - (len(token) - skip)
-                while at:
-                    token = states[at]
-                    tokens.append(token)
-                    at -= len(token)
-                out[word] = tokens[::-1]
-            for c, child in node.items():
-                if c:
-                    stack.append(((tail + c)[-longest:], depth + 1, child))
+        states: list[str | None] = [""]  # by depth: the last token of the path's prefix
+        skip, above = len(self.end), ""
+        for word in sorted(words):
+            n, shared = len(word), 0
+            for a, b in zip(above, word):
+                if a != b:
+                    break
+                shared += 1
+            del states[shared + 1 :]
+            states += [None] * (n - len(states))
+            if n > 200:  # settle long paths from the top, without recursion
+                for d in range(1, n):
+                    if states[d] is None:
+                        states[d] = self._last(word, d, states, False)
+            token = self._last(word, n, states, True)
+            tokens, at = [token], n - (len(token) - skip)
+            while at:
+                token = states[at]
+                tokens.append(token)
+                at -= len(token)
+            out[word] = tokens[::-1]
+            above = word
         return out
 
     def _chunks(self, text: str) -> list[str]:
@@ -192,7 +189,7 @@ def trie_bpe(tokenizer_file: str) -> TrieBpe:
     return TrieBpe(tokenizer_file)
 
 
-def encode_texts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", chars_at_once: int = 1 << 22) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", chars_at_once: int = 6_000_000) -> DataFrame:
     """Per document: doc_id, n_tokens, ids (decimal, joined by one space), decoded (the tokens as the tokenizer's decode joins them).
 
     Null texts count as empty: no tokens, empty strings. Special tokens' strings in a text are those tokens, as the library has it. Repeated rows and null ids give rows of their own; other columns are ignored; an empty table gives no rows.
@@ -200,7 +197,7 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     return _mapped(docs, tokenizer_file, id_col, text_col, chars_at_once, "doc_id long, n_tokens long, ids string, decoded string", lambda n, ids, decoded: (n, ids, decoded))
 
 
-def encode_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", chars_at_once: int = 1 << 22) -> DataFrame:
+def encode_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", chars_at_once: int = 6_000_000) -> DataFrame:
     """encode_texts with the SHA-256 (lowercase hex) of the ids and of the decoded text in their place, so that long texts don't leave the worker."""
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     return _mapped(docs, tokenizer_file, id_col, text_col, chars_at_once, ENCODED, lambda n, ids, decoded: (n, sha(ids), sha(decoded)))
