@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefold.llm import bpe, capfilter, kneserney, packing, simhash, substring, topk, toxicity, warc
+from noisefold.llm import bpe, capfilter, kneserney, licenses, packing, simhash, substring, topk, toxicity, warc
 from noisefold.llm.common import load, ship
 
 
@@ -16,6 +16,10 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.passages(load(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -60,7 +64,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_substring, op3_topk, op4_bpe, op5_packing, op6_caps, op7_quality, op8_simhash, op9_warc, op10_toxicity)}
+    return {f.__name__: _shipped(f) for f in (op1_substring, op2_licenses, op3_topk, op4_bpe, op5_packing, op6_caps, op7_quality, op8_simhash, op9_warc, op10_toxicity)}
 
 
 _VECTORS = """v AS (

@@ -210,6 +210,19 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id long, score double, n_tokens long, spans {SPAN_TYPE}")
 
 
+def text_score(spark, crf: Crf):
+    """A column function: the score of each text, as score() gives it."""
+    sent = spark.sparkContext.broadcast(crf)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        known: dict[str, float] = {}
+        parts = [score_batch(pd.DataFrame({"doc_id": range(len(part)), "text": part}), sent.value, known, 2.0)["score"] for part in (texts.iloc[at : at + 1000] for at in range(0, len(texts), 1000))]
+        return pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype=float)
+
+    return scored
+
+
 def score_batch(pdf: pd.DataFrame, crf: Crf, known: dict[str, float], span_probability: float) -> pd.DataFrame:
     texts = [t or "" for t in pdf["text"]]
     tokens = [WORD.findall(t) for t in texts]
