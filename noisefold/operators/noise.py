@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +46,6 @@ def projection(q: int, target: int, *seed: object) -> np.ndarray:
 
 def times(df: DataFrame, matrix: np.ndarray, col: str = "features", shift: np.ndarray | None = None) -> DataFrame:
     """Each vector, less shift, times the matrix, in Arrow batches."""
-    import pandas as pd
-
     sent = df.sparkSession.sparkContext.broadcast((np.asarray(matrix, float), None if shift is None else np.asarray(shift, float)))  # model sized
 
     @F.pandas_udf("array<double>")

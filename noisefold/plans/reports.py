@@ -147,8 +147,8 @@ def main_table(df: DataFrame, wanted: Sequence[float], names: Sequence[str], val
 def wide_table(df: DataFrame, dataset: str, budgets: Sequence[float], values: Sequence[str] = ("f1", "sse_x")) -> DataFrame:
     """method and one column {value}@{eps} per value and budget, - where there is none."""
     some = df.where(F.col("dataset") == dataset)
-    cells = some.groupBy("method").pivot("eps_tot", list(budgets)).agg(*(F.format_string("%.3f", F.avg(v)).alias(v) for v in values))
-    return cells.select("method", *(F.when(F.col(f"`{e}_{v}`").isNull() | (F.col(f"`{e}_{v}`") == "null"), "-").otherwise(F.col(f"`{e}_{v}`")).alias(f"{v}@{e}") for e in budgets for v in values))
+    cells = some.groupBy("method").pivot("eps_tot", list(budgets)).agg(*(F.when(F.avg(v).isNotNull(), F.format_string("%.3f", F.avg(v))).alias(v) for v in values))
+    return cells.select("method", *(F.coalesce(F.col(f"`{e}_{v}`"), F.lit("-")).alias(f"{v}@{e}") for e in budgets for v in values))
 
 
 def axis_bounds(summary_: DataFrame, by: Sequence[str], value: str, low: float | None = None, high: float | None = None, pad: float = 0.08) -> DataFrame:

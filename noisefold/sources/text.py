@@ -42,10 +42,12 @@ def sparse_rows(lines: DataFrame, width: int = 128, value: str = "value") -> Dat
     text = F.trim(value)
     tokens = F.split(text, r"\s+")
     head = F.split(F.element_at(tokens, 1), ";")
-    pairs = F.transform(F.filter(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: F.instr(t, ":") > 0), lambda t: F.split(t, ":"))
-    outside = F.exists(pairs, lambda p: ~F.element_at(p, 1).cast("int").between(1, width))
-    at = lambda i: F.element_at(F.filter(pairs, lambda p: F.element_at(p, 1).cast("int") == i), -1)
-    dense = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.coalesce(F.when(F.exists(pairs, lambda p: F.element_at(p, 1).cast("int") == i), F.element_at(at(i), 2).cast("double")), F.lit(0.0)))
+    entry = lambda t: F.struct(F.element_at(F.split(t, ":"), 1).cast("int").alias("i"), F.element_at(F.split(t, ":"), 2).cast("double").alias("x"))
+    parsed = F.transform(F.filter(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: F.instr(t, ":") > 0), entry)
+    # A lambda's argument is evaluated once, so the entries are parsed once for all positions.
+    bound = lambda f: F.transform(F.array(parsed), f)[0]
+    outside = bound(lambda p: F.exists(p, lambda e: ~e["i"].between(1, width)))
+    dense = bound(lambda p: F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.coalesce(F.try_element_at(F.filter(p, lambda e: e["i"] == i), F.lit(-1))["x"], F.lit(0.0))))
     checked = F.when(F.size(head) < 2, F.raise_error(F.concat(F.lit("no class;concentration: "), text)).cast(T.ArrayType(T.DoubleType()))).when(outside, F.raise_error(F.concat(F.lit("index out of range: "), text)).cast(T.ArrayType(T.DoubleType()))).otherwise(dense)
     return lines.where(text != "").withColumn("features", checked).withColumn("label", F.element_at(head, 1).cast("int") - 1).withColumn("concentration", F.try_element_at(head, F.lit(2)).cast("double")).drop(value)
 
