@@ -9,9 +9,9 @@ The fit uses a bounded sample: at most `max_docs` labelled rows by hash of their
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,38 +89,53 @@ class Crf:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log(p / (1 - p)) + self.offset, -40, 40)))
 
 
-def _without_copies(texts: list[list[str]]) -> list[int]:
-    """Indices of texts, leaving out exact and near copies of earlier ones: two of three min-hashes of their word triples agree."""
-    seen: list[set[int]] = [set(), set(), set()]
-    keep = []
-    for i, words in enumerate(texts):
-        h = np.array([xxh64_intdigest(" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))], np.uint64)
-        keys = [int((h * np.uint64(m)).min()) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-        if sum(k in s for k, s in zip(keys, seen)) < 2:
-            keep.append(i)
-        for k, s in zip(keys, seen):
-            s.add(k)
-    return keep
+def _seen_before(words: list[str], seen: list[set[int]]) -> bool:
+    """Whether a text is an exact or near copy of an earlier one: two of three min-hashes of its word triples were there before."""
+    h = np.array([xxh64_intdigest(" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))], np.uint64)
+    keys = [int((h * np.uint64(m)).min()) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    found = sum(k in s for k, s in zip(keys, seen)) >= 2
+    for k, s in zip(keys, seen):
+        s.add(k)
+    return found
+
+
+def _steps(sizes: np.ndarray) -> np.ndarray:
+    """0..n-1 for each n of sizes, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def fit(texts: list[str], toxic: list[int], max_tokens: int = 600_000, rounds: int = 80, evidence: float = 10.0) -> Crf:
-    """Train on labelled documents (on the driver: the sample is bounded). Without both labels the field scores everything as clean."""
-    words = [WORD.findall((t or "").lower()) for t in texts]
-    keep = [i for i in _without_copies(words) if words[i]]
-    docs, y = [words[i] for i in keep], np.array([toxic[i] for i in keep])
+    """Train on labelled documents. Without both labels the field scores everything as clean."""
+    number: dict[str, int] = {}
+    docs, y, seen = [], [], [set(), set(), set()]
+    for text, v in zip(texts, toxic):
+        words = WORD.findall((text or "").lower())
+        if words and not _seen_before(words, seen):
+            docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+            y.append(v)
+    y = np.array(y)
     crf = Crf(np.zeros(BUCKETS, np.float32), np.array([-4.0, 0.0, -1.0, -4.0]), -2.0, 1.0, -5.0)
     if not len(y) or y.min() == y.max():
         return crf
-    seen: list[Counter] = [Counter(), Counter()]
+    # Documents of each class that have a feature.
+    sizes = np.fromiter((len(set(parts(w))) for w in number), np.int64, len(number))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.fromiter((xxh64_intdigest(p) for w in number for p in set(parts(w))), np.uint64, int(ends[-1]))
+    names, flat = np.unique(flat, return_inverse=True)
+    flat = flat.astype(np.int32)
+    counts = np.zeros((2, len(names)), np.int32)
     for d, v in zip(docs, y):
-        seen[v].update({p for w in set(d) for p in parts(w)})
+        own = np.unique(d)
+        at = np.repeat(ends[own], ends[own + 1] - ends[own]) + _steps(ends[own + 1] - ends[own])
+        counts[v, np.unique(flat[at])] += 1
     prior = y.mean()
-    marks = set()
-    for p, n in seen[1].items():
-        m = seen[0][p]
+    n, m = counts[1].astype(float), counts[0].astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
         share = n / (n + m)
-        if share >= 0.98 and n * np.log(share / prior) + (m * np.log((1 - share) / (1 - prior)) if m else 0.0) >= evidence:
-            marks.add(p)
+        ratio = n * np.log(share / prior) + np.where(m > 0, m * np.log((1 - share) / (1 - prior)), 0.0)
+    strong = (share >= 0.98) & (ratio >= evidence)
+    marked = np.maximum.reduceat(strong[flat], ends[:-1])
+    del counts, n, m, share, ratio, flat, names
     order, used, chosen = np.argsort(-y, kind="stable"), 0, []
     n_toxic = int(y.sum())
     for k in [x for pair in zip(order[:n_toxic], order[n_toxic:]) for x in pair] + list(order[n_toxic + min(n_toxic, len(y) - n_toxic) :]):
@@ -128,14 +143,14 @@ def fit(texts: list[str], toxic: list[int], max_tokens: int = 600_000, rounds: i
             continue
         chosen.append(k)
         used += len(docs[k])
-    number: dict[str, int] = {}
-    token = np.array([number.setdefault(w, len(number)) for k in chosen for w in docs[k]])
-    starts = np.zeros(len(token), bool)
+    token = np.concatenate([docs[k] for k in chosen])
+    used_words, token = np.unique(token, return_inverse=True)
     lengths = np.array([len(docs[k]) for k in chosen])
+    starts = np.zeros(len(token), bool)
     starts[np.cumsum(lengths) - lengths] = True
-    marked = np.array([any(p in marks for p in parts(w)) for w in number])
-    tags = (marked[token] & np.repeat(y[chosen] == 1, lengths)).astype(float)
-    rows = [buckets(w) for w in number]
+    tags = (marked[used_words][token] & np.repeat(y[chosen] == 1, lengths)).astype(float)
+    spelled = list(number)
+    rows = [buckets(spelled[w]) for w in used_words]
     flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), list(map(len, rows)))
     # Adam on the conditional log-likelihood, all tokens at once.
     theta, moves, bias = np.zeros(BUCKETS), crf.moves.copy(), crf.bias
@@ -161,7 +176,7 @@ def fit(texts: list[str], toxic: list[int], max_tokens: int = 600_000, rounds: i
         theta, moves, bias = theta - step[:BUCKETS], np.clip(moves - step[BUCKETS : BUCKETS + 4], -12, 12), bias - step[-1]
     crf.weights, crf.moves, crf.bias = theta.astype(np.float32), moves, float(bias)
     # Logistic calibration of the highest marginal's logit on the sample's documents.
-    emission = np.array([crf.emission(w) for w in number])[token]
+    emission = np.array([crf.emission(spelled[w]) for w in used_words])[token]
     top = np.clip(np.maximum.reduceat(crf.marginals(emission, starts), np.flatnonzero(starts)), 1e-9, 1 - 1e-9)
     x, t = np.log(top / (1 - top)), y[chosen]
     a, b = 0.5, 0.0
@@ -178,20 +193,27 @@ def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 12_000, max_chars: int = 24_000_000, **how) -> Crf:
+def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 12_000, max_chars: int = 12_000_000, **how) -> Crf:
     """Fit on labelled rows that aren't held out: at most max_docs rows, first by hash of the id, and of these whole texts up to max_chars in all. Ids or labels that are null are left out; an id labelled more than once counts as toxic if any row says so."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).where(~is_held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(max_docs)
-    # At most max_docs rows from here on; longer ones than the sample's share are never cut, only left for others.
-    got, used = [], 0
-    for row in rows.toLocalIterator():
-        if used + len(row["_text"]) <= max_chars:
-            got.append(row)
-            used += len(row["_text"])
-    return fit([r["_text"] for r in got], [r["_toxic"] for r in got], **how)
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, toxic, used = [], [], 0
+        for pdf in batches:
+            for text, v in zip(pdf["_text"], pdf["_toxic"]):
+                if used + len(text) <= max_chars:  # whole texts only
+                    texts.append(text)
+                    toxic.append(int(v))
+                    used += len(text)
+        yield pd.DataFrame({"model": [pickle.dumps(fit(texts, toxic, **how))]})
+
+    # The sample is one partition of at most max_docs rows; one task trains on it, and the driver gets the weights.
+    got = rows.select("_text", "_toxic").coalesce(1).mapInPandas(train, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([], [])
 
 
-def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text", span_probability: float = 0.5, keep: int = 300_000) -> DataFrame:
+def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text", span_probability: float = 0.5, keep: int = 150_000) -> DataFrame:
     """doc_id, score (0 to 1), n_tokens and spans: start, end (characters in the text, end exclusive) and probability of each run of tokens whose marginal is at least span_probability.
 
     Null and empty texts have no tokens and get the score of a marginal near zero. Texts are scored whole. Repeated rows and null ids give rows of their own; other columns are ignored; an empty table gives no rows.
@@ -201,8 +223,8 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         crf, known = sent.value, {}
         for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                some = pdf.iloc[at : at + 1000]
+            for at in range(0, len(pdf), 500):
+                some = pdf.iloc[at : at + 500]
                 yield score_batch(some, crf, known, span_probability)
                 if len(known) > keep:
                     known.clear()
