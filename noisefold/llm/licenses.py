@@ -69,8 +69,12 @@ class Index:
         self.places = dict(places)
         self.keys = np.array(sorted(places), np.uint64)
 
+    def band(self, name: str, band: int) -> int:
+        """The band for a template: narrow for short ones, whose copies may follow each other."""
+        return min(band, max(1, len(self.words[name]) // 3))
+
     def regions(self, words: np.ndarray, band: int = BAND) -> list[tuple[str, int]]:
-        """(template, diagonal) of candidate places: hits of one template within a band are one candidate."""
+        """(template, diagonal) of candidate places: hits of one template within its band are one candidate."""
         h = grams(words)
         if not len(h) or not len(self.keys):
             return []
@@ -84,7 +88,7 @@ class Index:
         for name, found in sorted(diagonals.items()):
             last = None
             for d in sorted(found):
-                if last is None or d - last > band // 2:
+                if last is None or d - last > self.band(name, band):
                     out.append((name, d))
                     last = d
         return out
@@ -127,7 +131,7 @@ def find(text: str, index: Index, known: WordHashes, coverage: float, band: int)
     found = []
     for name, diagonal in index.regions(words, band):
         template = index.words[name]
-        start, end, matched = align(template, words, diagonal, band)
+        start, end, matched = align(template, words, diagonal, index.band(name, band))
         if matched >= coverage * len(template):
             found.append((name, start, end, matched, len(template)))
     kept: list[tuple] = []
