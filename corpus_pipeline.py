@@ -19,28 +19,33 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents whose perplexity exceeds their language's threshold go."""
+    ship(spark)
     return _without(docs, kneserney.classify(docs, load(spark, sf_dir, "labels")).where("not kept"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that score 0.5 or more go."""
+    ship(spark)
     crf = toxicity.fit_on(docs, load(spark, sf_dir, "labels"))
     return docs.where(toxicity.text_score(spark, crf)(F.col("text")) < 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: of each group of near copies the document with the smallest id stays, as one row."""
+    ship(spark)
     kept = _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: passages that a document with a smaller id has too are cut out of the text."""
+    ship(spark)
     return substring.remove_passages(docs, substring.passages(docs), length_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: the pieces of the packed sequences."""
+    ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -57,7 +62,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         path = new_folder(spark, "stage")

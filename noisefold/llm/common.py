@@ -108,8 +108,10 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even when it is not on their path."""
+    """Let Python workers import this package even when it is not on their path, and hand them texts in small batches: ten thousand long ones at a time would be most of a worker's memory."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if getattr(sc, "_noisefold_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == root:
         return

@@ -35,7 +35,7 @@ def codes(text: str, order: int = ORDER) -> np.ndarray:
     return out
 
 
-def _batches(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _batches(texts: list[str], chars: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows from, to; their n-grams; the row of each n-gram. Long texts are a batch of their own."""
     at = 0
     while at < len(texts):
