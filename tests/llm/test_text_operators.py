@@ -76,6 +76,17 @@ def test_many_copies_of_a_passage(spark):
     assert all((r["start_word"], r["end_word"]) == (30, 100) for r in got)
 
 
+def test_runs_and_pieces_of_several_anchors(spark):
+    shared = noise("p", 90)
+    texts = [noise("a", 40) + ["the"] * 120 + noise("b", 30), noise("c", 20) + ["the"] * 75 + noise("d", 30)]
+    texts += [noise(f"e{k}", 30) + shared[22 * k : 22 * k + 26] + noise(f"f{k}", 30) for k in range(4)] + [noise("g", 10) + shared + noise("h", 10)]
+    lines = noise("l", 12)
+    texts += [lines * 8, noise("i", 20) + lines * 7]
+    got = {r["doc_id"]: (r["start_word"], r["end_word"]) for r in substring.passages(documents(spark, [" ".join(t) for t in texts])).collect()}
+    assert got[1] == (20, 95) and got[8] == (20, 104) and set(got) == {1, 6, 8}
+    assert got[6][0] <= 14 and got[6][1] >= 98
+
+
 def test_passages_can_be_removed(spark):
     shared = noise("p", 70)
     docs = documents(spark, [" ".join(shared), "one two\nthree " + " ".join(shared) + " four  five", " ".join(shared), "", None], odd=True)
