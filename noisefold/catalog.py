@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from noisefold.functions import rng, schedules, vectors
 from noisefold.operators import alternatives, kmeans, metrics, noise, prep, reduction, seeding, significance, stats
 from noisefold.plans import methods, reports
-from noisefold.sources import runs, synthetic, tables, text
+from noisefold.sources import runs, sinks, synthetic, tables, text
 from noisefold.streaming import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +155,27 @@ def k1_append_results(spark, d):
     return runs.append_results(one, one.where("seed >= 10").withColumn("f1", F.col("f1") + 1), ["dataset", "method", "eps_tot", "seed"])
 
 
+@query(f"WITH {R} SELECT dataset, method, ~(eps_tot) AS eps, seed, ~(f1) AS macro_f1, ~(sse_x) AS sse, ~(runtime_ms_total / 1000) AS runtime FROM r")
+def s8_s9_aliased_runs(spark, d):
+    return runs.with_aliases(_r(spark, d).withColumnRenamed("f1", "F1_Macro").withColumnRenamed("dataset", "Data").withColumnRenamed("method", "Algorithm"))
+
+
+@query("SELECT p_partkey, p_brand AS first, ~(CAST(p_size AS DOUBLE)) AS eps, CAST(13 AS INT) AS n FROM part WHERE p_size % 7 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 3 <> 0")
+def s10_table_cells(spark, d):
+    p = tables.table(spark, d, "part")
+    rule = F.when(F.col("p_partkey") % 5 == 0, "\\midrule ").otherwise("")
+    eps = F.when(F.col("p_size") % 7 == 0, "n/a").otherwise(F.col("p_size").cast("string"))
+    rest = F.when(F.col("p_partkey") % 3 == 0, "1 & 2").otherwise(" & ".join(["0.5"] * 11))
+    lines = p.select("p_partkey", F.concat(rule, "p_brand", F.lit(" & "), eps, F.lit(" & "), rest, F.lit(" \\\\")).alias("value"))
+    return text.table_cells(lines).select("p_partkey", F.col("cells")[0].alias("first"), "eps", F.size("cells").alias("n"))
+
+
+@query("SELECT n_name || ' & ' || CAST(n_nationkey AS VARCHAR) || ' & ' || CASE WHEN n_regionkey = 2 THEN '--' ELSE CAST(n_regionkey AS VARCHAR) END || ' \\\\' AS line FROM nation")
+def k5_latex_rows(spark, d):
+    n = tables.table(spark, d, "nation").withColumn("n_regionkey", F.when(F.col("n_regionkey") != 2, F.col("n_regionkey")))
+    return sinks.latex_rows(n, ["n_name", "n_nationkey", "n_regionkey"])
+
+
 # ---- preparation ----
 
 
@@ -319,6 +340,12 @@ def a8_sse_own_means(spark, d):
     return spark.createDataFrame([(stats.sums_by(_e(spark, d), "label", 10).sse_own(),)], "sse double")
 
 
+@query(f"WITH {E} SELECT label AS cluster, dim, ~(avg(v)) AS x FROM el GROUP BY ALL")
+def a9_label_means(spark, d):
+    means = stats.sums_by(_e(spark, d), "label", 10).means()
+    return spark.createDataFrame([(j, i, float(x)) for j, row in enumerate(means) for i, x in enumerate(row) if row.any()], "cluster int, dim int, x double")
+
+
 @query("SELECT quality AS label, toxic AS cluster, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL")
 def a10_contingency(spark, d):
     return metrics.contingency(tables.table(spark, d, "labels"), "quality", "toxic")
@@ -489,6 +516,16 @@ def c18_subsample(spark, d):
     return noise.subsample(_l(spark, d), 0.3, 1500, "share").select("row_id")
 
 
+@query(f"WITH {L} SELECT row_id, " + ", ".join(f"~(greatest(-100, least(100, {c} + {_laplace('50.0', _q('box'), _v('row_id'), _q(i))}))) AS x{i}" for i, c in enumerate("abcd")) + " FROM l", 5)
+def c30_point_noise(spark, d):
+    return noise.point_noise_proxy(_l(spark, d), 4.0, 100.0, "box").select("row_id", *(F.col("features")[i].alias(f"x{i}") for i in range(4)))
+
+
+@query(f"WITH {E}, p AS (SELECT row_id FROM e ORDER BY {_u(_q('init'), _q('rows'), _v('row_id'))}, row_id LIMIT 5) SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS INT) AS pos, ~(v) AS first FROM p JOIN el USING (row_id) WHERE dim = 0")
+def c19_random_rows(spark, d):
+    return spark.createDataFrame([(i, float(c[0])) for i, c in enumerate(seeding.random_rows(_e(spark, d), 5, "init"))], "pos int, first double")
+
+
 def _pp_sql(k: int) -> str:
     """k-means++ by the largest ln(u) / d^2 in each round."""
     out = [f"WITH {E}", f"p0 AS MATERIALIZED (SELECT row_id FROM e ORDER BY {_u(_q('kpp'), _q('pp'), _q(0), _v('row_id'))}, row_id LIMIT 1)"]
