@@ -87,6 +87,20 @@ def test_runs_and_pieces_of_several_anchors(spark):
     assert got[6][0] <= 14 and got[6][1] >= 98
 
 
+def test_edited_passages_are_found(spark):
+    """Every passage with one word of n replaced, down to a similarity of 0.8."""
+    texts, lengths = [], {}
+    for n in (5, 6, 7, 10, 20):
+        for k in range(8):
+            shared, edited = noise(f"p{n} {k}", 60), noise(f"p{n} {k}", 60)
+            edited[n - 1 : 59 : n] = noise(f"q{n} {k}", len(edited[n - 1 : 59 : n]))
+            texts += [noise(f"a{n} {k}", 20) + shared + noise(f"b{n} {k}", 20), noise(f"c{n} {k}", 20) + edited + noise(f"d{n} {k}", 20)]
+            lengths[len(texts) - 1] = 60
+    got = {r["doc_id"]: r for r in substring.passages(documents(spark, [" ".join(t) for t in texts])).collect()}
+    assert set(got) == set(lengths)
+    assert all(r["ref_doc_id"] == d - 1 and abs(r["start_word"] - 20) <= 1 and abs(r["end_word"] - 80) <= 1 for d, r in got.items())
+
+
 def test_passages_can_be_removed(spark):
     shared = noise("p", 70)
     docs = documents(spark, [" ".join(shared), "one two\nthree " + " ".join(shared) + " four  five", " ".join(shared), "", None], odd=True)
