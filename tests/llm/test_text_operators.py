@@ -101,6 +101,17 @@ def test_edited_passages_are_found(spark):
     assert all(r["ref_doc_id"] == d - 1 and abs(r["start_word"] - 20) <= 1 and abs(r["end_word"] - 80) <= 1 for d, r in got.items())
 
 
+def test_a_passage_whose_seeds_stand_in_smaller_documents(spark):
+    """Every four, eight and fifteen words of it do, with other words around them: its two documents still meet."""
+    shared = noise("p", 60)
+    for size, step in ((4, 1), (8, 4), (15, 11)):
+        pieces = [shared[k : k + size] for k in range(0, 60 - 3, step)]
+        texts = [noise(f"a{k}", 20) + piece + noise(f"b{k}", 20) for k, piece in enumerate(pieces)]
+        texts += [noise("c", 30) + shared + noise("d", 30), noise("e", 20) + shared + noise("f", 20)]
+        got = [(r["doc_id"], r["ref_doc_id"], r["start_word"], r["end_word"]) for r in substring.passages(documents(spark, [" ".join(t) for t in texts])).collect()]
+        assert got == [(len(texts) - 1, len(texts) - 2, 20, 80)]
+
+
 def test_passages_can_be_removed(spark):
     shared = noise("p", 70)
     docs = documents(spark, [" ".join(shared), "one two\nthree " + " ".join(shared) + " four  five", " ".join(shared), "", None], odd=True)
