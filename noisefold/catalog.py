@@ -291,6 +291,17 @@ def a24_distance_quantiles(spark, d):
     return spark.createDataFrame(list(enumerate(alternatives.radius_candidates(pairs, [0.01, 0.02, 0.05]))), "pos int, radius double")
 
 
+@query()
+def j5_radius_graph_whole(spark, d):
+    return alternatives.radius_graph(_e(spark, d), 1.2)
+
+
+@query()
+def a24_distance_quantiles_2000(spark, d):
+    pairs = alternatives.pair_distances(noise.first_by_draw(_e(spark, d), 2000, "g"))
+    return spark.createDataFrame(list(enumerate(alternatives.radius_candidates(pairs, [0.01, 0.02, 0.05]))), "pos int, radius double")
+
+
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def j9_missing_tasks(spark, d):
     return runs.missing_tasks(tables.table(spark, d, "customer").select("c_custkey", "c_mktsegment"), tables.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])

@@ -20,6 +20,17 @@ def pair_distances(points: DataFrame) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.sqrt(vectors.distance2("_a", "_b")).alias("distance"))
 
 
+def radius_graph(points: DataFrame, radius: float, blocks: int = 8) -> DataFrame:
+    """a, b, distance of all pairs a < b within radius, over all rows: a row goes to the pairs of blocks that its own block is part of, and each pair of blocks compares its rows."""
+    own = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
+    points = points.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cell = points.select(F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "row_id", "features")
+    a, b = (cell.where(F.col("_own") == F.col(side)).select("i", "j", F.col("row_id").alias(n), F.col("features").alias(f"_{n}")) for n, side in (("a", "i"), ("b", "j")))
+    near = F.sqrt(vectors.distance2("_a", "_b"))
+    pairs = a.join(b, ["i", "j"]).where(F.when(F.col("i") == F.col("j"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), near.alias("distance")).where(F.col("distance") <= radius)
+
+
 def radius_candidates(pairs: DataFrame, shares: list[float]) -> list[float]:
     """Exact quantiles (linear interpolation) of the pair distances, positive and distinct, ascending."""
     found = pairs.agg(F.percentile("distance", F.array(*map(F.lit, shares))).alias("q")).first()["q"]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from noisefold import catalog
 from noisefold.operators import kmeans, prep, seeding, stats
 from noisefold.plans import methods
 from noisefold.sources import runs, sinks, synthetic, tables, text
@@ -139,3 +140,23 @@ def test_merged_configuration():
 def test_lineitem_reaches_the_scan_pruned(spark, tiny):
     plan = tables.lineitem_features(spark, tiny).where("label = 1")._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" not in plan.split("ReadSchema")[1]
+
+
+def whole_graph(spark, tiny):
+    rows = catalog._e(spark, tiny).select("row_id", "features").orderBy("row_id").collect()
+    x = np.array([r["features"] for r in rows], float)
+    i, j = np.triu_indices(len(x), 1)
+    return [r["row_id"] for r in rows], i, j, np.concatenate([np.sqrt(((x[k + 1 :] - x[k]) ** 2).sum(1)) for k in range(len(x))])
+
+
+def test_radius_graph_is_of_all_rows(spark, tiny):
+    ids, i, j, near = whole_graph(spark, tiny)
+    got = {(r["a"], r["b"]): r["distance"] for r in catalog.queries()["j5_radius_graph_whole"](spark, tiny).collect()}
+    assert set(got) == {(ids[i[k]], ids[j[k]]) for k in np.flatnonzero(near <= 1.2)}
+    assert all(got[ids[i[k]], ids[j[k]]] == pytest.approx(near[k], abs=1e-5) for k in np.flatnonzero(near <= 1.2))
+
+
+def test_distance_quantiles_are_of_all_rows(spark, tiny):
+    _, _, _, near = whole_graph(spark, tiny)
+    got = [r["radius"] for r in catalog.queries()["a24_distance_quantiles_2000"](spark, tiny).orderBy("pos").collect()]
+    assert got == pytest.approx(list(np.quantile(near, [0.01, 0.02, 0.05])), abs=1e-5)
