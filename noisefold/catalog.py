@@ -583,7 +583,7 @@ def c26_run_methods(spark, d):
 
 @query()
 def c32_density(spark, d):
-    return alternatives.density(_e(spark, d), 10, 50.0, "d", most=400, sample=300)[0].groupBy("cluster").agg(F.count("*").alias("n"))
+    return alternatives.density(_e(spark, d), 10, 50.0, "d")[0].groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -593,7 +593,7 @@ def c33_merged_kmeans(spark, d):
 
 @query()
 def c34_schedule_search(spark, d):
-    schedule, fitness = alternatives.search_schedule(prep.row_clip(_e(spark, d), 1.0), 5, 100.0, 4, 1.0, "ga", population=8, generations=3, rows=500)
+    schedule, fitness = alternatives.search_schedule(prep.row_clip(_e(spark, d), 1.0), 5, 100.0, 4, 1.0, "ga")
     return spark.createDataFrame([(t, float(e), fitness) for t, e in enumerate(schedule)], "t int, eps double, fitness double")
 
 

@@ -160,3 +160,12 @@ def test_distance_quantiles_are_of_all_rows(spark, tiny):
     _, _, _, near = whole_graph(spark, tiny)
     got = [r["radius"] for r in catalog.queries()["a24_distance_quantiles_2000"](spark, tiny).orderBy("pos").collect()]
     assert got == pytest.approx(list(np.quantile(near, [0.01, 0.02, 0.05])), abs=1e-5)
+
+
+def test_comparison_queries_run_the_whole_operators(spark, tiny, monkeypatch):
+    given = {}
+    monkeypatch.setattr(catalog.alternatives, "density", lambda df, *a, **how: (given.__setitem__("density", how), (df.withColumn("cluster", F.lit(0)), None, {}))[1])
+    monkeypatch.setattr(catalog.alternatives, "search_schedule", lambda *a, **how: (given.__setitem__("search", how), ([1.0], 1.0))[1])
+    catalog.queries()["c32_density"](spark, tiny)
+    catalog.queries()["c34_schedule_search"](spark, tiny)
+    assert given == {"density": {}, "search": {}}
