@@ -151,20 +151,17 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return mine.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score_block, "_id long, lang string, n_units long, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, least_trusted: int = 50) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_units, perplexity, threshold, kept: one row per document.
 
-    threshold is the quantile of the trusted documents' perplexities in the document's language; a language (null is one) with fewer than least_trusted of them takes that of all trusted documents, and without any trusted document the threshold is null and every text is kept. kept is false for null and empty texts (perplexity null). Repeated rows and null ids give rows of their own; null labels are ignored; columns of other names don't matter; an empty table gives no rows.
+    threshold is the quantile of the trusted documents' perplexities in the document's language, however few they are; in a language (null is one) without any the threshold is null, which flags its documents, and every text is kept: there is nothing to reject it by. kept is false for null and empty texts (perplexity null). Repeated rows and null ids give rows of their own; null labels are ignored; columns of other names don't matter; an empty table gives no rows.
     """
     scored, _ = cut(perplexities(docs, labels, id_col, text_col, lang_col), "perplexities")
     good = labels.where("quality = 1").select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
     base = scored.join(good, "_id", "left_semi").where("perplexity is not null").withColumn("lang", F.coalesce("lang", F.lit("")))
-    limit = base.rollup("lang").agg(F.count("*").alias("n"), F.percentile_approx("perplexity", quantile, 10_000).alias("limit"), F.grouping("lang").alias("all"))
-    limit = limit.groupBy().agg(F.max(F.when(F.col("all") == 1, F.col("limit"))).alias("overall"), F.map_from_entries(F.collect_list(F.when((F.col("all") == 0) & (F.col("n") >= least_trusted), F.struct("lang", "limit")))).alias("by_lang"))
-    found = limit.first()
-    overall, by_lang = found["overall"], found["by_lang"] or {}  # one number for each language
-    threshold = F.lit(overall).cast("double")
-    for lang, x in sorted(by_lang.items()):
+    limits = base.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit")).collect()  # one number for each language
+    threshold = F.lit(None).cast("double")
+    for lang, x in sorted((r["lang"], r["limit"]) for r in limits):
         threshold = F.when(F.coalesce("lang", F.lit("")) == lang, F.lit(x)).otherwise(threshold)
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return scored.withColumn("threshold", threshold).select(F.col("_id").alias("doc_id"), "lang", "n_units", "perplexity", "threshold", F.coalesce(kept, F.lit(False)).alias("kept"))

@@ -331,6 +331,20 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert got[0, False] / (got[0, True] + got[0, False]) > 0.75
 
 
+def test_rare_languages_keep_their_clean_documents(spark, tiny):
+    """A language in another script goes by its own trusted documents, however few, and stays without any."""
+    def greek(seed):
+        return " ".join("".join(chr(945 + ord(c) - 97) for c in w) for w in noise(seed, 60))
+
+    rare = [(10**6 + i, greek(f"el{i}"), "el") for i in range(6)] + [(2 * 10**6 + i, greek(f"x{i}").upper(), "xx") for i in range(4)]
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    labels = spark.read.parquet(f"{tiny}/labels.parquet").select("doc_id", F.col("quality").cast("int").alias("quality")).unionByName(spark.createDataFrame([(10**6 + i, 1) for i in range(3)], "doc_id long, quality int"))
+    got = {r["doc_id"]: r for r in kneserney.classify(docs, labels).where("lang in ('el', 'xx')").collect()}
+    assert all(got[10**6 + i]["kept"] for i in range(3))
+    assert got[10**6]["threshold"] == max(got[10**6 + i]["perplexity"] for i in range(3))
+    assert all(got[2 * 10**6 + i]["kept"] and got[2 * 10**6 + i]["threshold"] is None for i in range(4))
+
+
 def test_quality_of_odd_tables(spark):
     labels = spark.createDataFrame([(1, None, 0)], "doc_id long, quality int, toxic int")
     got = kneserney.classify(documents(spark, ["", None, "some text"], odd=True), labels).collect()
