@@ -55,6 +55,7 @@ def cut(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # a shuffle's files go when the driver collects what refers to it, which it else does rarely
     return spark.read.schema(df.schema).parquet(path), path
 
 
