@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -50,12 +51,19 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles that are done removed: Spark does so when the driver's heap is collected, else rarely. The first collection still finds the last job's references."""
+    for wait in (0.2, 0.0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
+
+
 def cut(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """Write df to the shared storage and read it back, which ends its lineage. Returns the frame and its folder."""
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # a shuffle's files go when the driver collects what refers to it, which it else does rarely
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
