@@ -104,7 +104,7 @@ def score_block(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     with np.errstate(divide="ignore", invalid="ignore"):
         ppl = pd.array(np.where(n > 0, np.exp(-total / n), 0.0), dtype="Float64")
     ppl[n == 0] = pd.NA
-    return pd.DataFrame({"_id": docs["_id"].array, "lang": docs["lang"].array, "n_units": n, "perplexity": ppl})
+    return pd.DataFrame({"_id": docs["_id"].array, "_th": docs["_th"].array, "lang": docs["lang"].array, "n_units": n, "perplexity": ppl})
 
 
 def log_probabilities(asked: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -120,8 +120,8 @@ def log_probabilities(asked: DataFrame, counts: DataFrame, order: int = ORDER) -
         if n > 1:
             p = want[n].withColumn("low", key(n - 1)).join(p.withColumnRenamed("g", "low"), ["m", "low"], "left").drop("low")
         n_of = lambda k: F.sum(F.when(F.col("c") == k, 1.0).otherwise(0.0))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        up = [F.coalesce(F.least(F.greatest((F.lit(k) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")), F.lit(0.1)), F.lit(float(k))), F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)]
+        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))  # few counts may lack any of these
+        up = [F.coalesce(F.least(F.greatest((F.lit(k) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))), F.lit(0.1)), F.lit(float(k))), F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)]
         discount = levels[n].groupBy("m").agg(*(n_of(k).alias(f"n{k}") for k in (1, 2, 3, 4))).select("m", *up)  # a row for each of the two models
         level = levels[n].join(F.broadcast(discount), "m").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))).select("m", "g", "c", "d")
         of = level.groupBy("m", context.alias("h")).agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
@@ -130,7 +130,7 @@ def log_probabilities(asked: DataFrame, counts: DataFrame, order: int = ORDER) -
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_chars: int = 1 << 24, broadcast_ids: int = 4_000_000) -> DataFrame:
-    """_id, lang, n_units, perplexity (null for a text without characters): one row per document.
+    """_id, _th (hash of the text), lang, n_units, perplexity (null for a text without characters): one row per document.
 
     Counting goes over the texts in scan order; the trusted ids are broadcast if they are at most broadcast_ids (8 bytes each), else joined by a shuffle. Scoring shuffles the texts once, by block, and Spark reuses that exchange for the blocks' questions and their answers.
     """
@@ -138,21 +138,21 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     blocks = 2 * max(1, math.ceil(chars / block_chars / 2))
     own, text = F.col(id_col).cast("long"), F.col(text_col)
     block = F.pmod(F.when(own.isNotNull(), F.xxhash64(own)).otherwise(F.xxhash64(text)), F.lit(blocks)).cast("int")
-    mine = docs.select(block.alias("block"), own.alias("_id"), text.alias("_text"), F.col(lang_col).cast("string").alias("lang"))
+    mine = docs.select(block.alias("block"), own.alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"), F.col(lang_col).cast("string").alias("lang"))
     trusted = labels.where("quality = 1").select(own.alias("_id")).where("_id is not null").distinct()
     if trusted.count() <= broadcast_ids:
         trusted = F.broadcast(trusted)
-    flagged = mine.join(trusted.withColumn("trusted", F.lit(True)), "_id", "left").select(F.col("block").bitwiseAND(F.lit(1)).alias("fold"), "_text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    flagged = mine.drop("_th").join(trusted.withColumn("trusted", F.lit(True)), "_id", "left").select(F.col("block").bitwiseAND(F.lit(1)).alias("fold"), "_text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     found, _ = cut(flagged.mapInPandas(count_texts, "fold int, g long, c long").groupBy("fold", "g").agg(F.sum("c").alias("c")), "ngrams")
     other = (1 - F.col("fold")).alias("m")
     logp, _ = cut(log_probabilities(found.select(other, "g"), found.where("c > 0").select(F.col("fold").alias("m"), "g", "c")), "model")
     asked = mine.groupBy("block").applyInPandas(ask_block, "block int, g long").withColumn("m", 1 - F.col("block").bitwiseAND(F.lit(1)))
     answers = asked.join(logp, ["m", "g"]).select("block", "g", "logp")
-    return mine.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score_block, "_id long, lang string, n_units long, perplexity double")
+    return mine.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score_block, "_id long, _th long, lang string, n_units long, perplexity double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_units, perplexity, threshold, kept: one row per document.
+    """doc_id, lang, n_units, perplexity, threshold, kept, text_hash: one row per document.
 
     threshold is the quantile of the trusted documents' perplexities in the document's language, however few they are; in a language (null is one) without any the threshold is null, which flags its documents, and every text is kept: there is nothing to reject it by. kept is false for null and empty texts (perplexity null). Repeated rows and null ids give rows of their own; null labels are ignored; columns of other names don't matter; an empty table gives no rows.
     """
@@ -164,4 +164,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     for lang, x in sorted((r["lang"], r["limit"]) for r in limits):
         threshold = F.when(F.coalesce("lang", F.lit("")) == lang, F.lit(x)).otherwise(threshold)
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return scored.withColumn("threshold", threshold).select(F.col("_id").alias("doc_id"), "lang", "n_units", "perplexity", "threshold", F.coalesce(kept, F.lit(False)).alias("kept"))
+    return scored.withColumn("threshold", threshold).select(F.col("_id").alias("doc_id"), "lang", "n_units", "perplexity", "threshold", F.coalesce(kept, F.lit(False)).alias("kept"), F.col("_th").alias("text_hash"))

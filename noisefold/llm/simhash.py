@@ -39,13 +39,13 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. A null text counts as empty (fingerprint zero)."""
+    """(doc_id, text_hash, fp): fp is the fingerprint as a signed long. A null text counts as empty (fingerprint zero)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "text_hash": pdf["text_hash"].array, "fp": np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, text_hash long, fp long")
 
 
 def trie_links(values: np.ndarray, home: int, front: int, budget: int, most: int = 1 << 20) -> np.ndarray:
@@ -125,15 +125,17 @@ def trie_self_join(fps: DataFrame, bits: int = BITS, page_rows: int = 50_000) ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable over links of at most `bits` differing bits).
+    """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable over links of at most `bits` differing bits), text_hash, and leads: whether id and text hash are the first of its component (ids ascending, none last).
 
     Null and empty texts have fingerprint zero and link like any other; a null doc_id stays a row of its own and never names a component unless the component has no other id (then null). Repeated rows are kept as they are. Other columns of docs are ignored. An empty table gives no rows.
     """
     fps, _ = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = fps.groupBy("fp").agg(F.min(key).alias("first"))
     comp = components(trie_self_join(first.select("fp"), bits))
-    of = first.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    of = first.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     of, _ = cut(of, "classes")
-    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of = of.join(least, "component").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = of.groupBy("component").agg(F.min("first").alias("least"))
+    of = of.join(least, "component").select("fp", "least")
+    leads = (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))).alias("leads")
+    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"), "text_hash", leads)

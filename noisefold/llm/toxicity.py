@@ -232,15 +232,20 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id long, score double, n_tokens long, spans {SPAN_TYPE}")
 
 
-def text_score(spark, crf: Crf):
-    """A column function: the score of each text, as score() gives it."""
+def text_score(spark, crf: Crf, keep: int = 150_000):
+    """A column function: the score of each text, as score() gives it. A task has one dictionary of at most about `keep` words."""
     sent = spark.sparkContext.broadcast(crf)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, float] = {}
-        parts = [score_batch(pd.DataFrame({"doc_id": range(len(part)), "text": part}), sent.value, known, 2.0)["score"] for part in (texts.iloc[at : at + 1000] for at in range(0, len(texts), 1000))]
-        return pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype=float)
+        for texts in batches:
+            parts = []
+            for at in range(0, len(texts), 500):
+                parts.append(score_batch(pd.DataFrame({"doc_id": 0, "text": texts.iloc[at : at + 500]}), sent.value, known, 2.0)["score"])
+                if len(known) > keep:
+                    known.clear()
+            yield pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype=float)
 
     return scored
 
