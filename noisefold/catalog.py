@@ -280,26 +280,29 @@ def j3_history_of_runs(spark, d):
     return reports.of_runs(_r(spark, d), _h(spark, d), ["method"]).select("run_id", "method", "iter", "tie", "eps_t")
 
 
-@query(f"WITH {E}, s AS (SELECT row_id FROM e ORDER BY {_u(_q('g'), _v('row_id'))}, row_id LIMIT 300), p AS (SELECT a.row_id AS a, b.row_id AS b, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS distance FROM el a JOIN el b ON a.dim = b.dim AND a.row_id < b.row_id WHERE a.row_id IN (SELECT row_id FROM s) AND b.row_id IN (SELECT row_id FROM s) GROUP BY 1, 2) SELECT a, b, ~(distance) AS distance FROM p WHERE distance <= 1.2", 5)
+_GRAPH = f"WITH {E} SELECT a.row_id AS a, b.row_id AS b, ~(list_distance(a.x, b.x)) AS distance FROM e a JOIN e b ON a.row_id < b.row_id WHERE list_distance(a.x, b.x) <= 1.2"
+_QUANTILES = f"WITH {E}, s AS (SELECT row_id, x FROM e ORDER BY {_u(_q('g'), _v('row_id'))}, row_id LIMIT 2000), p AS (SELECT list_distance(a.x, b.x) AS distance FROM s a JOIN s b ON a.row_id < b.row_id), q AS (SELECT unnest([0.01, 0.02, 0.05]) AS share, unnest(quantile_cont(distance, [0.01, 0.02, 0.05])) AS q FROM p) SELECT CAST(row_number() OVER (ORDER BY share) - 1 AS INT) AS pos, ~(q) AS radius FROM q"
+
+
+@query(_GRAPH, 5)
 def j5_radius_graph(spark, d):
-    return alternatives.pair_distances(noise.first_by_draw(_e(spark, d), 300, "g")).where("distance <= 1.2")
+    return alternatives.radius_graph(_e(spark, d), 1.2)
 
 
-@query(f"WITH {E}, s AS (SELECT row_id FROM e ORDER BY {_u(_q('g'), _v('row_id'))}, row_id LIMIT 300), p AS (SELECT sqrt(sum((a.v - b.v) * (a.v - b.v))) AS distance FROM el a JOIN el b ON a.dim = b.dim AND a.row_id < b.row_id WHERE a.row_id IN (SELECT row_id FROM s) AND b.row_id IN (SELECT row_id FROM s) GROUP BY a.row_id, b.row_id), q AS (SELECT unnest([0.01, 0.02, 0.05]) AS share, unnest(quantile_cont(distance, [0.01, 0.02, 0.05])) AS q FROM p) SELECT CAST(row_number() OVER (ORDER BY share) - 1 AS INT) AS pos, ~(q) AS radius FROM q", 5)
+@query(_QUANTILES, 5)
 def a24_distance_quantiles(spark, d):
-    pairs = alternatives.pair_distances(noise.first_by_draw(_e(spark, d), 300, "g"))
+    pairs = alternatives.pair_distances(noise.first_by_draw(_e(spark, d), 2000, "g"))
     return spark.createDataFrame(list(enumerate(alternatives.radius_candidates(pairs, [0.01, 0.02, 0.05]))), "pos int, radius double")
 
 
-@query()
+@query(_GRAPH, 5)
 def j5_radius_graph_whole(spark, d):
-    return alternatives.radius_graph(_e(spark, d), 1.2)
+    return j5_radius_graph(spark, d)
 
 
-@query()
+@query(_QUANTILES, 5)
 def a24_distance_quantiles_2000(spark, d):
-    pairs = alternatives.pair_distances(noise.first_by_draw(_e(spark, d), 2000, "g"))
-    return spark.createDataFrame(list(enumerate(alternatives.radius_candidates(pairs, [0.01, 0.02, 0.05]))), "pos int, radius double")
+    return a24_distance_quantiles(spark, d)
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -375,10 +378,19 @@ def a13_a14_agreement(spark, d):
     return metrics.agreement(metrics.contingency(l))
 
 
-@query()
+_FIVE_WAYS = ", ".join(f"q{i}.range AS x{i}" for i in range(5)), ", ".join(f"range(5) q{i}" for i in range(5)), " AND ".join(f"q{i}.range <> q{j}.range" for i in range(5) for j in range(i))
+_MACRO_F1 = f"""WITH {E}, c AS (SELECT * FROM el WHERE row_id IN (SELECT row_id FROM e ORDER BY row_id LIMIT 5)), k AS (SELECT dense_rank() OVER (ORDER BY row_id) - 1 AS j, dim, v AS w FROM c), s AS (SELECT row_id, j, sum((v - w) * (v - w)) AS d FROM el JOIN k USING (dim) GROUP BY row_id, j),
+o AS (SELECT row_id, j, row_number() OVER (PARTITION BY row_id ORDER BY d, j) AS p FROM s), ct AS MATERIALIZED (SELECT label % 5 AS a, j AS b, count(*) AS n FROM o JOIN e USING (row_id) WHERE p = 1 GROUP BY ALL),
+perms AS (SELECT {_FIVE_WAYS[0]} FROM {_FIVE_WAYS[1]} WHERE {_FIVE_WAYS[2]}), scored AS (SELECT x0, x1, x2, x3, x4, sum(coalesce(n, 0)) AS hits FROM perms LEFT JOIN ct ON a = ([x0, x1, x2, x3, x4])[b + 1] GROUP BY ALL),
+best AS (SELECT [x0, x1, x2, x3, x4] AS x FROM scored ORDER BY hits DESC, x0, x1, x2, x3, x4 LIMIT 1), named AS (SELECT a, b, n, x[b + 1] AS m FROM ct, best),
+f AS (SELECT r.range AS cls, coalesce(sum(n) FILTER (a = r.range AND m = r.range), 0) AS hit, coalesce(sum(n) FILTER (a = r.range), 0) AS truly, coalesce(sum(n) FILTER (m = r.range), 0) AS said FROM range(5) r, named GROUP BY 1)
+SELECT CAST(r.range AS INT) AS cluster, CAST(x[r.range + 1] AS INT) AS class, ~((SELECT avg(CASE WHEN truly + said > 0 THEN 2 * hit / (truly + said) ELSE 0 END) FROM f)) AS f1 FROM range(5) r, best"""
+
+
+@query(_MACRO_F1)
 def a11_a12_macro_f1(spark, d):
-    e = _e(spark, d)
-    out = stats.assign(e, _first_rows(e, 10))
+    e = _e(spark, d).withColumn("label", F.col("label") % 5)
+    out = stats.assign(e, _first_rows(e, 5))
     f1, mapping = metrics.macro_f1([tuple(r) for r in metrics.contingency(out).collect()])
     return spark.createDataFrame([(c, m, f1) for c, m in sorted(mapping.items())], "cluster int, class int, f1 double")
 
@@ -476,6 +488,7 @@ def _kmeans_sql(k: int, steps: int, eps: float, seed: str) -> str:
 def c4_dp_kmeans_history(spark, d):
     z = prep.row_clip(_e(spark, d), 1.0).persist()
     fit = kmeans.dp_kmeans(z, _first_rows(z, 5), 3, 500.0, 1.0, "s0")
+    z.unpersist()
     return fit.history_frame(spark).select("iter", "sse_z_prev_labels", "sse_z_reassign", "drift", "drift_raw", "eps_used", "guard_state", "non_empty_k", "max_cluster_ratio", "min_cluster_ratio", "noise_scale_sums")
 
 
@@ -490,7 +503,16 @@ def c5_q32_schedules(spark, d):
     return reports.schedule_overlay(spark.createDataFrame(_schedule_rows(), "name string, schedule array<double>"))
 
 
-@query()
+_PLANS = """WITH RECURSIVE p(name, least, most, top, low, recovery) AS (VALUES ('feedback', 0.01, 0.1, 2.0, 0.0, 0.0), ('feedback_v2', 0.01, 0.1, 2.0, -2.0, -0.5), ('feedback_v3', 0.03, 0.15, 3.0, 0.0, 1.0)),
+f AS (SELECT name, 0 AS t, CAST(0 AS DOUBLE) AS s FROM p UNION ALL SELECT name, t + 1, 0.8 * s + 0.2 * greatest(low, least(top, 0.3 / (t + 1) / CAST(1.000001 AS DOUBLE) + recovery / 6)) FROM f JOIN p USING (name) WHERE t < 19),
+tilt AS (SELECT range AS t, pow((range - 3) / 16 + 1e-6, 3) AS w FROM range(3, 20)),
+b AS (SELECT name, t, s, CAST(p.least AS DOUBLE) AS least, CAST(p.most AS DOUBLE) AS most, p.least + (p.most - p.least) * pow(t / 19, CASE name WHEN 'feedback_v2' THEN 2 ELSE 2.5 END) * 1.0 AS ramp, coalesce(w / ((SELECT avg(w) FROM tilt) + 1e-12), 1) AS w FROM f JOIN p USING (name) LEFT JOIN tilt USING (t)),
+c AS (SELECT name, t, least, most, CASE name WHEN 'feedback' THEN CASE WHEN t < 3 THEN least ELSE least + (most - least) / (1 + s) END WHEN 'feedback_v3' THEN ramp * w ELSE ramp END AS base,
+  CASE name WHEN 'feedback' THEN 1 WHEN 'feedback_v2' THEN greatest(0.7, least(1.3, 1 / (1 + s))) ELSE greatest(1, least(2, 1 + s)) END AS adj FROM b)
+SELECT name, CAST(t AS INT) AS t, ~(CASE name WHEN 'feedback' THEN base WHEN 'feedback_v2' THEN CASE WHEN t < 3 THEN least ELSE base * adj END ELSE CASE WHEN t < 3 THEN 0.05 ELSE greatest(least, least(most, base * adj)) END END) AS eps, ~(base) AS base, ~(adj) AS adj FROM c"""
+
+
+@query(_PLANS)
 def c6_c8_feedback_plans(spark, d):
     rows = []
     for name, rule in schedules.RULES.items():
@@ -573,6 +595,8 @@ def c22_c24_seedings(spark, d):
     rows = rows.persist()
     out = [(m, i, float(np.linalg.norm(c))) for m in ("public_random", "kpp", "kpp_rr", "layered") for i, c in enumerate(seeding.initial(m, rows, back, 4, 64, 1.0, "seed", restarts=2))]
     out += [("noisy_means", i, float(np.linalg.norm(c))) for i, c in enumerate(seeding.noisy_means(e, 4, 50.0, 1.0, "seed"))]
+    for held in (e, rows):
+        held.unpersist()
     return spark.createDataFrame(out, "mode string, pos int, length double")
 
 
@@ -774,6 +798,11 @@ def q25_a22_paired_t(spark, d):
     return reports.significance_table(_r(spark, d), "view", "click").select("dataset", "eps_tot", "n", "mean_diff", "t")
 
 
+@query(f"WITH {_PAIRS}, s AS (SELECT dataset, eps_tot, value_a AS v, 1 AS a FROM p UNION ALL SELECT dataset, eps_tot, value_b, 0 FROM p), ranked AS (SELECT *, rank() OVER (PARTITION BY dataset, eps_tot ORDER BY v) + (count(*) OVER (PARTITION BY dataset, eps_tot, v) - 1) / 2 AS rank FROM s) SELECT dataset, eps_tot, count(*) FILTER (a = 1) AS n, ~(sum(rank) FILTER (a = 1) - count(*) FILTER (a = 1) * (count(*) FILTER (a = 1) + 1) / 2) AS u FROM ranked GROUP BY ALL", 5)
+def q25_a23_rank_sums(spark, d):
+    return reports.significance_table(_r(spark, d), "view", "click").select("dataset", "eps_tot", "n", "u")
+
+
 @query()
 def q25_significance(spark, d):
     return reports.significance_table(_r(spark, d), "view", "click")
@@ -812,3 +841,57 @@ SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.dataset = t.dataset AN
 def q33_resume(spark, d):
     todo = spark.createDataFrame([tuple(t.values()) for t in methods.tasks(["har", "gas", "new"], ["view", "click", "fresh"], [0.5, 1.0], range(25))], "dataset string, method string, eps double, seed int")
     return runs.missing_tasks(todo, _r(spark, d).withColumnRenamed("eps_tot", "eps"))
+
+
+@query(f"WITH {R}, c AS (SELECT dataset, method, eps_tot, avg(f1) AS a, stddev_samp(f1) AS b, avg(sse_x) AS c, stddev_samp(sse_x) AS d FROM r GROUP BY ALL) SELECT dataset, method, eps_tot, printf('%.3f', a) || '±' || coalesce(printf('%.3f', b), '--') AS f1, printf('%.3e', c) || '±' || coalesce(printf('%.3e', d), '--') AS sse_x FROM c")
+def q31_formatted_ablation(spark, d):
+    return reports.formatted(reports.summary(_r(spark, d), ["dataset", "method", "eps_tot"], ["f1", "sse_x"]), ["dataset", "method", "eps_tot"], ["f1", "sse_x"])
+
+
+@query(f"WITH {H} SELECT run_id, iter - 1 AS iter, tie, ~(drift) AS drift FROM h WHERE iter >= 1")
+def f8_iteration_rows(spark, d):
+    return reports.iterations(_h(spark, d).withColumn("iter", F.col("iter") - 1).withColumnRenamed("iter", "t")).select("run_id", "iter", "tie", "drift")
+
+
+@query(f"WITH {R} SELECT run_seed, count(*) AS runs FROM (SELECT seed AS run_seed, k, method FROM r) WHERE run_seed IN (SELECT seed FROM r WHERE method IN ('view', 'purchase') GROUP BY seed HAVING count(DISTINCT method) = 2) GROUP BY 1")
+def f9_seeds_with_methods(spark, d):
+    r = _r(spark, d)
+    return r.join(reports.datasets_with(r, ["view", "purchase"], "seed"), "seed").groupBy(F.col("seed").alias("run_seed")).agg(F.count("*").alias("runs"))
+
+
+@query("SELECT l_orderkey, l_linenumber, ~(greatest(l_discount * 2, 0.05)) AS eps_proxy, ~(2 - greatest(l_discount * 2, 0.05)) AS eps_left FROM lineitem")
+def c31_proxy_budgets(spark, d):
+    l = tables.table(spark, d, "lineitem")  # noqa: E741
+    split = {r["l_discount"]: methods.proxy_budget(2.0, r["l_discount"], 0.05) for r in l.select("l_discount").distinct().collect()}  # eleven ratios
+    pairs = spark.createDataFrame([(x, *v) for x, v in split.items()], "l_discount double, eps_proxy double, eps_left double")
+    return l.join(pairs, "l_discount").select("l_orderkey", "l_linenumber", "eps_proxy", "eps_left")
+
+
+def _boosted_sql(k: int, plan: list[float], eps: float, seed: str, above: float, boost: float) -> str:
+    """Noisy k-means under a schedule that is rescaled to what is left and raised where a cluster holds too many rows."""
+    after = schedules.remaining_after(plan)
+    out = [f"WITH {E}", "z AS MATERIALIZED (SELECT row_id, dim, v * least(1, 1 / greatest(sqrt(n2), 1e-12)) AS v FROM el JOIN (SELECT row_id, sum(v * v) AS n2 FROM el GROUP BY 1) USING (row_id))", f"left0 AS (SELECT CAST({eps!r} AS DOUBLE) AS x)"]
+    out.append(f"c0 AS MATERIALIZED (SELECT CAST(dense_rank() OVER (ORDER BY row_id) - 1 AS INT) AS j, dim, v AS w FROM z WHERE row_id IN (SELECT row_id FROM e ORDER BY row_id LIMIT {k}))")
+    for t, planned in enumerate(plan):
+        out.append(f"a{t} AS MATERIALIZED (SELECT row_id, j FROM (SELECT row_id, j, row_number() OVER (PARTITION BY row_id ORDER BY d, j) AS p FROM (SELECT row_id, j, sum((v - w) * (v - w)) AS d FROM z JOIN c{t} USING (dim) GROUP BY ALL)) WHERE p = 1)")
+        out.append(f"r{t} AS MATERIALIZED (SELECT j, coalesce(n, 0) AS raw FROM (SELECT DISTINCT j FROM c{t}) LEFT JOIN (SELECT j, count(*) AS n FROM a{t} GROUP BY 1) USING (j))")
+        out.append(f"e{t} AS MATERIALIZED (SELECT least(greatest({planned!r} * x / {after[t]!r} * CASE WHEN (SELECT min(raw) = 0 OR max(raw) / sum(raw) > {above} FROM r{t}) THEN {boost} ELSE 1 END, 1e-8), x) AS now, x FROM left{t})")
+        out.append(f"left{t + 1} AS MATERIALIZED (SELECT x - now AS x FROM e{t})")
+        now = f"(SELECT now FROM e{t})"
+        cnt = _laplace(f"1 / ({now} * 0.2)", _q(seed), _q(t), _q("cnt"), _v("j"))
+        out.append(f"n{t} AS MATERIALIZED (SELECT j, raw + {cnt} AS n FROM r{t})")
+        noisy = _laplace(f"16.0 / ({now} * 0.8)", _q(seed), _q(t), _q("sum"), _v("j"), _v("dim"))
+        out.append(f"c{t + 1} AS MATERIALIZED (SELECT j, dim, (coalesce(s, 0) + {noisy}) / greatest(n, 1) AS w FROM c{t} JOIN n{t} USING (j) LEFT JOIN (SELECT j, dim, sum(v) AS s FROM a{t} JOIN z USING (row_id) GROUP BY ALL) USING (j, dim))")
+    rows = [f"SELECT {t} AS iter, ~((SELECT now FROM e{t})) AS eps_used, ~({planned!r}) AS eps_base, 'scheduled' AS guard_state, ~((SELECT sum((v - w) * (v - w)) FROM a{t} JOIN z USING (row_id) JOIN c{t + 1} USING (j, dim))) AS sse_z, ~((SELECT max(raw) / sum(raw) FROM r{t})) AS max_cluster_ratio" for t, planned in enumerate(plan)]
+    return ",\n".join(out) + "\n" + "\nUNION ALL ".join(rows)
+
+
+_PLAN = schedules.strong_contrast(500.0, 3, 0.7, 0.7)
+
+
+@query(_boosted_sql(5, _PLAN, 500.0, "s1", 0.2, 1.3), 4)
+def c12_boosted_history(spark, d):
+    z = prep.row_clip(_e(spark, d), 1.0).persist()
+    fit = kmeans.dp_kmeans(z, _first_rows(z, 5), 3, 500.0, 1.0, "s1", schedule=_PLAN, boost_above=0.2)
+    z.unpersist()
+    return fit.history_frame(spark).select("iter", "eps_used", "eps_base", "guard_state", "sse_z", "max_cluster_ratio")

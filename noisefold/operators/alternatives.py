@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noisefold.functions import rng, schedules, vectors
@@ -37,56 +37,70 @@ def radius_candidates(pairs: DataFrame, shares: list[float]) -> list[float]:
     return sorted({max(q, 1e-6) for q in found}) if found else [0.1]
 
 
-def scan_density(ids: list[int], neighbours: dict[int, list[int]], least: int, eps_seed: float, eps_grow: float, k: int, *seed: object) -> dict[int, int]:
-    """Clusters from noisy neighbour counts, in the order of ids: a point's first visit draws its density once; seeds with eps_seed, grown points with eps_grow / (2 k). A point taken from the stack labels all its neighbours. Points in no cluster get -1; without any cluster all get 0."""
-    label, visited, n = dict.fromkeys(ids, -1), set(), 0
-    slice_ = max(eps_grow / max(2 * k, 1), 1e-8)
-    for i in ids:
-        if i in visited:
-            continue
-        visited.add(i)
-        if len(neighbours.get(i, ())) + rng.laplace(1 / max(eps_seed, 1e-8), *seed, "density", i) < least:
-            continue
-        label[i], stack = n, [i]
-        while stack:
-            for other in neighbours.get(stack.pop(), ()):
-                if other not in visited:
-                    visited.add(other)
-                    if len(neighbours.get(other, ())) + rng.laplace(1 / slice_, *seed, "density", other) >= least:
-                        stack.extend(neighbours.get(other, ()))
-                if label[other] == -1:
-                    label[other] = n
-        n += 1
-    return label if n else dict.fromkeys(ids, 0)
+def noisy_degrees(points: DataFrame, links: DataFrame, least: float, eps_seed: float, eps_grow: float, *seed: object) -> DataFrame:
+    """radius, row_id, starts, grows: whether a point has `least` neighbours within a radius by a draw at the seeds' budget, and by one at the growing points' budget. links are (radius, a, b), each pair once."""
+    ends = links.select("radius", F.explode(F.array("a", "b")).alias("row_id"))
+    n = ends.groupBy("radius", "row_id").agg(F.count("*").alias("n"))
+    every = points.select("row_id").join(links.select("radius").distinct(), how="cross")  # a row for each point and radius, of which there are a few
+    noisy = lambda eps, side: F.coalesce("n", F.lit(0)) + rng.laplace_col(1 / max(eps, 1e-8), *seed, side, F.col("radius"), F.col("row_id")) >= least
+    return every.join(n, ["radius", "row_id"], "left").select("radius", "row_id", noisy(eps_seed, "starts").alias("starts"), noisy(eps_grow, "grows").alias("grows"))
+
+
+def density_labels(flags: DataFrame, links: DataFrame) -> DataFrame:
+    """radius, row_id, cluster: the components of the points that start or grow, as far as one of them starts, numbered by their smallest point; a point beside such a component, which neither starts nor grows, joins the first of them, others get -1.
+
+    A point has one draw of each kind, so the labels don't depend on the order in which points are visited. A scan in order differs from this where a point's first visit uses up its only draw. A radius is a group of its own, bounded by the sample that the points are.
+    """
+    able = flags.select("radius", F.col("row_id").alias("p"), "starts", (F.col("starts") | F.col("grows")).alias("spreads"))
+    side = lambda c: able.select("radius", F.col("p").alias(c), F.col("spreads").alias(f"{c}_spreads"))
+    used = links.join(side("a"), ["radius", "a"]).join(side("b"), ["radius", "b"]).where("a_spreads or b_spreads").select(F.col("radius").alias("within"), "a", "b")
+
+    def label(points: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("p")
+        ids, spreads, starts = points["p"].to_numpy(), points["spreads"].to_numpy(bool), points["starts"].to_numpy(bool)
+        i, j = (np.searchsorted(ids, pairs[c].to_numpy()) for c in "ab")
+        inner = spreads[i] & spreads[j]
+        own, before = np.arange(len(ids)), None
+        while before is None or (own != before).any():  # each point takes the smallest name around it, and that one's name
+            before = own.copy()
+            np.minimum.at(own, i[inner], before[j[inner]])
+            np.minimum.at(own, j[inner], before[i[inner]])
+            own = own[own]
+        real = np.zeros(len(ids), bool)
+        real[own[starts]] = True
+        name = np.where(spreads & real[own], own, len(ids))
+        edge = name.copy()
+        for p, q in ((i, j), (j, i)):
+            np.minimum.at(edge, p[~spreads[p]], name[q[~spreads[p]]])
+        found = np.unique(edge[edge < len(ids)])
+        return pd.DataFrame({"radius": points["radius"].iloc[0], "row_id": ids, "cluster": np.where(edge < len(ids), np.searchsorted(found, edge), -1).astype(np.int32)})
+
+    return able.groupBy("radius").cogroup(used.groupBy("within")).applyInPandas(label, "radius double, row_id long, cluster int")
 
 
 def density(df: DataFrame, k: int, eps: float, *seed: object, least: int = 10, split: float = 0.5, shares: tuple[float, ...] = (0.01, 0.02, 0.05), most: int = 3000, sample: int = 2000) -> tuple[DataFrame, np.ndarray, dict]:
-    """Density clustering on at most `most` rows; the other rows go to the nearest cluster mean. Of the radii the one with most clusters and then least error wins. The scan depends on order, so it runs on the driver over the bounded sample; the neighbour graph is a join."""
+    """Density clustering on at most `most` rows; the other rows go to the nearest cluster mean. Of the radii the one with most clusters and then least error wins; without any cluster all rows are one. Neighbour graph, noisy degrees and errors are Spark's aggregates; what reaches the driver is a mean for each cluster."""
     work = noise.first_by_draw(df, most, *seed, "work").persist()
     pairs = pair_distances(work).persist()
     some = noise.first_by_draw(work, sample, *seed, "radius").select(F.col("row_id").alias("a"))
     radii = radius_candidates(pairs.join(some, "a", "left_semi").join(some.withColumnRenamed("a", "b"), "b", "left_semi"), list(shares))
-    points = {r["row_id"]: np.array(r["features"], float) for r in work.select("row_id", "features").collect()}
-    best: tuple | None = None
-    for radius in radii:
-        neighbours: dict[int, list[int]] = {}
-        for r in pairs.where(F.col("distance") <= radius).select("a", "b").toLocalIterator():
-            neighbours.setdefault(r["a"], []).append(r["b"])
-            neighbours.setdefault(r["b"], []).append(r["a"])
-        neighbours = {i: sorted(v) for i, v in neighbours.items()}
-        label = scan_density(sorted(points), neighbours, least, eps * split, max(eps * (1 - split), 1e-8), k, *seed, radius)
-        n = 1 + max(label.values())
-        groups = [np.array([points[i] for i, c in label.items() if c == j]) for j in range(n)]
-        means = np.array([g.mean(0) if len(g) else np.zeros(len(next(iter(points.values())))) for g in groups])
-        score = (-sum(len(g) > 0 for g in groups), sum(((g - m) ** 2).sum() for g, m in zip(groups, means) if len(g)))
-        if best is None or score < best[0]:
-            best = (score, label, means, radius)
-    _, label, means, radius = best
-    known = df.sparkSession.createDataFrame(list(label.items()), "row_id long, _known int")
+    links = pairs.withColumn("radius", F.explode(F.array(*map(F.lit, radii)))).where(F.col("distance") <= F.col("radius")).select("radius", "a", "b")
+    flags = noisy_degrees(work, links, least, eps * split, max(eps * (1 - split), 1e-8) / max(2 * k, 1), *seed)
+    labels = density_labels(flags, links).persist()
+    # The sums of a cluster give its mean and its error; all rows without any cluster count as one.
+    long = labels.join(work.select("row_id", "features"), "row_id").withColumn("cluster", F.when(F.max("cluster").over(Window.partitionBy("radius")) < 0, 0).otherwise(F.col("cluster"))).where("cluster >= 0").select("radius", "cluster", F.posexplode("features").alias("dim", "x"))
+    sums = long.groupBy("radius", "cluster", "dim").agg(F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("error")).groupBy("radius", "cluster").agg(F.sum("error").alias("error"), F.array_sort(F.collect_list(F.struct("dim", "mean"))).alias("means")).collect()
+    by = {r: sorted((x for x in sums if x["radius"] == r), key=lambda x: x["cluster"]) for r in {x["radius"] for x in sums}}
+    radius = min(by, key=lambda r: (-len(by[r]), sum(x["error"] for x in by[r]), r))
+    means = np.array([[m["mean"] for m in x["means"]] for x in by[radius]])
     whole = df.count() <= most
-    out = stats.assign(df, means).join(F.broadcast(known), "row_id", "left")
+    none = labels.where((F.col("radius") == radius) & (F.col("cluster") >= 0)).isEmpty()
+    known = labels.where(F.col("radius") == radius).select("row_id", F.lit(0).alias("_known") if none else F.col("cluster").alias("_known"))
+    out = stats.assign(df, means).join(known, "row_id", "left")
     cluster = F.col("_known") if whole else F.when(F.col("_known") >= 0, F.col("_known")).otherwise(F.col("cluster"))
-    return out.withColumn("cluster", cluster).drop("_known"), means, {"radius": radius, "num_clusters": len(means), "used_points": len(points)}
+    out = out.withColumn("cluster", cluster.cast("int")).drop("_known")
+    pairs.unpersist()
+    return out, means, {"radius": radius, "num_clusters": len(means), "used_points": work.count()}
 
 
 def merge_clusters(counts: np.ndarray, centroids: np.ndarray, k: int) -> tuple[dict[int, int], list[tuple[int, int]]]:
@@ -135,44 +149,55 @@ def _fitness(x: np.ndarray, init: np.ndarray, schedule: np.ndarray, eps: float,
     return float(((x - c[at]) ** 2).sum()) + 1e6 * (k - len(np.unique(at)))
 
 
+class Population:
+    """Schedules as rows of a matrix, each a split of eps over the steps; all changes are whole-matrix operations with keyed draws."""
+
+    def __init__(self, size: int, steps: int, eps: float, least: float, most: float, *seed: object):
+        self.size, self.steps, self.eps, self.bounds, self.seed = size, steps, eps, (least, most), seed
+        raw = self.draws("first").exponential(size=(size, steps))
+        self.rows = self.within(raw / raw.sum(1, keepdims=True) * eps)
+
+    def draws(self, *what: object) -> np.random.Generator:
+        return np.random.default_rng(int(rng.uniform(*self.seed, *what) * 2**52))
+
+    def within(self, raw: np.ndarray) -> np.ndarray:
+        return np.array([schedules.project(r, self.eps, *self.bounds) for r in raw])
+
+    def breed(self, generation: int, order: np.ndarray, elite: int, crossover: float, mutation: float) -> None:
+        """The elite stays; the rest are children of random parents: with probability crossover one's first steps and the other's last, with probability mutation moved by a tenth of the mean step."""
+        n, d = self.size - elite, self.draws("breed", generation)
+        left, right = self.rows[d.integers(0, self.size, n)], self.rows[d.integers(0, self.size, n)]
+        at = np.where(d.random(n) <= crossover, d.integers(1, max(2, self.steps), n), self.steps)
+        children = np.where(np.arange(self.steps) < at[:, None], left, right)
+        moved = d.random(n) <= mutation
+        children = children + moved[:, None] * d.standard_normal((n, self.steps)) * self.eps / self.steps * 0.1
+        self.rows = np.concatenate([self.rows[order[:elite]], self.within(children)])
+
+
 def search_schedule(df: DataFrame, k: int, eps: float, steps: int, clip: float, *seed: object, least: float = 0.01, most: float | None = None, population: int = 30, generations: int = 40, crossover: float = 0.8, mutation: float = 0.2, elite: int = 2, rows: int = 3000) -> tuple[list[float], float]:
-    """Genetic search of a schedule on at most `rows` rows by keyed draw: (schedule, fitness). A generation's candidates are rows of a frame and are evaluated in parallel."""
+    """Genetic search of a schedule on at most `rows` rows by keyed draw: (schedule, fitness). A generation's candidates are rows of a frame and are evaluated in parallel on the sample; the best one's fitness is of the whole table."""
     spark = df.sparkSession
-    high = most if most and most > 0 else eps
-    some = noise.first_by_draw(df, rows, *seed, "search")
+    some = noise.first_by_draw(df, rows, *seed, "search").persist()
     init = seeding.kmeanspp(some, k, *seed)
     x = np.array([r["features"] for r in some.select("features").collect()], float)
-    sent = spark.sparkContext.broadcast((x, init))
+    sent = spark.sparkContext.broadcast((x, init))  # at most `rows` vectors
+    held = Population(population, steps, eps, least, most if most and most > 0 else eps, *seed)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"i": pdf["i"], "fitness": [_fitness(*sent.value, np.asarray(s), eps, clip, *seed) for s in pdf["schedule"]]})
 
-    def first(i: int) -> np.ndarray:
-        raw = np.array([-math.log(rng.uniform(*seed, "first", i, t)) for t in range(steps)])
-        return schedules.project(raw / raw.sum() * eps, eps, least, high)
-
-    def changed(child: np.ndarray, *at: object) -> np.ndarray:
-        if rng.uniform(*at, "mutate") > mutation:
-            return child
-        return schedules.project(child + np.array([rng.normal(*at, t) for t in range(steps)]) * eps / steps * 0.1, eps, least, high)
-
-    people, best, score = [first(i) for i in range(population)], None, math.inf
+    best, known = (math.inf, held.rows[0]), {}
     for g in range(generations):
-        frame = spark.createDataFrame([(i, [float(v) for v in s]) for i, s in enumerate(people)], "i int, schedule array<double>").repartition(min(population, spark.sparkContext.defaultParallelism))
-        fitness = {r["i"]: r["fitness"] for r in frame.mapInPandas(run, "i int, fitness double").collect()}
-        order = sorted(range(population), key=lambda i: (fitness[i], i))
-        people = [people[i] for i in order]
-        if fitness[order[0]] < score:
-            best, score = people[0].copy(), fitness[order[0]]
-        nxt, pair = [p.copy() for p in people[:elite]], 0
-        while len(nxt) < population:
-            at = (*seed, "pair", g, pair)
-            a, b = (people[int(rng.uniform(*at, side) * population)] for side in "ab")
-            if rng.uniform(*at, "cross") <= crossover and steps > 1:
-                cut = 1 + int(rng.uniform(*at, "cut") * (steps - 1))
-                a, b = np.concatenate([a[:cut], b[cut:]]), np.concatenate([b[:cut], a[cut:]])
-            nxt += [changed(a, *at, "x"), changed(b, *at, "y")][: population - len(nxt)]
-            pair += 1
-        people = nxt
-    return schedules.project(best, eps, least, high).tolist(), score
+        new = {r.tobytes(): r for r in held.rows if r.tobytes() not in known}  # the elite's fitness is known
+        frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(new.values())], "i int, schedule array<double>").repartition(min(population, spark.sparkContext.defaultParallelism))
+        got = {r["i"]: r["fitness"] for r in frame.mapInPandas(evaluate, "i int, fitness double").collect()}
+        known = {key: got[i] for i, key in enumerate(new)} | {key: v for key, v in known.items() if key not in new}
+        fitness = np.array([known[r.tobytes()] for r in held.rows])
+        order = np.argsort(fitness, kind="stable")
+        best = min(best, (float(fitness[order[0]]), held.rows[order[0]]), key=lambda b: b[0])
+        held.breed(g, order, elite, crossover, mutation)
+    some.unpersist()
+    schedule = best[1].tolist()
+    fit = kmeans.dp_kmeans(df, init, steps, eps, clip, *seed, schedule=schedule, boost=1.0)
+    return schedule, fit.final.sse(fit.centroids) + 1e6 * (k - fit.final.shape()["non_empty"])

@@ -28,7 +28,7 @@ class Fit:
         return spark.createDataFrame([tuple(h[n] for n in names) for h in self.history], HISTORY)
 
 
-def dp_kmeans(df: DataFrame, init: np.ndarray, steps: int, eps: float, clip: float, *seed: object, mode: str = "static", schedule: list[float] | None = None, rule: dict | None = None, guard: schedules.Guard | None = None, reset: np.ndarray | None = None, boost: float = 1.5, boost_above: float = 0.6, cap: float | None = None, count_share: float = 0.2) -> Fit:
+def dp_kmeans(df: DataFrame, init: np.ndarray, steps: int, eps: float, clip: float, *seed: object, mode: str = "static", schedule: list[float] | None = None, rule: dict | None = None, guard: schedules.Guard | None = None, reset: np.ndarray | None = None, boost: float = 1.3, boost_above: float = 0.55, cap: float | None = None, count_share: float = 0.2) -> Fit:
     """At most `steps` noisy steps on df.features within the budget eps; stops when it is spent.
 
     mode is static, feedback, feedback_v2 or feedback_v3, unless an explicit schedule is given: that is rescaled to what is left at each step, and raised by boost where a cluster is empty or holds more than boost_above of the rows. reset are the points for clusters whose noisy count isn't positive (the initial centroids by default).

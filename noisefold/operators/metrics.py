@@ -18,7 +18,7 @@ def agreement(table: DataFrame) -> DataFrame:
     rows, cols = (table.groupBy(c).agg(F.sum("n").alias("n")) for c in ("label", "cluster"))
     total = table.agg(F.sum("n").cast("double").alias("t"), F.sum(pairs(F.col("n"))).alias("both"))
     side = lambda df, name: df.crossJoin(F.broadcast(total.select("t"))).agg(F.sum(pairs(F.col("n"))).alias(f"{name}_pairs"), F.sum(-F.col("n") / F.col("t") * F.log(F.col("n") / F.col("t"))).alias(f"{name}_h"))
-    joint = table.join(F.broadcast(rows.withColumnRenamed("n", "a")), "label").join(F.broadcast(cols.withColumnRenamed("n", "b")), "cluster").crossJoin(F.broadcast(total.select("t")))
+    joint = table.join(rows.withColumnRenamed("n", "a"), "label").join(cols.withColumnRenamed("n", "b"), "cluster").crossJoin(F.broadcast(total.select("t")))
     mutual = joint.agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("mi"))
     one = side(rows, "l").crossJoin(side(cols, "c")).crossJoin(total).crossJoin(mutual)  # rows of one
     expected = F.col("l_pairs") * F.col("c_pairs") / pairs(F.col("t"))
@@ -76,15 +76,19 @@ def match(table: np.ndarray) -> list[int]:
 
 
 def macro_f1(rows: list[tuple[int, int, int]]) -> tuple[float, dict[int, int]]:
-    """Macro F1 of (label, cluster, n) rows after aligning clusters to classes, and the alignment. A cluster without a class keeps its own id; the mean is over the union of classes and aligned ids, 0/0 counts as 0."""
+    """Macro F1 of (label, cluster, n) rows after aligning clusters to classes one to one, and the alignment.
+
+    Classes and clusters are taken by rank, so ids may be any integers (-1 for noise is one like others). The assignment with most common rows counts, of several the one whose first cluster has the lowest class, then the second, and so on. A cluster that gets a class has its name even without a common row; one that gets none, where there are more clusters than classes, keeps its own id. The mean is over the union of labels and names; 0/0 counts as 0.
+    """
     if not rows:
         return 0.0, {}
-    size = 1 + max(max(a, b) for a, b, _ in rows)
+    classes, clusters = (sorted({r[i] for r in rows}) for i in (0, 1))
+    size = max(len(classes), len(clusters))
     table = np.zeros((size, size))
     for a, b, n in rows:
-        table[b, a] += n
+        table[clusters.index(b), classes.index(a)] += n
     k = match(table)
-    mapping = {b: (k[b] if table[b, k[b]] > 0 else b) for b in {r[1] for r in rows}}
+    mapping = {b: classes[k[i]] if k[i] < len(classes) else b for i, b in enumerate(clusters)}
     names = {a for a, _, _ in rows} | set(mapping.values())
     hit, true, said = ({c: 0.0 for c in names} for _ in range(3))
     for a, b, n in rows:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noisefold.functions import rng, vectors
+from noisefold.functions import rng
 from noisefold.operators import noise, stats
 
 
@@ -15,14 +16,24 @@ def random_rows(df: DataFrame, k: int, *seed: object) -> np.ndarray:
 
 
 def kmeanspp(df: DataFrame, k: int, *seed: object) -> np.ndarray:
-    """k-means++: each round takes a row with probability in proportion to its squared distance, as the row of the largest ln(u) / d^2. One aggregate per round; the distance to the nearest pick is an expression over the picks."""
+    """k-means++: each round takes a row with probability in proportion to its squared distance, as the row of the largest ln(u) / d^2. A round is one pass: distances to the picks so far (k * d numbers, broadcast) in Arrow batches, and one aggregate."""
+    spark = df.sparkSession
     first = df.select("row_id", "features", rng.uniform_col(*seed, "pp", 0, F.col("row_id")).alias("u")).agg(F.min_by("features", F.struct("u", "row_id")).alias("c")).first()["c"]
     picks = [first]
     for t in range(1, k):
-        near = F.array_min(F.array(*(vectors.distance2("features", vectors.literal(c)) for c in picks)))
+        sent = spark.sparkContext.broadcast(np.array(picks, float))
+
+        @F.pandas_udf("double")
+        def near(x: pd.Series) -> pd.Series:
+            rows, out = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, 1)), np.full(len(x), np.inf)
+            for c in sent.value if len(x) else ():  # noqa: B023
+                np.minimum(out, ((rows - c) ** 2).sum(1), out=out)
+            return pd.Series(out)
+
         weight = F.when(F.col("d") > 0, F.log(F.col("u")) / F.col("d")).otherwise(F.lit(float("-inf")))
-        row = df.select("row_id", "features", near.alias("d"), rng.uniform_col(*seed, "pp", t, F.col("row_id")).alias("u")).agg(F.max_by("features", F.struct(weight.alias("w"), -F.col("row_id"))).alias("c")).first()
+        row = df.select("row_id", "features", near("features").alias("d"), rng.uniform_col(*seed, "pp", t, F.col("row_id")).alias("u")).agg(F.max_by("features", F.struct(weight.alias("w"), -F.col("row_id"))).alias("c")).first()
         picks.append(row["c"])
+        sent.unpersist()
     return np.array(picks, float)
 
 

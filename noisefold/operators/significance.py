@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +79,11 @@ def mann_whitney(x: list[float], y: list[float]) -> tuple[float, float]:
         ties += (j - i) ** 3 - (j - i)
         i = j
     u = rank_sum - n * (n + 1) / 2
+    return u, rank_pvalue(u, n, m, ties)
+
+
+def rank_pvalue(u: float, n: int, m: int, ties: float) -> float:
+    """Two-sided p-value of U for sides of n and m values; ties is the sum of t^3 - t over groups of t equal values."""
     high = max(u, n * m - u)
     if min(n, m) <= 8 and not ties:
         top = n * m + n * (n + 1) // 2
@@ -86,12 +92,12 @@ def mann_whitney(x: list[float], y: list[float]) -> tuple[float, float]:
             for size in range(min(rank, n), 0, -1):
                 ways[size] = [w + (ways[size - 1][s - rank] if s >= rank else 0) for s, w in enumerate(ways[size])]
         tail = sum(ways[n][math.ceil(high) + n * (n + 1) // 2 :]) / math.comb(n + m, n)
-        return u, min(1.0, 2 * tail)
+        return min(1.0, 2 * tail)
     var = n * m / 12 * (n + m + 1 - ties / ((n + m) * (n + m - 1)))
     if var == 0:
-        return u, 1.0
+        return 1.0
     z = (high - n * m / 2 - 0.5) / math.sqrt(var)
-    return u, min(1.0, math.erfc(z / math.sqrt(2)))
+    return min(1.0, math.erfc(z / math.sqrt(2)))
 
 
 def paired_seeds(df: DataFrame, by: list[str], a: Column, b: Column, value: str, seed: str = "seed") -> DataFrame:
@@ -107,16 +113,25 @@ def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def significance(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """by, n, mean_diff, t, p_t, u, p_u of paired values (a group is one table cell's seeds)."""
-    schema = pairs.select(*by).schema
-    spark = pairs.sparkSession
-    out = []
-    for r in pairs.groupBy(*by).agg(F.collect_list(F.struct("value_a", "value_b")).alias("v")).collect():
-        got = [(x["value_a"], x["value_b"]) for x in r["v"] if x["value_a"] is not None and x["value_b"] is not None]
-        x, y = [p[0] for p in got], [p[1] for p in got]
-        t, p = paired_t([a - b for a, b in got]) if len(got) > 1 else welch_t(x, y)
-        u, pu = mann_whitney(x, y)
-        out.append((*[r[c] for c in by], len(got), sum(a - b for a, b in got) / len(got) if got else None, *(None if math.isnan(v) else v for v in (t, p, u, pu))))
-    for name, kind in (("n", "long"), ("mean_diff", "double"), ("t", "double"), ("p_t", "double"), ("u", "double"), ("p_u", "double")):
-        schema = schema.add(name, kind)
-    return spark.createDataFrame(out, schema)
+    """by, n, mean_diff, t, p_t, u, p_u of paired values. t and U are aggregates (U the rank sum of value_a among both sides' values), p-values follow from them; null where undefined, as for a single pair. The difference of all pairs being the same number is an infinite t, of which only the p-value 0 is given."""
+    both = pairs.where("value_a is not null and value_b is not null")
+    diff = F.col("value_a") - F.col("value_b")
+    paired = both.groupBy(*by).agg(F.count("*").alias("n"), F.avg(diff).alias("mean_diff"), F.var_samp(diff).alias("var"))
+    sides = both.select(*by, F.explode(F.array(F.struct(F.col("value_a").alias("v"), F.lit(1).alias("a")), F.struct(F.col("value_b").alias("v"), F.lit(0).alias("a")))).alias("x")).select(*by, "x.*")
+    tied = sides.groupBy(*by, "v").agg(F.count("*").alias("m"), F.sum("a").alias("a"))
+    below = F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = tied.withColumn("rank", below + (F.col("m") + 1) / 2)
+    sums = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("a")).alias("ranks"), F.sum(F.col("m") * F.col("m") * F.col("m") - F.col("m")).cast("double").alias("ties"))
+
+    @F.pandas_udf("double")
+    def p_t(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([t_pvalue(x, m - 1) for x, m in zip(t, n)], dtype=float)
+
+    @F.pandas_udf("double")
+    def p_u(u: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([rank_pvalue(x, int(m), int(m), y) for x, m, y in zip(u, n, ties)], dtype=float)
+
+    t = F.when((F.col("n") > 1) & (F.col("var") > 0), F.col("mean_diff") / F.sqrt(F.col("var") / F.col("n")))
+    one = paired.join(sums, by).withColumn("t", t).withColumn("u", F.col("ranks") - F.col("n") * (F.col("n") + 1) / 2)
+    certain = F.when((F.col("n") > 1) & (F.col("var") == 0) & (F.col("mean_diff") != 0), F.lit(0.0))
+    return one.select(*by, "n", "mean_diff", "t", F.coalesce(F.when(F.col("t").isNotNull(), p_t(F.coalesce("t", F.lit(0.0)), "n")), certain).alias("p_t"), "u", p_u("u", "n", "ties").alias("p_u"))

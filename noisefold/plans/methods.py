@@ -83,7 +83,30 @@ def budget_split(eps: float, noisy_features: bool, pca: bool, proxy_ratio: float
     return {"eps_fs": reduce_, "eps_topm": top, "eps_pca": components, "eps_proxy": proxy, "eps_iter": eps - top - components - proxy}
 
 
-DEFAULTS = {"steps": 20, "bound": 3.0, "clip": 3.0, "top_m": 128, "pca_r": 64, "proxy_dim": 16, "proxy_ratio": 0.1, "proxy_share": 0.5, "proxy_least": 1500, "restarts": 10, "layered": {}, "collapse_above": 0.55, "iteration_collapse_below": 0.01}
+DEFAULTS = {"steps": 20, "bound": 3.0, "clip": 3.0, "top_m": 128, "pca_r": 64, "proxy_dim": 16, "proxy_ratio": 0.1, "proxy_share": 0.5, "proxy_least": 1500, "restarts": 10, "layered": {}, "collapse_above": 0.55, "iteration_collapse_below": 0.01, "budget": {}}
+
+# Names of a controller's parameters in configurations, and the rule's names.
+RULE_KEYS = {"warmup": "warmup", "beta": "beta", "gamma": "gamma", "drift_clip": "drift_clip", "eps_min_ratio": "least", "eps_max_ratio": "most", "p": "power", "time_power": "time_power", "adj_clip_low": "gain_low", "adj_clip_high": "gain_high", "recovery_scale": "recovery"}
+GUARD_KEYS = {"guard_warmup_static": "warmup", "guard_min_rel_improve": "improve", "guard_min_non_empty_ratio": "non_empty_ratio", "guard_max_cluster_ratio": "max_ratio", "guard_raise_cap_ratio": "cap"}
+_RULES_READ = {"feedback": tuple(RULE_KEYS)[:6], "feedback_v2": tuple(k for k in RULE_KEYS if k != "time_power"), "feedback_v3": tuple(RULE_KEYS)}
+
+
+def control_parameters(budget: Mapping, dataset: str, mode: str) -> dict:
+    """boost, boost_above, cap, rule and guard of a run: what budget says for the dataset (budget["datasets"][dataset]), else for all, else the defaults. A mode reads the parameters it has; the guard is there where guarded_feedback is true."""
+    own = budget.get("datasets", {}).get(dataset, {})
+    found = lambda key, default=None: own.get(key, budget.get(key, default))
+    named = lambda keys: {short: found(k) for k, short in keys.items() if found(k) is not None}
+    rule = named({k: v for k, v in RULE_KEYS.items() if k in _RULES_READ.get(mode, ())})
+    guard = {"warmup": 3} | named(GUARD_KEYS) if mode != "static" and found("guarded_feedback", False) else None
+    return {"boost": float(found("collapse_boost", 1.3)), "boost_above": float(found("collapse_threshold", 0.55)), "cap": found("eps_cap"), "rule": rule, "guard": guard, "collapse_below": float(own.get("collapse_min_ratio", 0.01))}
+
+
+def proxy_budget(eps: float, ratio: float, least: float | None = None) -> tuple[float, float]:
+    """The proxy's part of eps and what it leaves: a ratio with an optional floor; nothing left is an error."""
+    spent = max(ratio * eps, least if least is not None else 0.0, 0.0)
+    if spent >= eps:
+        raise ValueError("the proxy's budget must be smaller than the whole")
+    return spent, eps - spent
 
 
 def run(df: DataFrame, dataset: str, name: str, k: int, eps: float, seed: int, **config) -> tuple[dict, kmeans.Fit, DataFrame]:
@@ -92,6 +115,7 @@ def run(df: DataFrame, dataset: str, name: str, k: int, eps: float, seed: int, *
     m = resolve(name, config)
     begun = time.perf_counter()
     z = prep.standardise(df, cfg["bound"]).persist()
+    kept = [z]
     n, d = z.count(), len(z.select("features").first()["features"])
     key, clip = (seed, name), cfg["clip"]
     m_top = min(cfg["top_m"], d)
@@ -101,7 +125,7 @@ def run(df: DataFrame, dataset: str, name: str, k: int, eps: float, seed: int, *
     init = "public_random" if cfg["proxy_ratio"] <= 0 else m.init
     eps_of = budget_split(eps, m.features == "noisy", pca, 0.0 if init == "public_random" else cfg["proxy_ratio"])
     meta: dict[str, float] = {"score_sensitivity": 0.0, "score_max": 0.0, "pca_noise_scale": 0.0, "proxy_sensitivity": 0.0, "proxy_noise_scale": 0.0, "proxy_dim": 0}
-    work = z
+    work = z.withColumn("_z", F.col("features"))  # the standardised rows go along for the error in their space
     if m.features == "noisy":
         work, _, found = prep.select_noisy(work, m_top, eps_of["eps_topm"], *key, "select", bound=cfg["bound"])
         meta |= found
@@ -112,6 +136,7 @@ def run(df: DataFrame, dataset: str, name: str, k: int, eps: float, seed: int, *
         work, found = reduction.noisy_pca(work, min(cfg["pca_r"], d), eps_of["eps_pca"], clip, *key)
         meta["pca_noise_scale"] = found["pca_noise_scale"]
     work = prep.row_clip(work, clip).persist()
+    kept.append(work)
     q = len(work.select("features").first()["features"])
     if init == "public_random":
         start, reset = noise.public_points(k, q, clip, *key, "init"), noise.public_points(max(128, 8 * k), q, clip, *key, "spare")
@@ -119,17 +144,19 @@ def run(df: DataFrame, dataset: str, name: str, k: int, eps: float, seed: int, *
         rows, back, found = noise.proxy(work, cfg["proxy_dim"], eps_of["eps_proxy"], clip, *key)
         meta |= {x: found[x] for x in ("proxy_dim", "proxy_sensitivity", "proxy_noise_scale")}
         some = noise.subsample(rows, cfg["proxy_share"], cfg["proxy_least"], *key, "share").persist()
+        kept.append(some)
         start = seeding.initial(init, some, back, k, q, clip, *key, restarts=cfg["restarts"], cfg=cfg["layered"])
         reset = noise.lift(seeding.random_rows(some, min(max(128, 8 * k), 1024), *key, "spare"), back, clip)
     loop = time.perf_counter()
     schedule = {"strong": schedules.strong_contrast, "tail": schedules.fixed_tail}[m.schedule](eps_of["eps_iter"], cfg["steps"]) if m.schedule else None
-    rule = {x: v for x, v in m.feedback.items() if not x.startswith("guard")}
-    guard = schedules.Guard(**m.feedback["guard"]) if "guard" in m.feedback else None
-    fit = kmeans.dp_kmeans(work, start, cfg["steps"], eps_of["eps_iter"], clip, *key, mode=m.budget, schedule=schedule, rule=rule, guard=guard, reset=reset, cap=cfg.get("eps_cap"))
+    control = control_parameters(cfg["budget"], dataset, m.budget)
+    rule = control["rule"] | {x: v for x, v in m.feedback.items() if not x.startswith("guard")}
+    guard = {**(control["guard"] or {}), **m.feedback.get("guard", {})}
+    fit = kmeans.dp_kmeans(work, start, cfg["steps"], eps_of["eps_iter"], clip, *key, mode=m.budget, schedule=schedule, rule=rule, guard=schedules.Guard(**guard) if guard else None, reset=reset, cap=cfg.get("eps_cap", control["cap"]), boost=control["boost"], boost_above=control["boost_above"])
     loop_ms = (time.perf_counter() - loop) * 1000
-    out = stats.assign(work, fit.centroids).select("row_id", "cluster", "label").join(z.select("row_id", F.col("features").alias("_z")), "row_id").withColumnRenamed("_z", "features")
-    shape = fit.final.shape()
-    low = [h["non_empty_k"] < k or h["min_cluster_ratio"] < cfg["iteration_collapse_below"] for h in fit.history]
+    out = stats.assign(work, fit.centroids).select("row_id", F.col("_z").alias("features"), "cluster", "label").persist()
+    shape, min_ratio = fit.final.shape(), control["collapse_below"] if cfg["budget"] else cfg["iteration_collapse_below"]
+    low = [h["non_empty_k"] < k or h["min_cluster_ratio"] < min_ratio for h in fit.history]
     found = metrics.quality(out) if df.schema["label"].dataType.typeName() != "void" else {"ari": None, "nmi": None, "f1": None}
     result = {
         "dataset": dataset, "method": name, "eps_tot": float(eps), "seed": seed, "k": k, "d": d, "r": q, "T": cfg["steps"], "n": n, **eps_of, "eps_proxy_ratio": float(cfg["proxy_ratio"]), "clip_norm": float(clip), "algo_variant": init,
@@ -137,6 +164,8 @@ def run(df: DataFrame, dataset: str, name: str, k: int, eps: float, seed: int, *
         "sse_x": stats.sums_by(out, "cluster", k).sse_own(), "sse_z": fit.final.sse(fit.centroids), **found, "non_empty_k_final": shape["non_empty"], "max_cluster_ratio_final": shape["max_ratio"], "min_cluster_ratio_final": shape["min_ratio"], "cluster_entropy_final": shape["entropy"],
         "collapse_final": int(shape["non_empty"] < k or shape["max_ratio"] > cfg["collapse_above"]), "collapse_rate": sum(low) / len(low) if low else None, "runtime_ms_all": (time.perf_counter() - begun) * 1000, "privacy_audit": "exact moments; raw counts in control",
     }
+    for held in (*kept, out):
+        held.unpersist()
     return result, fit, out
 
 
@@ -150,7 +179,9 @@ def results_frame(spark, rows: Sequence[dict]) -> DataFrame:
 def experiment(df: DataFrame, dataset: str, k: int, names: Sequence[str], budgets: Sequence[float], seeds: Sequence[int], **config) -> DataFrame:
     """Results of every method, budget and seed. The rows are read and kept once; runs are independent jobs."""
     held = df.persist()
-    return results_frame(df.sparkSession, [run(held, dataset, m, k, e, s, **config)[0] for m in names for e in budgets for s in seeds])
+    rows = [run(held, dataset, m, k, e, s, **config)[0] for m in names for e in budgets for s in seeds]
+    held.unpersist()
+    return results_frame(df.sparkSession, rows)
 
 
 def tune(df: DataFrame, dataset: str, name: str, k: int, candidates: Sequence[Mapping], budgets: Sequence[float], seeds: Sequence[int], **config) -> tuple[Mapping, list[dict]]:
@@ -161,6 +192,7 @@ def tune(df: DataFrame, dataset: str, name: str, k: int, candidates: Sequence[Ma
     for c in candidates:
         got = [run(held, dataset, name, k, e, s, **merged(config, c))[0] for e in budgets for s in seeds]
         out.append({"candidate": dict(c), "f1_mean": statistics.fmean(r["f1"] for r in got), "f1_std": statistics.pstdev(r["f1"] for r in got), "sse_mean": statistics.fmean(r["sse_x"] for r in got), "runtime_mean_ms": statistics.fmean(r["runtime_ms_total"] for r in got)})
+    held.unpersist()
     best = max(range(len(out)), key=lambda i: (out[i]["f1_mean"], -out[i]["f1_std"], -out[i]["sse_mean"], -i))
     return out[best]["candidate"], out
 
@@ -169,3 +201,14 @@ def tasks(datasets: Sequence[str], names: Sequence[str], budgets: Sequence[float
     import itertools
 
     return [{"dataset": d, "method": m, "eps": e, "seed": s} for d, m, e, s in itertools.product(datasets, names, budgets, seeds)]
+
+
+def best_of(results: Mapping[str, Mapping[str, Mapping]], prefix: str) -> dict[str, dict]:
+    """Of nested tuning results (dataset, method, then candidate and summary) each dataset's method of highest mean F1 among those whose name begins with prefix, the first of equals: dataset in upper case to method, candidate and summary. Datasets without such a method are left out."""
+    out = {}
+    for dataset, by_method in results.items():
+        own = [(m, p) for m, p in by_method.items() if m.startswith(prefix) and p.get("summary", {}).get("f1_mean") is not None]
+        if own:
+            name, payload = max(own, key=lambda x: float(x[1]["summary"]["f1_mean"]))
+            out[dataset.upper()] = {"method": name, "candidate": dict(payload.get("candidate", {})), "summary": dict(payload["summary"])}
+    return out

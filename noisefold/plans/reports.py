@@ -182,3 +182,24 @@ def significance_table(df: DataFrame, a: str, b: str, value: str = "f1", by: Seq
     """Paired comparison of two methods over seeds: n, mean_diff, t, p_t, u, p_u."""
     one = df.groupBy(*by, "method", "seed").agg(F.avg(value).alias(value))
     return significance.significance(significance.paired_seeds(one, list(by), F.col("method") == a, F.col("method") == b, value), list(by))
+
+
+def iterations(history: DataFrame) -> DataFrame:
+    """The iteration rows of a run log: those with t >= 0, t under the name iter; a log with iter already is as it is."""
+    return history.where("t >= 0").withColumnRenamed("t", "iter") if "t" in history.columns else history
+
+
+def datasets_with(df: DataFrame, names: Sequence[str], by: str = "dataset") -> DataFrame:
+    """The values of `by` whose rows have all these methods."""
+    found = df.where(F.col("method").isin(*names)).groupBy(by).agg(F.count_distinct("method").alias("n"))
+    return found.where(F.col("n") == len(set(names))).select(by)
+
+
+# Formats of mean and deviation by metric.
+FORMATS = {"sse_x": "%.3e", "f1": "%.3f", "collapse_rate": "%.3f"}
+
+
+def formatted(summary_: DataFrame, by: Sequence[str], values: Sequence[str], between: str = "±") -> DataFrame:
+    """A summary's means and deviations as texts, errors in scientific notation; -- for what is missing."""
+    text = lambda v: F.when(F.col(f"{v}_mean").isNull(), F.lit("--")).otherwise(F.concat(F.format_string(FORMATS.get(v, "%.3f"), f"{v}_mean"), F.lit(between), F.coalesce(F.format_string(FORMATS.get(v, "%.3f"), f"{v}_std"), F.lit("--"))))
+    return summary_.select(*by, *(text(v).alias(v) for v in values))

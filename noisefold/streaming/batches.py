@@ -18,6 +18,7 @@ def run_batches(df: DataFrame, dataset: str, name: str, k: int, eps: float, seed
     held = df.persist()
     ids = sorted(r["batch_id"] for r in held.select("batch_id").distinct().collect())
     got = [methods.run(held.where(F.col("batch_id") == b).drop("batch_id"), dataset, name, k, eps, seed, **config)[0] for b in ids]
+    held.unpersist()
     return summary(got)
 
 
@@ -35,6 +36,8 @@ def cluster_stream(stream: DataFrame, checkpoint: str, done: Callable[[int, dict
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            done(batch_id, methods.run(batch.persist(), dataset, name, k, eps, seed, **config)[0])
+            held = batch.persist()
+            done(batch_id, methods.run(held, dataset, name, k, eps, seed, **config)[0])
+            held.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

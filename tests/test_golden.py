@@ -98,11 +98,59 @@ def test_merge_clusters():
     assert to == {3: 0, 0: 1, 2: 1} and merges == [(0, 2)]
 
 
-def test_density_scan_order():
-    near = {0: [1, 2], 1: [0, 2], 2: [0, 1], 3: []}
-    label = alternatives.scan_density([0, 1, 2, 3], near, 2, 1e6, 1e6, 1, "s")
-    assert label == {0: 0, 1: 0, 2: 0, 3: -1}
-    assert set(alternatives.scan_density([0, 1], {}, 2, 1e6, 1e6, 1, "s").values()) == {0}
+def test_density_labels(spark):
+    """Two dense groups, a point beside one of them, and one apart; all draws are next to exact."""
+    points = spark.createDataFrame([(i, [float(i)]) for i in range(9)], "row_id long, features array<double>")
+    pairs = [(0, 1), (0, 2), (1, 2), (2, 3), (5, 6), (5, 7), (6, 7)]
+    links = spark.createDataFrame([(1.0, a, b) for a, b in pairs], "radius double, a long, b long")
+    flags = alternatives.noisy_degrees(points, links, 1.5, 1e6, 1e6, "s")
+    label = {r["row_id"]: r["cluster"] for r in alternatives.density_labels(flags, links).collect()}
+    assert label == {0: 0, 1: 0, 2: 0, 3: 0, 4: -1, 5: 1, 6: 1, 7: 1, 8: -1}
+    grown = flags.withColumn("starts", flags["row_id"] == 0)  # a component needs a point that starts
+    assert {r["row_id"] for r in alternatives.density_labels(grown, links).where("cluster = -1").collect()} == {4, 5, 6, 7, 8}
+
+
+def test_alignment_is_one_to_one():
+    """A cluster takes its class even without a common row; -1 is an id like others, and so are large ids."""
+    f1, mapping = metrics.macro_f1([(0, 2, 5), (1, 1, 4), (2, 1, 1), (0, 0, 2)])
+    assert f1 == pytest.approx(0.5741, abs=1e-4) and mapping == {0: 2, 1: 1, 2: 0}
+    assert metrics.macro_f1([(10**9, -1, 3), (5, 7, 2)]) == (1.0, {-1: 10**9, 7: 5})
+    f1, mapping = metrics.macro_f1([(0, 0, 3), (1, 1, 3), (1, 2, 1)])
+    assert mapping == {0: 0, 1: 1, 2: 2} and f1 == pytest.approx((1 + 6 / 7 + 0) / 3)
+
+
+def test_control_parameters():
+    budget = {"collapse_boost": 1.1, "p": 2.0, "datasets": {"har": {"collapse_threshold": 0.3, "p": 3.0, "guarded_feedback": True, "guard_raise_cap_ratio": 1.4}}}
+    own, other = (methods.control_parameters(budget, d, "feedback_v3") for d in ("har", "gas"))
+    assert (own["boost"], own["boost_above"], own["rule"], own["guard"]) == (1.1, 0.3, {"power": 3.0}, {"warmup": 3, "cap": 1.4})
+    assert (other["boost_above"], other["rule"], other["guard"]) == (0.55, {"power": 2.0}, None)
+    assert methods.control_parameters(budget, "har", "feedback")["rule"] == {} and methods.control_parameters({}, "x", "static")["boost"] == 1.3
+
+
+def test_guard():
+    guard = schedules.Guard(warmup=1, improve=0.1, cap=1.5)
+    fine, bad = [(1.0, 0.3)], [(0.5, 0.3)]
+    assert guard.decide(0, 9.0, 1.0, [], []) == (1.0, "warmup_static")
+    assert guard.decide(1, 9.0, 1.0, [5.0], fine) == (1.5, "feedback_raise") and guard.decide(1, 1.2, 1.0, [5.0], fine) == (1.2, "feedback_raise")
+    assert guard.decide(2, 9.0, 1.0, [5.0, 4.6], fine) == (1.0, "fallback_static") and guard.decide(2, 9.0, 1.0, [5.0, 4.5], fine)[1] == "feedback_raise"
+    assert guard.decide(1, 9.0, 1.0, [5.0], bad) == (1.0, "fallback_static") and guard.decide(1, 0.5, 1.0, [5.0], fine) == (1.0, "fallback_static")
+
+
+def test_proxy_budget_and_best_of():
+    assert methods.proxy_budget(1.0, 0.1) == pytest.approx((0.1, 0.9)) and methods.proxy_budget(1.0, 0.1, 0.3) == pytest.approx((0.3, 0.7))
+    with pytest.raises(ValueError):
+        methods.proxy_budget(1.0, 0.1, 1.0)
+    found = methods.best_of({"har": {"dpk": {"summary": {"f1_mean": 0.4}}, "dpk_x": {"summary": {"f1_mean": 0.5}, "candidate": {"a": 1}}, "other": {"summary": {"f1_mean": 0.9}}}, "gas": {"other": {}}}, "dpk")
+    assert found == {"HAR": {"method": "dpk_x", "candidate": {"a": 1}, "summary": {"f1_mean": 0.5}}}
+
+
+def test_significance_by_aggregates(spark):
+    rows = [("x", a, b) for a, b in [(1.0, 2.0), (2.0, 2.0), (4.0, 3.0), (0.5, 2.5), (3.0, 5.0)]] + [("y", 1.0, 0.0), ("z", 2.0, 1.0), ("z", 3.0, 2.0), ("x", None, 1.0)]
+    got = {r["g"]: r for r in significance.significance(spark.createDataFrame(rows, "g string, value_a double, value_b double"), ["g"]).collect()}
+    x, y = zip(*[(a, b) for g, a, b in rows if g == "x" and a is not None])
+    assert (got["x"]["t"], got["x"]["p_t"]) == pytest.approx(significance.paired_t([a - b for a, b in zip(x, y)]))
+    assert (got["x"]["u"], got["x"]["p_u"]) == pytest.approx(significance.mann_whitney(list(x), list(y))) and got["x"]["n"] == 5
+    assert got["y"]["t"] is None and got["y"]["p_t"] is None and got["z"]["p_t"] == 0.0
 
 
 def test_blob_counts():
