@@ -20,10 +20,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local runs, where that is unset, a temporary one. A cluster without the setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="noisefold-")
@@ -122,7 +124,8 @@ def ship(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if getattr(sc, "_noisefold_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == root:
+    alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")  # workers are on this machine, in this folder
+    if getattr(sc, "_noisefold_shipped", False) or alone and (root in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == root):
         return
     import shutil
 

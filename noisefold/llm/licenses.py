@@ -1,10 +1,15 @@
 """Operator 2: license notices in documents.
 
-Templates are winnowed: of every window of consecutive word triples the smallest hash is a fingerprint, and an inverted index maps fingerprints to templates and positions. A document's triples are looked up in it; hits of a template on near diagonals make a candidate region, which a banded local alignment with the template then measures: matched words, coverage of the template, and the span in the document. The index holds the templates only, a bounded list of texts, so it goes to every task; documents are never shuffled.
+Templates are winnowed: of every window of consecutive word grams the smallest hash is a fingerprint, and an inverted index maps fingerprints to templates and positions. A document's grams are looked up in it; hits of a template on near diagonals make a candidate region, which a banded local alignment with the template then measures: matched words, coverage of the template, and the span in the document.
+
+A template of n words that matches m = coverage * n of them, rounded up, with no more than n - m edits has a run of m / (n - m + 1) equal words or more, rounded up. Grams are of that many words, three at most, and windows as wide as such a run allows, so every match at the coverage holds a fingerprint: short templates are indexed by all their grams, of two words where it takes that.
+
+Where findings of different templates stand in one place, the one with most matched words less its missed ones is it: a notice of one license isn't one of a shorter or similar one too. The index holds the templates only, 16 bytes a fingerprint, so it goes to every task; documents are never shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
@@ -20,7 +25,10 @@ from noisefold.llm.substring import WordHashes, word_hashes
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -29,11 +37,13 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": "Released under the MIT License.",
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
 }
 
-GRAM = 3
-WINDOW = 4
+GRAM = 3  # words of a gram, at most
 BAND = 8
 COVERAGE = 0.8
 _FOUND = "doc_id long, license string, start_word int, end_word int, start int, end int, matched_words int, template_words int, coverage double"
@@ -47,55 +57,62 @@ def grams(words: np.ndarray, k: int = GRAM) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def winnowed(h: np.ndarray, window: int = WINDOW) -> list[int]:
+def winnowed(h: np.ndarray, window: int) -> list[int]:
     """Positions of each window's smallest hash, the rightmost of equals."""
     w = min(window, len(h))
     return sorted({i + w - 1 - int(h[i : i + w][::-1].argmin()) for i in range(len(h) - w + 1)}) if len(h) else []
 
 
+def widths(n: int, coverage: float) -> tuple[int, int]:
+    """Words of a gram and grams of a window for a template of n words: every match at coverage has a window's words in a row."""
+    matched = math.ceil(coverage * n - 1e-9)
+    run = math.ceil(matched / (n - matched + 1))
+    return min(GRAM, run), run - min(GRAM, run) + 1
+
+
 class Index:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' fingerprints: for each gram size sorted hashes, and the template and position of each."""
 
-    def __init__(self, templates: Mapping[str, str], most_words: int = 200_000):
+    def __init__(self, templates: Mapping[str, str], coverage: float = COVERAGE):
         known = WordHashes()
-        self.words = {name: word_hashes(text, known) for name, text in sorted(templates.items())}
-        if sum(map(len, self.words.values())) > most_words:
-            raise ValueError(f"templates have more than {most_words} words")
-        places = defaultdict(list)
-        for name, words in self.words.items():
-            h = grams(words)
-            for at in winnowed(h):
-                places[int(h[at])].append((name, at))
-        self.places = dict(places)
-        self.keys = np.array(sorted(places), np.uint64)
-
-    def band(self, name: str, band: int) -> int:
+        self.names = sorted(templates)
+        self.words = [word_hashes(templates[name], known) for name in self.names]
+        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for t, words in enumerate(self.words):
+            if len(words):
+                k, window = widths(len(words), coverage)
+                h = grams(words, k)
+                found[k] += [(int(h[at]), t, at) for at in winnowed(h, window)]
+        self.by_size = {}
+        for k, rows in sorted(found.items()):
+            rows.sort()
+            self.by_size[k] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.int32)
+
+    def band(self, t: int, band: int) -> int:
         """The band for a template: narrow for short ones, whose copies may follow each other."""
-        return min(band, max(1, len(self.words[name]) // 3))
+        return min(band, max(1, len(self.words[t]) // 3))
 
-    def regions(self, words: np.ndarray, band: int = BAND) -> list[tuple[str, int]]:
+    def regions(self, words: np.ndarray, band: int = BAND) -> list[tuple[int, int]]:
         """(template, diagonal) of candidate places: hits of one template within its band are one candidate."""
-        h = grams(words)
-        if not len(h) or not len(self.keys):
-            return []
-        at = np.searchsorted(self.keys, h)
-        at[at == len(self.keys)] = 0
-        diagonals = defaultdict(set)
-        for i in np.flatnonzero(self.keys[at] == h):
-            for name, place in self.places[int(h[i])]:
-                diagonals[name].add(int(i) - place)
+        diagonals: dict[int, set[int]] = defaultdict(set)
+        for k, (keys, template, place) in self.by_size.items():
+            h = grams(words, k)
+            low = np.searchsorted(keys, h)
+            for i in np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == h):
+                for j in range(low[i], np.searchsorted(keys, h[i], "right")):
+                    diagonals[int(template[j])].add(int(i) - int(place[j]))
         out = []
-        for name, found in sorted(diagonals.items()):
+        for t, found in sorted(diagonals.items()):
             last = None
             for d in sorted(found):
-                if last is None or d - last > self.band(name, band):
-                    out.append((name, d))
+                if last is None or d - last > self.band(t, band):
+                    out.append((t, d))
                     last = d
         return out
 
 
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """Best local alignment of template[i] with words[i + diagonal + e], |e| <= band: start, end (exclusive), matched words. Match 1, mismatch or gap -1; of equal scores the earliest end."""
+    """Best local alignment of template[i] with words[i + diagonal + e], |e| <= band: start, end (exclusive), matched words. A match scores 4 and a mismatch or gap -1, so that words beyond an edit count as long as coverage may reach a fifth; of equal scores most matches, then the earliest end."""
     n, lo = len(words), diagonal - band
     t, w = template.tolist(), words[max(0, lo) : max(0, diagonal + len(template) + band)].tolist()
     base = max(0, lo)
@@ -113,12 +130,12 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
                 s, m, b = above[e]
                 if s == 0:
                     m, b = 0, j
-                step = (s + (1 if same else -1), m + same, b)
+                step = (s + (4 if same else -1), m + same, b)
                 up, back = above[e + 1], left
                 for c in (step, (up[0] - 1, *up[1:]), (back[0] - 1, *back[1:])):
-                    if c[0] > cell[0]:
+                    if c[0] > cell[0] or c[0] == cell[0] and c[1] > cell[1]:
                         cell = c
-                if cell[0] > best[0]:
+                if cell[0] > best[0] or cell[0] == best[0] and cell[1] > best[1]:
                     best = (*cell, j + 1)
             row.append(cell)
             left = cell
@@ -129,14 +146,14 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
 def find(text: str, index: Index, known: WordHashes, coverage: float, band: int) -> list[tuple]:
     words = word_hashes(text, known)
     found = []
-    for name, diagonal in index.regions(words, band):
-        template = index.words[name]
-        start, end, matched = align(template, words, diagonal, index.band(name, band))
-        if matched >= coverage * len(template):
-            found.append((name, start, end, matched, len(template)))
+    for t, diagonal in index.regions(words, band):
+        template = index.words[t]
+        start, end, matched = align(template, words, diagonal, index.band(t, band))
+        if matched >= coverage * len(template) - 1e-9:
+            found.append((index.names[t], start, end, matched, len(template)))
     kept: list[tuple] = []
-    for name, start, end, matched, size in sorted(found, key=lambda x: (-x[3], x[1], x[0])):  # one place is one finding of a template
-        if not any(k[0] == name and start < k[2] and k[1] < end for k in kept):
+    for name, start, end, matched, size in sorted(found, key=lambda x: (x[4] - 2 * x[3], x[1], x[0])):  # matched less missed words, most first
+        if not any(min(end, k[2]) - max(start, k[1]) > (0 if k[0] == name else min(end - start, k[2] - k[1]) // 2) for k in kept):
             kept.append((name, start, end, matched, size))
     if not kept:
         return []
@@ -147,9 +164,9 @@ def find(text: str, index: Index, known: WordHashes, coverage: float, band: int)
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, band: int = BAND) -> DataFrame:
     """A row per finding: doc_id, license, start_word and end_word (words split at white space, end exclusive), start and end (characters), matched_words, template_words, coverage.
 
-    Words compare in lower case without punctuation at their ends. A template's findings in a document don't overlap; different templates' may. Null and empty texts have none; repeated rows and null ids give findings of their own; texts are scanned whole; other columns are ignored; an empty table gives no rows.
+    Words compare in lower case without punctuation at their ends. A template's findings in a document don't overlap, and those of different templates share at most half of the shorter one's words: where they share more, the better one stays. Null and empty texts have none; repeated rows and null ids give findings of their own; texts are scanned whole; other columns are ignored; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Index(templates))
+    sent = docs.sparkSession.sparkContext.broadcast(Index(templates, coverage))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, index = WordHashes(), sent.value

@@ -18,6 +18,7 @@ from xxhash import xxh64_intdigest
 
 from noisefold.llm import bpe, kneserney, licenses, packing, simhash, substring, toxicity
 from noisefold.llm.common import components
+from noisefold.llm.substring import WordHashes, word_hashes
 
 WORDS, BYTES = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
 ODD = [None, "", "   ", "a", "Ünï CÖDE\n\n  x", "a<|endoftext|>b  c", "<|startoftext|>", "It's 123 ½ ΟΔΟΣ İstanbul x\x1cy", "日本語😀 テキスト", "w" * 3000, "\r\n\t", "don't  stop now", "0" * 50]
@@ -193,6 +194,51 @@ def test_local_alignment(t, w):
     assert (matched >= best) and 0 <= start <= end <= len(w) and (best == 0) == (matched == 0)
 
 
+def test_every_template_is_found_with_edits():
+    """Each template with each word changed, and with pairs of words changed, dropped or inserted, where coverage allows it: found at its place, as one license only."""
+    index, known, r = licenses.Index(licenses.TEMPLATES), WordHashes(), random.Random(1)
+    asked, found, alone = 0, 0, 0
+    for name, text in licenses.TEMPLATES.items():
+        words = text.split()
+        cases = [(i,) for i in range(len(words))] + [tuple(r.sample(range(len(words)), 2)) for _ in range(25)]
+        for case in cases:
+            if len(words) - len(case) < licenses.COVERAGE * len(words):
+                continue
+            edited = []
+            for i, w in enumerate(words):
+                edited += [w] if i not in case else ([f"changed{i}"], [], [w, f"more{i}"])[r.randrange(3)]
+            got = licenses.find(" ".join(noise("a", 12) + edited + noise("b", 12)), index, known, licenses.COVERAGE, licenses.BAND)
+            asked += 1
+            found += any(g[0] == name and g[1] <= 12 + 3 and g[2] >= 12 + len(edited) - 3 for g in got)
+            alone += len(got) == 1
+    assert found >= 0.99 * asked and alone >= 0.99 * asked and asked > 1000
+
+
+def test_scan_equals_all_alignments(spark):
+    """Against every template at every place by a plain alignment, on texts that repeat, cut and mix notices."""
+    r, texts = random.Random(5), []
+    names = sorted(licenses.TEMPLATES)
+    for k in range(40):
+        a = licenses.TEMPLATES[r.choice(names)].split()
+        at = r.randrange(len(a))
+        texts.append(" ".join(noise(f"x{k}", r.randrange(20)) + a[: r.choice([at, len(a)])] + noise(f"y{k}", r.randrange(1, 20)) + licenses.TEMPLATES[r.choice(names)].split() + noise(f"z{k}", 5)))
+    got = {(x["doc_id"], x["license"]) for x in licenses.scan(documents(spark, texts)).collect()}
+    index, known, want = licenses.Index(licenses.TEMPLATES), WordHashes(), set()
+    for d, text in enumerate(texts):
+        words, best = word_hashes(text, known), []
+        for t, template in enumerate(index.words):
+            for diagonal in range(-len(template) // 5, len(words)):
+                start, end, matched = licenses.align(template, words, diagonal, 0)
+                if matched >= licenses.COVERAGE * len(template):
+                    best.append((2 * matched - len(template), index.names[t], start, end))
+        kept = []
+        for _, name, start, end in sorted(best, key=lambda x: (-x[0], x[2])):
+            if not any(min(end, e) - max(start, s) > min(end - start, e - s) // 2 for _, s, e in kept):
+                kept.append((name, start, end))
+        want |= {(d, name) for name, _, _ in kept}
+    assert got == want and len(want) > 30
+
+
 # ---- 4: BPE ----
 
 
