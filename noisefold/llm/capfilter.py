@@ -25,6 +25,12 @@ from noisefold.llm.topk import usable
 THRESHOLD = 0.9
 
 
+class Codes(list):
+    """ProductCodes, and the share of the trial pairs at exactly the threshold that share a filter of theirs."""
+
+    recall: float = 0.0
+
+
 @dataclass
 class ProductCode:
     rotation: np.ndarray  # d x d
@@ -65,8 +71,8 @@ def decode_all(codes: list[ProductCode], unit: np.ndarray) -> tuple[np.ndarray,
     return row[order], name[order]
 
 
-def fit_codes(sample: np.ndarray, n: int, threshold: float, bucket: int, common: float, trials: int = 2000, most_codes: int = 16, seed: int = 7) -> list[ProductCode]:
-    """Codes for n vectors like the sample's unit vectors: as many as it takes until all `trials` pairs at the threshold share a filter."""
+def fit_codes(sample: np.ndarray, n: int, threshold: float, bucket: int, common: float, trials: int = 2000, most_codes: int = 64, recall: float = 0.995, seed: int = 7) -> "Codes":
+    """Codes for n vectors like the sample's unit vectors: as many as it takes until all `trials` pairs at the threshold share a filter. If some don't yet with most_codes, the share that does must reach recall, else it is an error."""
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
     share = min(0.2, max(1e-7, bucket / max(1, n)))
@@ -82,7 +88,7 @@ def fit_codes(sample: np.ndarray, n: int, threshold: float, bucket: int, common:
     side -= (side * u).sum(1, keepdims=True) * u
     norm = np.linalg.norm(side, axis=1, keepdims=True)
     v = threshold * u + math.sqrt(1 - threshold**2) * np.divide(side, norm, out=np.zeros_like(side), where=norm > 0)
-    missed, codes = np.ones(trials, bool), []
+    missed, codes = np.ones(trials, bool), Codes()
     while len(codes) < 2 or (missed.any() and d > 1 and len(codes) < most_codes):
         words = []
         for width in map(len, np.array_split(np.arange(d), m)):
@@ -94,6 +100,9 @@ def fit_codes(sample: np.ndarray, n: int, threshold: float, bucket: int, common:
         (ru, fu), (rv, fv) = code.decode(u), code.decode(v)
         missed[np.unique(np.intersect1d(ru * code.size + fu, rv * code.size + fv) // code.size)] = False
         codes.append(code)
+    codes.recall = 1.0 if d == 1 else float(1 - missed.mean())
+    if codes.recall < recall:
+        raise RuntimeError(f"{len(codes)} codes find {codes.recall:.4f} of the pairs at the threshold; {recall} were asked for")
     return codes
 
 

@@ -1,6 +1,6 @@
 """Operator 5: cost-balanced packing of documents into token sequences.
 
-A sequence's cost is estimated as linear * tokens + quadratic * (sum of its pieces' squared lengths), since attention stays within a piece. Documents of a group are taken in descending order and assigned to the lowest-cost sequence that has token capacity left; what doesn't fit goes on to the next such sequence, so documents are cut only where a sequence is full. The sequences of a group hold exactly its tokens: full ones, and for the rest of under `capacity` tokens one for each power of two in it, which need no padding.
+A sequence's cost is estimated as linear * tokens + quadratic * (sum of its pieces' squared lengths), since attention stays within a piece. Documents of a group are taken in descending order and assigned to the lowest-cost sequence that has token capacity left for them; a document is cut only where no sequence has room for all of it. What is left of documents over the capacity, which are cut anyway, comes last and fills the sequences up. The sequences of a group hold exactly its tokens: full ones, and for the rest of under `capacity` tokens one for each power of two in it, which need no padding and are filled last.
 
 A group is the next `group_docs` documents (or `group_tokens` tokens) of a task's input, so memory is bounded, there is no shuffle, and every group packs without knowing the others.
 """
@@ -8,7 +8,6 @@ A group is the next `group_docs` documents (or `group_tokens` tokens) of a task'
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -83,20 +82,22 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0
         if n % capacity:
             rest.append((n % capacity, d))
     total = sum(n for n, _ in rest)
-    room = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length()) if (total % capacity) >> b & 1]
-    used = [0] * len(room)
-    open_ = [(0.0, k) for k in range(len(room))]
-    heapq.heapify(open_)
-    for n, d in sorted(rest, key=lambda x: (-x[0], x[1])):
+    room = np.array([capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length()) if (total % capacity) >> b & 1], np.int64)
+    left, cost = room.copy(), np.zeros(len(room))
+    full = np.arange(len(room)) < total // capacity
+    for n, d in sorted(rest, key=lambda x: (lengths[x[1]] > capacity, -x[0], x[1])):  # what is left of longer documents, which are cut anyway, fills up
         start = lengths[d] - n
         while n:
-            cost, k = heapq.heappop(open_)
-            part = min(n, room[k] - used[k])
-            pieces.append((d, start, part, sequence + k, used[k]))
-            used[k] += part
+            # The cheapest sequence that holds all of it; else the cheapest with any room; the small ones when all others are full.
+            for able in (full & (left >= n), full & (left > 0), left >= n, left > 0):
+                if able.any():
+                    break
+            k = int(np.where(able, cost, np.inf).argmin())
+            part = int(min(n, left[k]))
+            pieces.append((d, start, part, sequence + k, int(room[k] - left[k])))
+            left[k] -= part
+            cost[k] += linear * part + quadratic * part * part
             start, n = start + part, n - part
-            if used[k] < room[k]:
-                heapq.heappush(open_, (cost + linear * part + quadratic * part * part, k))
     return pieces
 
 

@@ -59,13 +59,16 @@ def member(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return packer.compress(head + block + b"\r\n\r\n") + packer.flush()
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = REVISIT_FROM, file_bytes: int = 1 << 28) -> DataFrame:
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = REVISIT_FROM, file_bytes: int = 1 << 28, broadcast_digests: int = 500_000) -> DataFrame:
     """Write a record per row under folder; returns the manifest: path and bytes of each file, already written.
 
-    A null payload counts as empty. Rows that repeat the smallest id of a payload are all responses. Rows without an id refer to the response like others, and are all responses where no row of their payload has an id. File names are new for every attempt of a task, so what a lost or repeated attempt leaves is in no manifest.
+    A null payload counts as empty. Rows that repeat the smallest id of a payload are all responses. Rows without an id refer to the response like others, and are all responses where no row of their payload has an id. Which digests repeat is found first, from digests alone; they are broadcast if they are at most broadcast_digests (about 100 bytes each), so payloads aren't shuffled, else payloads are joined with them by a shuffle. File names are new for every attempt of a task, so what a lost or repeated attempt leaves is in no manifest.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     shared = own.where(F.octet_length("html") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    shared, _ = cut(shared, "digests")
+    if shared.count() <= broadcast_digests:
+        shared = F.broadcast(shared)
     rows = own.join(shared, "digest", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -91,6 +91,14 @@ def test_pairs_at_the_threshold_share_filters(n):
     assert len(np.unique(np.intersect1d(ra * size + fa, rb * size + fb) // size)) >= 0.995 * 2000
 
 
+def test_too_few_codes_are_an_error():
+    x = np.random.default_rng(1).normal(size=(500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert capfilter.fit_codes(x, 50_000, 0.9, 512, 5.0).recall == 1.0
+    with pytest.raises(RuntimeError):
+        capfilter.fit_codes(x, 50_000, 0.9, 512, 0.5, most_codes=2)
+
+
 def test_decoding_lists_every_exceeding_filter():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(50, 12))
@@ -117,7 +125,7 @@ def pages(spark):
 
 @pytest.mark.parametrize("split", [64, 1000, 1 << 22])
 def test_archives_read_back(spark, split):
-    manifest = warc.write(pages(spark), warc.archive_folder(spark))
+    manifest = warc.write(pages(spark), warc.archive_folder(spark), broadcast_digests=split % 3)  # with and without a broadcast
     got = {r["page_id"]: r for r in warc.read(spark, manifest, with_payload=True, split_bytes=split).collect()}
     assert len(got) == len(PAGES)
     for i, _, html in PAGES:

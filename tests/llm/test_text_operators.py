@@ -319,6 +319,22 @@ def test_descending_documents_balance_cost():
     assert max(cost.values()) < 1.5 * min(cost.values())
 
 
+def test_documents_are_cut_only_where_none_has_room(spark):
+    """On a real table: full sequences cost about the same, and few documents that would fit are cut."""
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), BYTES).collect()
+    cost, used, pieces, size = defaultdict(float), defaultdict(int), Counter(), {}
+    for r in rows:
+        cost[r["sequence_id"]] += r["length"] + r["length"] ** 2 / 1024
+        used[r["sequence_id"]] += r["length"]
+        pieces[r["doc_id"]] += 1
+        size[r["doc_id"]] = r["doc_tokens"]
+    shared = [c for s, c in cost.items() if used[s] == 1024 and c < 2048]
+    assert np.percentile(shared, 75) <= 1.25 * np.percentile(shared, 25)
+    short = [d for d, n in size.items() if n < 1024]
+    assert sum(pieces[d] > 1 for d in short) <= 0.12 * len(short)
+    assert len(rows) <= 1.2 * sum(-(-n // 1024) for n in size.values())
+
+
 # ---- 7: quality ----
 
 
