@@ -332,7 +332,7 @@ def test_documents_are_cut_only_where_none_has_room(spark):
     assert np.percentile(shared, 75) <= 1.25 * np.percentile(shared, 25)
     short = [d for d, n in size.items() if n < 1024]
     assert sum(pieces[d] > 1 for d in short) <= 0.12 * len(short)
-    assert len(rows) <= 1.2 * sum(-(-n // 1024) for n in size.values())
+    assert len(rows) <= sum(-(-n // 1024) for n in size.values()) + len(used)  # without padding, a sequence costs one cut at most
 
 
 # ---- 7: quality ----
