@@ -113,6 +113,16 @@ def test_a_passage_whose_seeds_stand_in_smaller_documents(spark):
         assert got == [(len(texts) - 1, len(texts) - 2, 20, 80)]
 
 
+def test_blocks_of_any_size_give_the_same_passages(spark):
+    """Anchors and references in other blocks; ids that repeat with other texts, and a document longer than a block."""
+    shared, other = noise("p", 70), noise("q", 60)
+    rows = [(i, " ".join(noise(f"a{i}", 40) + (shared if i % 3 == 0 else other) + noise(f"b{i}", 30))) for i in range(12)]
+    rows += [(5, " ".join(noise("c", 300) + shared)), (None, " ".join(other + noise("d", 20))), rows[4], (20, None), (21, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, parted = (sorted(map(tuple, substring.passages(docs, **how).collect()), key=str) for how in ({}, {"block_words": 150}))
+    assert whole == parted and len(whole) == 12  # all but the first with either passage; equal rows are one document
+
+
 def test_passages_can_be_removed(spark):
     shared = noise("p", 70)
     docs = documents(spark, [" ".join(shared), "one two\nthree " + " ".join(shared) + " four  five", " ".join(shared), "", None], odd=True)
