@@ -60,12 +60,13 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(wait)
 
 
-def cut(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """Write df to the shared storage and read it back, which ends its lineage. Returns the frame and its folder."""
+def cut(df: DataFrame, what: str, free: bool = True) -> tuple[DataFrame, str]:
+    """Write df to the shared storage and read it back, which ends its lineage. Returns the frame and its folder. With free, files of shuffles that are done go at once: for steps whose shuffles are large against their input."""
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
-    free_shuffles(spark)
+    if free:
+        free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
