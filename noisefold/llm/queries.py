@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisefold.llm import bpe, capfilter, divergence, kneserney, licenses, packing, simhash, substring, topk, toxicity, trees, warc
+from noisefold.llm import bpe, capfilter, divergence, kneserney, licenses, packing, phrases, simhash, substring, topk, toxicity, trees, warc
 from noisefold.llm.common import load, ship
 
 
@@ -60,6 +60,10 @@ def op11_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.digests(trees.threads(turns.unionByName(trees.control(spark))))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(load(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(load(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_substring, op2_licenses, op3_topk, op4_bpe, op5_packing, op6_caps, op7_quality, op8_simhash, op9_warc, op10_toxicity, op11_trees, op13_divergence)}
+    return {f.__name__: _shipped(f) for f in (op1_substring, op2_licenses, op3_topk, op4_bpe, op5_packing, op6_caps, op7_quality, op8_simhash, op9_warc, op10_toxicity, op11_trees, op12_phrases, op13_divergence)}
 
 
 _VECTORS = """v AS (
@@ -126,6 +130,31 @@ c AS (
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM c""",
+        "op12_phrases": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+),
+p AS (SELECT row_number() OVER () AS piece, lang, text FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS text FROM d)),
+w AS (SELECT piece, lang, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT piece, lang, regexp_extract_all(text, '[^\x20\x09]+') AS words FROM p)),
+f AS (
+  SELECT lang, k AS size, array_to_string(words[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100
+),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c JOIN n USING (lang)
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1 : k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[k + 1 :], ' ')
+),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT b.* FROM best b
+  WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.a = b.a AND len(c.phrase) > len(b.phrase) AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
         "op13_divergence": r"""
 WITH d AS (
   SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
