@@ -1,12 +1,15 @@
 """Operator 11: reply trees as training conversations, with DataFrame functions only.
 
-Messages name the message that they reply to. Iterative self-joins enumerate root-to-leaf paths by pointer doubling: round k joins the table with itself to learn each message's ancestor at distance 2^k, its distance from the root and the score above it, so a thread of a million replies takes twenty rounds. Branches are ranked by score within their tree; only the chosen leaves then walk up, again by doubling: joined with the tables from the highest round down, every row becomes itself and its ancestor at that distance, until a path has all its messages. Each path is formatted as one conversation with a loss mask.
+Messages name the message that they reply to. Iterative self-joins enumerate root-to-leaf paths by pointer doubling: round k joins the table with itself to learn each message's ancestor at distance 2^k, its distance from the root and the score above it, so a thread of a million replies takes twenty rounds; messages that have reached their root take no further part. Branches are ranked by score within their tree; only the chosen leaves then walk up, again by doubling: joined with the tables from the highest round down, every row becomes itself and its ancestor at that distance, until a path has all its messages. Each path is formatted as one conversation with a loss mask.
 
 Every join is on message keys, which are unique on one side, so a message with a third of all replies is a hot key of the many side alone, which adaptive execution splits. The doubling carries keys and numbers; texts are shuffled twice, to their path and into their conversation. Best branches are cut before the shuffle of the ranking. A conversation is one row in the end, as long as its messages.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +42,10 @@ def _role(head: Column) -> Column:
 
 
 
+def _joined(parts: Iterable[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def paths(links: DataFrame, branches: int = BRANCHES) -> DataFrame:
     """links: (tree, id, parent, score), one row per id within a tree. One row (tree, leaf, rank, score, id, pos) per message of each tree's `branches` best paths; pos counts from the root, 0 on.
 
@@ -55,9 +62,11 @@ def paths(links: DataFrame, branches: int = BRANCHES) -> DataFrame:
         if going in (0, before):  # as many messages are 2^k from a root as 2^(k - 1): those left are in cycles or below them
             break
         before = going
-        far = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("jump").alias("j"), F.col("total").alias("s"), F.col("length").alias("l"))
-        state = state.join(far, state["tree"].eqNullSafe(far["t"]) & (state["jump"] == far["n"]), "left").select("tree", "node", F.col("j").alias("jump"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("l", F.lit(0))).alias("length"))
-    done = tables[-1].where("jump is null")
+        # Those whose root is reached are as they are; the others look at whatever stands at their jump.
+        far = _joined(t.where("jump is null") for t in tables).unionByName(state.where("jump is not null")).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("jump").alias("j"), F.col("total").alias("s"), F.col("length").alias("l"))
+        active = state.where("jump is not null")
+        state = active.join(far, active["tree"].eqNullSafe(far["t"]) & (active["jump"] == far["n"])).select("tree", "node", F.col("j").alias("jump"), (F.col("total") + F.col("s")).alias("total"), (F.col("length") + F.col("l")).alias("length"))
+    done = _joined(t.where("jump is null") for t in tables)
     parents = tables[0].where("jump is not null").select(F.col("tree").alias("t"), F.col("jump").alias("n")).distinct()
     leaves = done.join(parents, done["tree"].eqNullSafe(parents["t"]) & (done["node"] == parents["n"]), "left_anti").withColumn("score", F.col("total") / F.col("length"))
     best = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
