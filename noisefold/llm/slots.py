@@ -158,7 +158,8 @@ class Table:
 
     def _by_shard(self, shards: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
         if self.manifest.bits == 0:
-            yield 0, slice(None)
+            if self.manifest.n:
+                yield 0, slice(None)
             return
         order = np.argsort(shards, kind="stable")
         cuts = np.searchsorted(shards[order], np.arange(len(self.manifest.files) + 1))
