@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from noisefold.functions import rng, schedules, vectors
 from noisefold.operators import alternatives, kmeans, metrics, noise, prep, reduction, seeding, significance, stats
 from noisefold.plans import methods, reports
-from noisefold.sources import runs, sinks, synthetic, tables, text
+from noisefold.sources import runs, sinks, storage, synthetic, tables, text
 from noisefold.streaming import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -836,6 +836,27 @@ def q31_ablation_tables(spark, d):
     return reports.summary(_r(spark, d), ["dataset", "method", "eps_tot"], ["f1"], ["mean", "std", "count"])
 
 
+# Three forms of logs: other columns, in another order.
+_FORMS = ("t,macro_f1,sse,non_empty_k,max_cluster_ratio,runtime_sec", "iter,sse_x,runtime_ms_total,macro_f1", "runtime,max_cluster_ratio_final,non_empty_k_final,macro_f1,t")
+
+
+@query("""WITH l AS (SELECT event_id, (['har', 'gas'])[CAST(user_id % 2 + 1 AS INT)] AS dataset, event_type AS method, CAST(([0.5, 1.0])[CAST(user_id % 2 + 1 AS INT)] AS DOUBLE) AS eps_tot, CAST(event_id % 7 AS INT) AS seed,
+  CAST(event_id % 7 % 3 AS INT) AS form, CASE WHEN event_id % 500 < 3 THEN -1 ELSE 1 END AS t, CASE WHEN event_id % 11 > 0 THEN value / 500 END AS f1, value * 37 AS sse, CAST(event_id % 5 AS DOUBLE) AS non_empty, CASE WHEN event_id % 13 > 0 THEN value / 600 END AS ratio, value * 3 AS ms FROM events),
+x AS (SELECT *, row_number() OVER (PARTITION BY dataset, method, eps_tot, seed ORDER BY CASE WHEN t < 0 THEN 3 WHEN f1 IS NOT NULL AND (form > 0 OR ratio IS NOT NULL) THEN 1 ELSE 0 END DESC, event_id DESC) AS p FROM l)
+SELECT dataset, method, eps_tot, seed, ~(f1) AS macro_f1, ~(CASE WHEN form < 2 THEN sse END) AS sse, ~(CASE WHEN form <> 1 THEN non_empty END) AS non_empty_k, ~(CASE WHEN form <> 1 THEN ratio END) AS max_cluster_ratio, ~(CASE form WHEN 2 THEN ms ELSE ms / 1000 END) AS runtime_sec FROM x WHERE p = 1""")
+def q30_run_collection(spark, d):
+    """Events as a tree of run logs of three forms, written and collected."""
+    u, i, v = F.col("user_id"), F.col("event_id"), F.col("value")
+    form = i % 7 % 3
+    e = tables.table(spark, d, "events").select(
+        F.element_at(F.array(F.lit("har"), F.lit("gas")), (u % 2 + 1).cast("int")).alias("dataset"), F.col("event_type").alias("method"), F.element_at(F.array(F.lit(0.5), F.lit(1.0)), (u % 2 + 1).cast("int")).alias("eps"), (i % 7).cast("int").alias("seed"), i.alias("line"),
+        F.when(form == 0, _FORMS[0]).when(form == 1, _FORMS[1]).otherwise(_FORMS[2]).alias("header"), F.when(i % 500 < 3, -1).otherwise(1).alias("t"), F.when(i % 11 > 0, v / 500).alias("macro_f1"), (v * 37).alias("sse"), (i % 5).cast("double").alias("non_empty_k"), F.when(i % 13 > 0, v / 600).alias("max_cluster_ratio"), (v * 3).alias("runtime"),
+    ).withColumns({"iter": F.col("t"), "sse_x": F.col("sse"), "non_empty_k_final": F.col("non_empty_k"), "max_cluster_ratio_final": F.col("max_cluster_ratio"), "runtime_sec": F.col("runtime") / 1000, "runtime_ms_total": F.col("runtime")})
+    folder = storage.new_folder(spark, "logs")
+    sinks.write_run_logs(e, folder).count()
+    return runs.collect_runs(spark, f"{folder}/*/*/eps*_seed*.csv")
+
+
 @query(f"""WITH {R}, t AS (SELECT d.dataset, m.method, e.eps, CAST(s.range AS INT) AS seed FROM (SELECT unnest(['har', 'gas', 'new']) AS dataset) d, (SELECT unnest(['view', 'click', 'fresh']) AS method) m, (SELECT CAST(unnest([0.5, 1.0]) AS DOUBLE) AS eps) e, range(25) s)
 SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.dataset = t.dataset AND r.method = t.method AND r.eps_tot = t.eps AND r.seed = t.seed)""")
 def q33_resume(spark, d):

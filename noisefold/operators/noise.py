@@ -105,8 +105,31 @@ def subsample(df: DataFrame, share: float, least: int, *seed: object) -> DataFra
     return df if max(int(n * share), least) >= n else first_by_draw(df, max(int(n * share), least), *seed)
 
 
+SORTED = 10_000  # rows that may meet in one task or the driver
+
+
 def first_by_draw(df: DataFrame, n: int, *seed: object) -> DataFrame:
-    return df.withColumn("_u", rng.uniform_col(*seed, F.col("row_id"))).orderBy("_u", "row_id").limit(n).drop("_u")
+    """The n rows of the smallest keyed draws, ties by row_id. More than SORTED rows are told by a cut, so that none are sorted or shuffled: histograms of the draws find the bucket in which the n-th lies, closer each time, and the draws of a bucket of at most SORTED rows the n-th itself. row_id names a row: rows that share one share its draw, and stay or go together there."""
+    drawn = df.withColumn("_u", rng.uniform_col(*seed, F.col("row_id")))
+    if n <= SORTED:
+        return drawn.orderBy("_u", "row_id").limit(n).drop("_u")
+    keys, low, size, buckets, left = drawn.select("_u", "row_id"), 0.0, 1.0, 1024, n
+    while True:  # the n-th is the left-th of those from low to low + size
+        inside = keys.where((F.col("_u") >= low) & (F.col("_u") < low + size))
+        counts = dict(inside.groupBy(F.floor((F.col("_u") - low) / size * buckets).cast("int").alias("b")).agg(F.count("*").alias("n")).collect())  # at most a row per bucket
+        before = 0
+        for b in sorted(counts):
+            if before + counts[b] >= left:
+                break
+            before += counts[b]
+        else:
+            return df  # fewer than n rows
+        low, size, left = low + size * b / buckets, size / buckets, left - before
+        if counts[b] <= SORTED or size < 2**-50:
+            break
+    inside = keys.where((F.col("_u") >= low) & (F.col("_u") < low + size))
+    cut = inside.orderBy("_u", "row_id").limit(left).agg(F.max(F.struct("_u", "row_id")).alias("x")).first()["x"]
+    return drawn.where((F.col("_u") < cut["_u"]) | ((F.col("_u") == cut["_u"]) & (F.col("row_id") <= cut["row_id"]))).drop("_u")
 
 
 def prefix_columns(df: DataFrame, d: int) -> DataFrame:

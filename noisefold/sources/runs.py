@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noisefold.sources import lines
+
 
 def find_column(df: DataFrame, options: Sequence[str]) -> str | None:
     """The first option that df has, compared without case."""
@@ -60,15 +62,58 @@ def final_row(df: DataFrame, by: Sequence[str], order: str, metrics: Sequence[st
     return df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(rank.alias("rank"), F.col(order))).alias("_x")).select(*by, "_x.*")
 
 
-def run_logs(spark: SparkSession, glob: str, methods: Mapping[str, str] | None = None) -> DataFrame:
-    """Logs {dataset}/{method}/eps{e}_seed{s}.csv with dataset, method, eps, seed from the path; unknown methods are skipped. `line` keeps the order within a file."""
-    df = spark.read.csv(glob, header=True, inferSchema=True).withColumn("_path", F.col("_metadata.file_path")).withColumn("line", F.monotonically_increasing_id())
-    part = lambda n: F.regexp_extract("_path", r"([^/]+)/([^/]+)/eps([0-9.]+)_seed([0-9]+)\.csv$", n)
-    df = df.withColumn("dataset", part(1)).withColumn("method", part(2)).withColumn("eps", F.expr("try_cast(regexp_extract(_path, 'eps([0-9.]+)_seed', 1) as double)")).withColumn("seed", F.expr("try_cast(regexp_extract(_path, '_seed([0-9]+)', 1) as int)")).where("eps is not null and seed is not null").drop("_path")
-    if methods is None:
-        return df
-    names = spark.createDataFrame(list(methods.items()), "method string, _name string")
-    return df.join(F.broadcast(names), "method").withColumn("method", F.col("_name")).drop("_name")
+# Columns that logs may have, the metrics whose presence makes a row whole, and texts that stand for a missing value.
+LOG_COLUMNS = "t int, iter int, macro_f1 double, sse double, sse_x double, non_empty_k double, non_empty_k_final double, max_cluster_ratio double, max_cluster_ratio_final double, runtime_sec double, runtime_ms_total double, runtime_ms double, runtime double"
+WHOLE = ("macro_f1", "sse", "non_empty_k", "max_cluster_ratio")
+MISSING = ("", "nan", "na", "n/a", "null", "none")
+LOG_PATH = r"([^/]+)/([^/]+)/eps([0-9.]+)_seed([0-9]+)\.csv$"
+
+
+def run_logs(spark: SparkSession, glob: str, methods: Mapping[str, str] | None = None, columns: str = LOG_COLUMNS) -> DataFrame:
+    """Logs {dataset}/{method}/eps{e}_seed{s}.csv as rows dataset, method, eps, seed (from the path), line, header, and `columns` with their types.
+
+    Each file's own first line names its columns, whatever their order, number and case of the others' are; header has those names. A column that a file lacks, a missing value and one that isn't of the type are null. Lines count from 0 in each file, the header being 0; blank ones are left out. Files whose names aren't of that form are skipped, and with methods (name in the path to name in the result) those of other methods. Values may be quoted but not hold line ends. An empty file has no rows. Files are read in splits: their headers are a row each, joined by path.
+    """
+    rows = lines.numbered(spark, glob)
+    part = lambda n: F.regexp_extract("path", LOG_PATH, n)
+    rows = rows.where(F.col("path").rlike(LOG_PATH)).select("path", "line", "value", F.url_decode(F.regexp_replace(part(1), r"\+", "%2B")).alias("dataset"), F.url_decode(F.regexp_replace(part(2), r"\+", "%2B")).alias("method"), part(3).try_cast("double").alias("eps"), part(4).try_cast("int").alias("seed")).where("eps is not null and seed is not null")
+    if methods is not None:
+        names = spark.createDataFrame(list(methods.items()), "method string, _name string")  # the caller's mapping
+        rows = rows.join(F.broadcast(names), "method").withColumn("method", F.col("_name")).drop("_name")
+    heads = rows.where("line = 0").select("path", F.regexp_replace("value", "^\ufeff", "").alias("_head"))
+    width = heads.agg(F.max(F.size(F.split("_head", ",", -1)))).first()[0] or 1
+    cells = lambda c: F.from_csv(c, ", ".join(f"_{i} string" for i in range(width)), {"mode": "PERMISSIVE"})
+    listed = lambda c: F.array(*(F.trim(cells(c)[f"_{i}"]) for i in range(width)))
+    heads = heads.select("path", F.filter(listed("_head"), lambda x: x.isNotNull()).alias("header"))
+    fields = [f.split() for f in columns.split(", ")]
+    places = heads.select("path", "header", *(F.array_position("header", F.lit(n)).cast("int").alias(f"_at_{n}") for n, _ in fields))
+    body = rows.where(F.trim("value") != "").where("line > 0").withColumn("_cells", listed("value")).join(places, "path")
+
+    def value(name: str, kind: str) -> Column:
+        text = F.try_element_at("_cells", F.when(F.col(f"_at_{name}") > 0, F.col(f"_at_{name}")))
+        real = F.when(~F.lower(text).isin(*MISSING), text)
+        return (real.try_cast("double").try_cast(kind) if kind in ("int", "long", "bigint") else real.try_cast(kind)).alias(name)
+
+    return body.select("path", "dataset", "method", "eps", "seed", "line", "header", *(value(*f) for f in fields))
+
+
+def collect_runs(spark: SparkSession, glob: str, methods: Mapping[str, str] | None = None) -> DataFrame:
+    """The tidy table of a directory of run logs: dataset, method, eps_tot, seed, macro_f1, sse, non_empty_k, max_cluster_ratio, runtime_sec, a row per file that has any.
+
+    A file's row is its last with t < 0, else its last with iter < 0, else its last in which those of WHOLE that its header names (one at least) are all there, else its last. sse, non_empty_k and max_cluster_ratio are read from sse_x and the _final columns where the header doesn't name them; the time is that of the first of runtime_sec, runtime_ms_total, runtime_ms and runtime that it names.
+    """
+    logs = run_logs(spark, glob, methods)
+    has = lambda c: F.array_contains("header", F.lit(c))
+    negative = lambda c: F.coalesce(F.col(c) < 0, F.lit(False))
+    whole, some = F.lit(True), F.lit(False)
+    for m in WHOLE:
+        whole, some = whole & (~has(m) | F.col(m).isNotNull()), some | has(m)
+    rank = F.when(negative("t"), 3).when(negative("iter"), 2).when(whole & some, 1).otherwise(0)
+    read = lambda a, b: F.when(has(a), F.col(a)).otherwise(F.col(b))
+    seconds = F.when(has("runtime_sec"), F.col("runtime_sec")).when(has("runtime_ms_total"), F.col("runtime_ms_total") / 1000).when(has("runtime_ms"), F.col("runtime_ms") / 1000).otherwise(F.col("runtime"))
+    kept = F.struct("macro_f1", read("sse", "sse_x").alias("sse"), read("non_empty_k", "non_empty_k_final").alias("non_empty_k"), read("max_cluster_ratio", "max_cluster_ratio_final").alias("max_cluster_ratio"), seconds.alias("runtime_sec"))
+    last = logs.groupBy("path", "dataset", "method", "eps", "seed").agg(F.max_by(kept, F.struct(rank, F.col("line"))).alias("_x"))
+    return last.select("dataset", "method", F.col("eps").alias("eps_tot"), "seed", "_x.*")
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,24 @@ def write_history(history: DataFrame, path: str, run: Mapping[str, object]) -> N
     out.write.mode("append").partitionBy(*run).parquet(path)
 
 
+def write_run_logs(rows: DataFrame, folder: str, header: str = "header", order: str = "line") -> DataFrame:
+    """A log file {dataset}/{method}/eps{e}_seed{s}.csv for each run of rows (dataset, method, eps, seed, `header`, `order`, cells by name), with the columns that the run's header (names joined by commas, the same in all its rows) lists; a row with the path for each. A run is a log of some steps and is written by one task; a repeated attempt writes the same file."""
+
+    def write(run: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        one = run.iloc[0]
+        names = one[header].split(",")
+        where, base = fs.FileSystem.from_uri(folder)
+        name = f"{one['dataset']}/{one['method']}/eps{float(one['eps'])!r}_seed{one['seed']}.csv"
+        where.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+        with where.open_output_stream(f"{base}/{name}") as f:
+            f.write(run.sort_values(order)[names].to_csv(index=False).encode())
+        return pd.DataFrame({"path": [f"{folder}/{name}"]})
+
+    return rows.groupBy("dataset", "method", "eps", "seed").applyInPandas(write, "path string")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 

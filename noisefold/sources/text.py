@@ -6,25 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noisefold.sources import lines
 
-def whitespace_rows(lines: DataFrame, value: str = "value", into: str = "features") -> DataFrame:
+
+def whitespace_rows(rows: DataFrame, value: str = "value", into: str = "features") -> DataFrame:
     """Numbers split at white space as an array of doubles; blank lines go."""
     text = F.trim(F.regexp_replace(value, r"\s+", " "))
-    return lines.where(text != "").withColumn(into, F.transform(F.split(text, " "), lambda x: x.cast("double"))).drop(value)
-
-
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """line, value of one text file, lines numbered from 0 in file order: the whole file is one row of the binary reader only for its newlines, so files are at most a few hundred MB."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n+$", ""), "\n")).alias("line", "value"))
+    return rows.where(text != "").withColumn(into, F.transform(F.split(text, " "), lambda x: x.cast("double"))).drop(value)
 
 
 def split_matrix(spark: SparkSession, root: str, parts: tuple[str, ...] = ("train", "test"), shape: tuple[int, int] | None = (10299, 561)) -> DataFrame:
     """row_id, features, label of {root}/{part}/X_{part}.txt and y_{part}.txt, parts in order; labels become zero based. A frame of another shape is an error."""
     out = None
     for n, part in enumerate(parts):
-        x = whitespace_rows(_numbered(spark, f"{root}/{part}/X_{part}.txt"))
-        y = _numbered(spark, f"{root}/{part}/y_{part}.txt").select("line", (F.trim("value").cast("int") - 1).alias("label"))
+        x = whitespace_rows(lines.numbered(spark, f"{root}/{part}/X_{part}.txt").select("line", "value"))
+        y = lines.numbered(spark, f"{root}/{part}/y_{part}.txt").select("line", (F.trim("value").cast("int") - 1).alias("label"))
         both = x.join(y, "line").select((F.lit(n) * (1 << 40) + F.col("line")).alias("row_id"), "features", "label")
         out = both if out is None else out.unionByName(both)
     if shape:
@@ -34,7 +30,7 @@ def split_matrix(spark: SparkSession, root: str, parts: tuple[str, ...] = ("trai
     return out
 
 
-def sparse_rows(lines: DataFrame, width: int = 128, value: str = "value") -> DataFrame:
+def sparse_rows(rows: DataFrame, width: int = 128, value: str = "value") -> DataFrame:
     """label (zero based), concentration and dense features of lines `class;concentration index:value ...`.
 
     Blank lines go, tokens without a colon are skipped, missing indices are 0 and of repeated ones the last counts; a line without a semicolon or an index outside 1..width is an error when the row is read.
@@ -49,21 +45,21 @@ def sparse_rows(lines: DataFrame, width: int = 128, value: str = "value") -> Dat
     outside = bound(lambda p: F.exists(p, lambda e: ~e["i"].between(1, width)))
     dense = bound(lambda p: F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.coalesce(F.try_element_at(F.filter(p, lambda e: e["i"] == i), F.lit(-1))["x"], F.lit(0.0))))
     checked = F.when(F.size(head) < 2, F.raise_error(F.concat(F.lit("no class;concentration: "), text)).cast(T.ArrayType(T.DoubleType()))).when(outside, F.raise_error(F.concat(F.lit("index out of range: "), text)).cast(T.ArrayType(T.DoubleType()))).otherwise(dense)
-    return lines.where(text != "").withColumn("features", checked).withColumn("label", F.element_at(head, 1).cast("int") - 1).withColumn("concentration", F.try_element_at(head, F.lit(2)).cast("double")).drop(value)
+    return rows.where(text != "").withColumn("features", checked).withColumn("label", F.element_at(head, 1).cast("int") - 1).withColumn("concentration", F.try_element_at(head, F.lit(2)).cast("double")).drop(value)
 
 
 def sparse_files(spark: SparkSession, glob: str, width: int = 128) -> DataFrame:
     """sparse_rows of many files; batch_id is the file's place in the lexicographic order of names, from 1."""
     from pyspark.sql import Window
 
-    lines = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("path"))
-    files = lines.select("path").distinct().withColumn("batch_id", F.row_number().over(Window.orderBy("path")))
-    return sparse_rows(lines.join(F.broadcast(files), "path").drop("path"), width)
+    rows = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("path"))
+    files = rows.select("path").distinct().withColumn("batch_id", F.row_number().over(Window.orderBy("path")))
+    return sparse_rows(rows.join(F.broadcast(files), "path").drop("path"), width)
 
 
-def table_cells(lines: DataFrame, least: int = 12, value: str = "value") -> DataFrame:
+def table_cells(rows: DataFrame, least: int = 12, value: str = "value") -> DataFrame:
     """Cells of typeset table rows: lines split at &, at least `least` cells, none that begin with a backslash, second cell a number (eps)."""
     text = F.trim(F.regexp_replace(value, r"\\\\\s*$", ""))
     cells = F.transform(F.split(text, "&"), lambda c: F.trim(c))
-    out = lines.where(~F.trim(value).startswith("\\")).withColumn("cells", cells).where(F.size("cells") >= least)
+    out = rows.where(~F.trim(value).startswith("\\")).withColumn("cells", cells).where(F.size("cells") >= least)
     return out.withColumn("eps", F.expr("try_cast(element_at(cells, 2) AS double)")).where("eps is not null").drop(value)
