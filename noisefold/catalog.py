@@ -605,6 +605,12 @@ def c26_run_methods(spark, d):
     return methods.experiment(_e(spark, d), "embeddings", 10, ["dpk", "dpk_full"], [200.0], [0], **_QUICK).drop("runtime_ms_total")
 
 
+@query()
+def c26_grid(spark, d):
+    """Every method with two budgets and two seeds."""
+    return methods.experiment(_e(spark, d), "embeddings", 10, list(methods.METHODS), [50.0, 200.0], [0, 1], **_QUICK).drop("runtime_ms_total")
+
+
 @query()
 def c32_density(spark, d):
     return alternatives.density(_e(spark, d), 10, 50.0, "d")[0].groupBy("cluster").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ A step needs one distributed pass: the sufficient statistics under the current c
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Generator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +29,28 @@ class Fit:
         return spark.createDataFrame([tuple(h[n] for n in names) for h in self.history], HISTORY)
 
 
-def dp_kmeans(df: DataFrame, init: np.ndarray, steps: int, eps: float, clip: float, *seed: object, mode: str = "static", schedule: list[float] | None = None, rule: dict | None = None, guard: schedules.Guard | None = None, reset: np.ndarray | None = None, boost: float = 1.3, boost_above: float = 0.55, cap: float | None = None, count_share: float = 0.2) -> Fit:
-    """At most `steps` noisy steps on df.features within the budget eps; stops when it is spent.
+def dp_kmeans(df: DataFrame, init: np.ndarray, steps: int, eps: float, clip: float, *seed: object, **how) -> Fit:
+    """At most `steps` noisy steps on df.features within the budget eps; stops when it is spent. Options are those of lloyd()."""
+    return drive([lloyd(init, steps, eps, clip, *seed, **how)], lambda asked: [stats.cluster_sums(df, c) for _, c in asked])[0]
+
+
+def drive(fits: Sequence[Generator[np.ndarray, stats.Sums, Fit]], sums: Callable[[list[tuple[int, np.ndarray]]], list[stats.Sums]]) -> list[Fit]:
+    """Run lloyd() generators together: what those that still ask want, (which, centroids) each, is answered by one call of sums."""
+    done: list[Fit | None] = [None] * len(fits)
+    asked = [(i, next(f)) for i, f in enumerate(fits)]
+    while asked:
+        answers, nxt = sums(asked), []
+        for (i, _), got in zip(asked, answers):
+            try:
+                nxt.append((i, fits[i].send(got)))
+            except StopIteration as e:
+                done[i] = e.value
+        asked = nxt
+    return done
+
+
+def lloyd(init: np.ndarray, steps: int, eps: float, clip: float, *seed: object, mode: str = "static", schedule: list[float] | None = None, rule: dict | None = None, guard: schedules.Guard | None = None, reset: np.ndarray | None = None, boost: float = 1.3, boost_above: float = 0.55, cap: float | None = None, count_share: float = 0.2) -> Generator[np.ndarray, stats.Sums, Fit]:
+    """The steps without the rows: yields centroids, is sent the sums of the clusters nearest to them, and returns the fit.
 
     mode is static, feedback, feedback_v2 or feedback_v3, unless an explicit schedule is given: that is rescaled to what is left at each step, and raised by boost where a cluster is empty or holds more than boost_above of the rows. reset are the points for clusters whose noisy count isn't positive (the initial centroids by default).
     """
@@ -45,7 +66,7 @@ def dp_kmeans(df: DataFrame, init: np.ndarray, steps: int, eps: float, clip: flo
     c, left = np.array(init, float), float(eps)
     k, d = c.shape
     spare = c.copy() if reset is None else reset
-    sums = stats.cluster_sums(df, c)
+    sums = yield c
     history: list[dict] = []
     ratios: list[tuple[float, float]] = []
     for t in range(steps):
@@ -75,7 +96,7 @@ def dp_kmeans(df: DataFrame, init: np.ndarray, steps: int, eps: float, clip: flo
         total = float(counts.sum())
         weight = np.sqrt(counts / ((total if math.isfinite(total) and total > 0 else float(sums.n.sum())) + 1e-12))[:, None]
         drift = float(np.linalg.norm((new - c) * weight))
-        nxt = stats.cluster_sums(df, new)
+        nxt = yield new
         old_error = sums.sse(new)
         history.append(
             {

@@ -28,6 +28,20 @@ def agreement(table: DataFrame) -> DataFrame:
     return one.select(ari.alias("ari"), F.when(h <= 0, 1.0).otherwise(F.greatest(F.col("mi"), F.lit(0.0)) / h).alias("nmi"))
 
 
+def agreement_of(rows: list[tuple[int, int, int]]) -> tuple[float, float]:
+    """ari and nmi of collected (label, cluster, n) rows, as agreement() has them."""
+    pairs = lambda x: float((x * (x - 1) / 2).sum())
+    if not rows:
+        return 1.0, 1.0
+    labels, clusters = (np.unique([r[i] for r in rows], return_inverse=True)[1] for i in (0, 1))
+    n = np.array([r[2] for r in rows], float)
+    a, b, t = np.bincount(labels, n), np.bincount(clusters, n), n.sum()
+    both, expected, top = pairs(n), pairs(a) * pairs(b) / (t * (t - 1) / 2) if t > 1 else 0.0, (pairs(a) + pairs(b)) / 2
+    h = -sum(float((x / t * np.log(x / t)).sum()) for x in (a, b)) / 2
+    mutual = float((n / t * np.log(n * t / (a[labels] * b[clusters]))).sum())
+    return 1.0 if t < 2 or top == expected else (both - expected) / (top - expected), 1.0 if h <= 0 else max(mutual, 0.0) / h
+
+
 def match(table: np.ndarray) -> list[int]:
     """For each row of a square table the column of a best assignment (largest sum); of several best the lexicographically smallest. Shortest augmenting paths with potentials."""
     n = len(table)

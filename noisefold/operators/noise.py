@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noisefold.functions import rng, vectors
@@ -65,14 +66,20 @@ def add_noise(df: DataFrame, scale: float, *seed: object, col: str = "features")
     return df.withColumn(col, noisy)
 
 
-def proxy(df: DataFrame, target: int, eps: float, clip: float, *seed: object) -> tuple[DataFrame, np.ndarray, dict[str, float]]:
-    """Noisy random projection of the rows, the pseudo-inverse that lifts back, and its public quantities."""
+def proxy_facts(r: np.ndarray, eps: float, clip: float) -> dict[str, float]:
+    """Public quantities of a proxy under the projection r."""
     if eps <= 0:
         raise ValueError("a proxy needs a positive budget")
-    r = projection(len(df.select("features").first()[0]), target, *seed)
     norm = float(np.linalg.norm(r, 2))
     sensitivity = 2 * clip * norm * math.sqrt(r.shape[1])
-    return add_noise(times(df, r), sensitivity / eps, *seed, "proxy"), np.linalg.pinv(r), {"proxy_dim": r.shape[1], "proxy_op_norm": norm, "proxy_sensitivity": sensitivity, "proxy_noise_scale": sensitivity / eps}
+    return {"proxy_dim": r.shape[1], "proxy_op_norm": norm, "proxy_sensitivity": sensitivity, "proxy_noise_scale": sensitivity / eps}
+
+
+def proxy(df: DataFrame, target: int, eps: float, clip: float, *seed: object) -> tuple[DataFrame, np.ndarray, dict[str, float]]:
+    """Noisy random projection of the rows, the pseudo-inverse that lifts back, and its public quantities."""
+    r = projection(len(df.select("features").first()[0]), target, *seed)
+    facts = proxy_facts(r, eps, clip)
+    return add_noise(times(df, r), facts["proxy_noise_scale"], *seed, "proxy"), np.linalg.pinv(r), facts
 
 
 def point_noise_proxy(df: DataFrame, eps: float, bound: float, *seed: object) -> DataFrame:
@@ -113,23 +120,40 @@ def first_by_draw(df: DataFrame, n: int, *seed: object) -> DataFrame:
     drawn = df.withColumn("_u", rng.uniform_col(*seed, F.col("row_id")))
     if n <= SORTED:
         return drawn.orderBy("_u", "row_id").limit(n).drop("_u")
-    keys, low, size, buckets, left = drawn.select("_u", "row_id"), 0.0, 1.0, 1024, n
-    while True:  # the n-th is the left-th of those from low to low + size
-        inside = keys.where((F.col("_u") >= low) & (F.col("_u") < low + size))
-        counts = dict(inside.groupBy(F.floor((F.col("_u") - low) / size * buckets).cast("int").alias("b")).agg(F.count("*").alias("n")).collect())  # at most a row per bucket
-        before = 0
-        for b in sorted(counts):
-            if before + counts[b] >= left:
-                break
-            before += counts[b]
-        else:
-            return df  # fewer than n rows
-        low, size, left = low + size * b / buckets, size / buckets, left - before
-        if counts[b] <= SORTED or size < 2**-50:
-            break
-    inside = keys.where((F.col("_u") >= low) & (F.col("_u") < low + size))
-    cut = inside.orderBy("_u", "row_id").limit(left).agg(F.max(F.struct("_u", "row_id")).alias("x")).first()["x"]
-    return drawn.where((F.col("_u") < cut["_u"]) | ((F.col("_u") == cut["_u"]) & (F.col("row_id") <= cut["row_id"]))).drop("_u")
+    cut = cuts_by_draw(df, {0: (rng.key(*seed), n)}).get(0)
+    return df if cut is None else drawn.where((F.col("_u") < cut[0]) | ((F.col("_u") == cut[0]) & (F.col("row_id") <= cut[1]))).drop("_u")
+
+
+def cuts_by_draw(df: DataFrame, wanted: Mapping[int, tuple[str, int]], buckets: int = 1024) -> dict[int, tuple[float, int]]:
+    """For each name the draw and row_id of the n-th smallest draw under its (key, n), n at least 1; a name with fewer than n rows is left out. All names share the passes: a histogram of buckets a name, then, until they hold few, of the bucket in which the n-th lies."""
+    low, size, left = {w: 0.0 for w in wanted}, {w: 1.0 for w in wanted}, {w: n for w, (_, n) in wanted.items()}
+    out: dict[int, tuple[float, int]] = {}
+
+    def inside(some: Sequence[int]) -> DataFrame:
+        """Draws of the names that lie in their intervals."""
+        each = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(wanted[w][0]).alias("key"), F.lit(low[w]).alias("low"), F.lit(size[w]).alias("size")) for w in some)))
+        drawn = df.select("row_id", each.alias("x")).select("row_id", "x.*").withColumn("u", rng.uniform_col(F.col("key"), F.col("row_id")))
+        return drawn.where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + F.col("size")))
+
+    going, few = list(wanted), []
+    while going:
+        found: dict[int, dict[int, int]] = {w: {} for w in going}
+        for r in inside(going).groupBy("w", F.floor((F.col("u") - F.col("low")) / F.col("size") * buckets).cast("int").alias("b")).agg(F.count("*").alias("n")).collect():  # a row a bucket
+            found[r["w"]][r["b"]] = r["n"]
+        nxt = []
+        for w in going:
+            for b in sorted(found[w]):
+                if found[w][b] >= left[w]:
+                    low[w], size[w] = low[w] + size[w] * b / buckets, size[w] / buckets
+                    (few if found[w][b] <= SORTED or size[w] < 2**-50 else nxt).append(w)
+                    break
+                left[w] -= found[w][b]
+        going = nxt
+    if few:
+        at = F.element_at(F.create_map(*(F.lit(x) for w in few for x in (w, left[w]))), F.col("w"))
+        ranked = inside(few).withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("u", "row_id")))
+        out = {r["w"]: (r["u"], r["row_id"]) for r in ranked.where(F.col("r") == at).collect()}
+    return out
 
 
 def prefix_columns(df: DataFrame, d: int) -> DataFrame:

@@ -58,13 +58,17 @@ def noisy_top(scores: np.ndarray, m: int, eps: float, sensitivity: float, most:
     return out
 
 
+def noisy_choice(scores: np.ndarray, rows: int, m: int, eps: float, *seed: object, bound: float = 3.0, tau: float = TAU) -> tuple[list[int], dict[str, float]]:
+    """Positions of a noisy choice of m components by score, and its public quantities."""
+    cost = 2 * bound + tau
+    meta = {"score_sensitivity": variance_sensitivity(rows, bound) / (cost + tau), "score_max": bound**2 / cost}
+    return noisy_top(scores, m, eps, meta["score_sensitivity"], meta["score_max"], *seed), meta
+
+
 def select_noisy(df: DataFrame, m: int, eps: float, *seed: object, bound: float = 3.0, tau: float = TAU, col: str = "features") -> tuple[DataFrame, list[int], dict[str, float]]:
     """Noisy choice of m components by score: the frame with those components, their positions, and the public quantities."""
-    rows = df.count()
     scores = np.array([r["score"] for r in feature_scores(df, bound, tau, col).orderBy("dim").collect()])
-    cost = 2 * bound + tau
-    meta = {"score_sensitivity": variance_sensitivity(rows, bound) / (cost + tau), "score_max": bound**2 / cost}
-    picked = noisy_top(scores, m, eps, meta["score_sensitivity"], meta["score_max"], *seed)
+    picked, meta = noisy_choice(scores, df.count(), m, eps, *seed, bound=bound, tau=tau)
     return (df if m >= len(scores) else df.withColumn(col, vectors.gather(col, picked))), picked, meta
 
 

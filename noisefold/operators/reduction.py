@@ -46,13 +46,18 @@ def pca(df: DataFrame, r: int = 50, col: str = "features") -> DataFrame:
     return noise.times(df, components(cov, min(r, len(mean))), col, mean)
 
 
+def pca_scale(eps: float, clip: float, d: int) -> float:
+    """Noise of each component of rows whose length is at most clip."""
+    if eps <= 0:
+        raise ValueError("noisy components need a positive budget")
+    return 2 * clip * math.sqrt(d) / eps
+
+
 def noisy_pca(df: DataFrame, r: int, eps: float, clip: float, *seed: object) -> tuple[DataFrame, dict[str, float]]:
     """Components fitted on rows with noise, clean rows projected, clipped. With r >= d only the clip, and no budget spent."""
     d = len(df.select("features").first()[0])
     if r >= d:
         return prep.row_clip(df, clip), {"pca_noise_scale": 0.0, "pca_sensitivity": 0.0}
-    if eps <= 0:
-        raise ValueError("noisy components need a positive budget")
-    sensitivity = 2 * clip * math.sqrt(d)
-    _, mean, cov = moments(noise.add_noise(df, sensitivity / eps, *seed, "pca"))
-    return prep.row_clip(noise.times(df, components(cov, r), "features", mean), clip), {"pca_noise_scale": sensitivity / eps, "pca_sensitivity": sensitivity}
+    scale = pca_scale(eps, clip, d)
+    _, mean, cov = moments(noise.add_noise(df, scale, *seed, "pca"))
+    return prep.row_clip(noise.times(df, components(cov, r), "features", mean), clip), {"pca_noise_scale": scale, "pca_sensitivity": scale * eps}

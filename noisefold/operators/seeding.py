@@ -47,7 +47,10 @@ def fuzzy(df: DataFrame, k: int, *seed: object, rows: int = 3000, rounds: int =
     """Fuzzy c-means from a k-means++ start on at most `rows` rows by keyed draw, which fit the driver."""
     some = noise.first_by_draw(df, rows, *seed, "fuzzy")
     c = kmeanspp(some, k, *seed, "fuzzy")
-    x = np.array([r["features"] for r in some.select("features").collect()], float)
+    return fuzzy_rounds(np.array([r["features"] for r in some.select("features").collect()], float), c, rounds, power)
+
+
+def fuzzy_rounds(x: np.ndarray, c: np.ndarray, rounds: int = 50, power: float = 2.0) -> np.ndarray:
     for _ in range(rounds):
         near = (np.sqrt(((x[:, None] - c[None]) ** 2).sum(2)) + 1e-8) ** (-2 / (power - 1))
         weight = (near / near.sum(1, keepdims=True)) ** power
@@ -67,13 +70,18 @@ def layered_score(s: dict[str, float], k: int, cfg: dict) -> float:
     return s["sse"] * (1 + penalty)
 
 
+def wants_fuzzy(s: dict[str, float], k: int, cfg: dict) -> bool:
+    """Whether restarts that gave these statistics look collapsed, and a fallback is allowed."""
+    collapsed = s["non_empty"] < k or s["min_ratio"] < cfg.get("min_cluster_ratio", 1 / max(3 * k, 1)) or s["max_ratio"] > cfg.get("max_cluster_ratio", 0.75)
+    return bool(cfg.get("use_fuzzy_fallback", True) and collapsed)
+
+
 def layered(df: DataFrame, k: int, *seed: object, cfg: dict | None = None, restarts: int = 10) -> np.ndarray:
     """Restarts first; where their clusters look collapsed, fuzzy c-means if it scores better by the margin."""
     cfg = cfg or {}
     light = kmeanspp_best(df, k, max(int(cfg.get("rr_restarts_light", restarts)), 1), *seed)
     s = proxy_stats(df, light)
-    collapsed = s["non_empty"] < k or s["min_ratio"] < cfg.get("min_cluster_ratio", 1 / max(3 * k, 1)) or s["max_ratio"] > cfg.get("max_cluster_ratio", 0.75)
-    if not (cfg.get("use_fuzzy_fallback", True) and collapsed):
+    if not wants_fuzzy(s, k, cfg):
         return light
     heavy = fuzzy(df, k, *seed)
     return heavy if layered_score(proxy_stats(df, heavy), k, cfg) + cfg.get("switch_margin", 0.0) < layered_score(s, k, cfg) else light

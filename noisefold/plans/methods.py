@@ -6,9 +6,10 @@ Features are standardised, reduced, seeded on a noisy proxy and clustered; every
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Generator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,64 +110,117 @@ def proxy_budget(eps: float, ratio: float, least: float | None = None) -> tuple[
     return spent, eps - spent
 
 
-def run(df: DataFrame, dataset: str, name: str, k: int, eps: float, seed: int, **config) -> tuple[dict, kmeans.Fit, DataFrame]:
-    """One run: the result row, the fit, and the rows with their cluster. Configuration: DEFAULTS, then what the call gives; a method override in it wins over the registry."""
-    cfg = merged(DEFAULTS, split_overrides(config)[1])
-    m = resolve(name, config)
-    begun = time.perf_counter()
-    z = prep.standardise(df, cfg["bound"]).persist()
-    kept = [z]
-    n, d = z.count(), len(z.select("features").first()["features"])
-    key, clip = (seed, name), cfg["clip"]
-    m_top = min(cfg["top_m"], d)
-    width = m_top if m.features in ("noisy", "random") else d
+@dataclass
+class Plan:
+    """What a run is before any row is read: its method, widths, budget and key."""
+
+    dataset: str
+    name: str
+    k: int
+    eps: float
+    seed: int
+    n: int
+    d: int
+    cfg: dict
+    method: Method
+    pca: bool
+    init: str
+    eps_of: dict[str, float]
+
+    @property
+    def key(self) -> tuple[int, str]:
+        return self.seed, self.name
+
+    @property
+    def m_top(self) -> int:
+        return min(self.cfg["top_m"], self.d)
+
+    @property
+    def pca_r(self) -> int:
+        return min(self.cfg["pca_r"], self.d)
+
+    @property
+    def spares(self) -> int:
+        return max(128, 8 * self.k)
+
+    def control(self) -> dict:
+        return control_parameters(self.cfg["budget"], self.dataset, self.method.budget)
+
+    def lloyd(self, start: np.ndarray, reset: np.ndarray) -> Generator[np.ndarray, stats.Sums, kmeans.Fit]:
+        """The run's k-means steps, as kmeans.lloyd() gives them."""
+        m, control, steps, eps = self.method, self.control(), self.cfg["steps"], self.eps_of["eps_iter"]
+        schedule = {"strong": schedules.strong_contrast, "tail": schedules.fixed_tail}[m.schedule](eps, steps) if m.schedule else None
+        rule = control["rule"] | {x: v for x, v in m.feedback.items() if not x.startswith("guard")}
+        guard = {**(control["guard"] or {}), **m.feedback.get("guard", {})}
+        return kmeans.lloyd(start, steps, eps, self.cfg["clip"], *self.key, mode=m.budget, schedule=schedule, rule=rule, guard=schedules.Guard(**guard) if guard else None, reset=reset, cap=self.cfg.get("eps_cap", control["cap"]), boost=control["boost"], boost_above=control["boost_above"])
+
+    def result(self, fit: kmeans.Fit, meta: Mapping[str, float], quality: Mapping[str, float | None], sse_x: float, loop_ms: float, all_ms: float) -> dict:
+        """The result row."""
+        cfg, k, shape = self.cfg, self.k, fit.final.shape()
+        min_ratio = self.control()["collapse_below"] if cfg["budget"] else cfg["iteration_collapse_below"]
+        low = [h["non_empty_k"] < k or h["min_cluster_ratio"] < min_ratio for h in fit.history]
+        return {
+            "dataset": self.dataset, "method": self.name, "eps_tot": float(self.eps), "seed": self.seed, "k": k, "d": self.d, "r": fit.centroids.shape[1], "T": cfg["steps"], "n": self.n, **self.eps_of, "eps_proxy_ratio": float(cfg["proxy_ratio"]), "clip_norm": float(cfg["clip"]), "algo_variant": self.init,
+            "config_hash": runs.config_hash({"dataset": self.dataset, "method": self.name, "eps": self.eps, "seed": self.seed, "k": k, "n": self.n, "d": self.d, **{x: v for x, v in cfg.items()}}), "runtime_ms_total": loop_ms, "history_path": None, **meta,
+            "sse_x": sse_x, "sse_z": fit.final.sse(fit.centroids), **quality, "non_empty_k_final": shape["non_empty"], "max_cluster_ratio_final": shape["max_ratio"], "min_cluster_ratio_final": shape["min_ratio"], "cluster_entropy_final": shape["entropy"],
+            "collapse_final": int(shape["non_empty"] < k or shape["max_ratio"] > cfg["collapse_above"]), "collapse_rate": sum(low) / len(low) if low else None, "runtime_ms_all": all_ms, "privacy_audit": "exact moments; raw counts in control",
+        }
+
+
+NO_META = {"score_sensitivity": 0.0, "score_max": 0.0, "pca_noise_scale": 0.0, "proxy_sensitivity": 0.0, "proxy_noise_scale": 0.0, "proxy_dim": 0}
+
+
+def plan(dataset: str, name: str, k: int, eps: float, seed: int, n: int, d: int, config: Mapping) -> Plan:
+    """A run over n rows of d features. A ratio of zero means no proxy at all, and so a public start."""
+    cfg, m = merged(DEFAULTS, split_overrides(config)[1]), resolve(name, config)
+    width = min(cfg["top_m"], d) if m.features in ("noisy", "random") else d
     pca = m.pca and min(cfg["pca_r"], d) < width
-    # A ratio of zero means no proxy at all, and so a public start.
     init = "public_random" if cfg["proxy_ratio"] <= 0 else m.init
-    eps_of = budget_split(eps, m.features == "noisy", pca, 0.0 if init == "public_random" else cfg["proxy_ratio"])
-    meta: dict[str, float] = {"score_sensitivity": 0.0, "score_max": 0.0, "pca_noise_scale": 0.0, "proxy_sensitivity": 0.0, "proxy_noise_scale": 0.0, "proxy_dim": 0}
-    work = z.withColumn("_z", F.col("features"))  # the standardised rows go along for the error in their space
-    if m.features == "noisy":
-        work, _, found = prep.select_noisy(work, m_top, eps_of["eps_topm"], *key, "select", bound=cfg["bound"])
-        meta |= found
-    elif m.features == "random":
-        work, _ = prep.select_random(work, m_top, *key, "select")
-    work = prep.row_clip(work, clip)
-    if pca:
-        work, found = reduction.noisy_pca(work, min(cfg["pca_r"], d), eps_of["eps_pca"], clip, *key)
-        meta["pca_noise_scale"] = found["pca_noise_scale"]
-    work = prep.row_clip(work, clip).persist()
-    kept.append(work)
-    q = len(work.select("features").first()["features"])
-    if init == "public_random":
-        start, reset = noise.public_points(k, q, clip, *key, "init"), noise.public_points(max(128, 8 * k), q, clip, *key, "spare")
-    else:
-        rows, back, found = noise.proxy(work, cfg["proxy_dim"], eps_of["eps_proxy"], clip, *key)
-        meta |= {x: found[x] for x in ("proxy_dim", "proxy_sensitivity", "proxy_noise_scale")}
-        some = noise.subsample(rows, cfg["proxy_share"], cfg["proxy_least"], *key, "share").persist()
-        kept.append(some)
-        start = seeding.initial(init, some, back, k, q, clip, *key, restarts=cfg["restarts"], cfg=cfg["layered"])
-        reset = noise.lift(seeding.random_rows(some, min(max(128, 8 * k), 1024), *key, "spare"), back, clip)
-    loop = time.perf_counter()
-    schedule = {"strong": schedules.strong_contrast, "tail": schedules.fixed_tail}[m.schedule](eps_of["eps_iter"], cfg["steps"]) if m.schedule else None
-    control = control_parameters(cfg["budget"], dataset, m.budget)
-    rule = control["rule"] | {x: v for x, v in m.feedback.items() if not x.startswith("guard")}
-    guard = {**(control["guard"] or {}), **m.feedback.get("guard", {})}
-    fit = kmeans.dp_kmeans(work, start, cfg["steps"], eps_of["eps_iter"], clip, *key, mode=m.budget, schedule=schedule, rule=rule, guard=schedules.Guard(**guard) if guard else None, reset=reset, cap=cfg.get("eps_cap", control["cap"]), boost=control["boost"], boost_above=control["boost_above"])
-    loop_ms = (time.perf_counter() - loop) * 1000
-    out = stats.assign(work, fit.centroids).select("row_id", F.col("_z").alias("features"), "cluster", "label").persist()
-    shape, min_ratio = fit.final.shape(), control["collapse_below"] if cfg["budget"] else cfg["iteration_collapse_below"]
-    low = [h["non_empty_k"] < k or h["min_cluster_ratio"] < min_ratio for h in fit.history]
-    found = metrics.quality(out) if df.schema["label"].dataType.typeName() != "void" else {"ari": None, "nmi": None, "f1": None}
-    result = {
-        "dataset": dataset, "method": name, "eps_tot": float(eps), "seed": seed, "k": k, "d": d, "r": q, "T": cfg["steps"], "n": n, **eps_of, "eps_proxy_ratio": float(cfg["proxy_ratio"]), "clip_norm": float(clip), "algo_variant": init,
-        "config_hash": runs.config_hash({"dataset": dataset, "method": name, "eps": eps, "seed": seed, "k": k, "n": n, "d": d, **{x: v for x, v in cfg.items()}}), "runtime_ms_total": loop_ms, "history_path": None, **meta,
-        "sse_x": stats.sums_by(out, "cluster", k).sse_own(), "sse_z": fit.final.sse(fit.centroids), **found, "non_empty_k_final": shape["non_empty"], "max_cluster_ratio_final": shape["max_ratio"], "min_cluster_ratio_final": shape["min_ratio"], "cluster_entropy_final": shape["entropy"],
-        "collapse_final": int(shape["non_empty"] < k or shape["max_ratio"] > cfg["collapse_above"]), "collapse_rate": sum(low) / len(low) if low else None, "runtime_ms_all": (time.perf_counter() - begun) * 1000, "privacy_audit": "exact moments; raw counts in control",
-    }
-    for held in (*kept, out):
-        held.unpersist()
-    return result, fit, out
+    return Plan(dataset, name, k, eps, seed, n, d, cfg, m, pca, init, budget_split(eps, m.features == "noisy", pca, 0.0 if init == "public_random" else cfg["proxy_ratio"]))
+
+
+def run(df: DataFrame, dataset: str, name: str, k: int, eps: float, seed: int, **config) -> tuple[dict, kmeans.Fit, DataFrame]:
+    """One run: the result row, the fit, and the rows with their cluster. Configuration: DEFAULTS, then what the call gives; a method override in it wins over the registry."""
+    begun, kept = time.perf_counter(), []
+
+    def hold(frame: DataFrame) -> DataFrame:
+        kept.append(frame.persist())
+        return kept[-1]
+
+    try:
+        bound = merged(DEFAULTS, split_overrides(config)[1])["bound"]
+        z = hold(prep.standardise(df, bound))
+        p = plan(dataset, name, k, eps, seed, z.count(), len(z.select("features").first()["features"]), config)
+        cfg, key, clip, meta = p.cfg, p.key, p.cfg["clip"], dict(NO_META)
+        work = z.withColumn("_z", F.col("features"))  # the standardised rows go along for the error in their space
+        if p.method.features == "noisy":
+            work, _, found = prep.select_noisy(work, p.m_top, p.eps_of["eps_topm"], *key, "select", bound=bound)
+            meta |= found
+        elif p.method.features == "random":
+            work, _ = prep.select_random(work, p.m_top, *key, "select")
+        work = prep.row_clip(work, clip)
+        if p.pca:
+            work, found = reduction.noisy_pca(work, p.pca_r, p.eps_of["eps_pca"], clip, *key)
+            meta["pca_noise_scale"] = found["pca_noise_scale"]
+        work = hold(prep.row_clip(work, clip))
+        q = len(work.select("features").first()["features"])
+        if p.init == "public_random":
+            start, reset = noise.public_points(k, q, clip, *key, "init"), noise.public_points(p.spares, q, clip, *key, "spare")
+        else:
+            rows, back, found = noise.proxy(work, cfg["proxy_dim"], p.eps_of["eps_proxy"], clip, *key)
+            meta |= {x: found[x] for x in ("proxy_dim", "proxy_sensitivity", "proxy_noise_scale")}
+            some = hold(noise.subsample(rows, cfg["proxy_share"], cfg["proxy_least"], *key, "share"))
+            start = seeding.initial(p.init, some, back, k, q, clip, *key, restarts=cfg["restarts"], cfg=cfg["layered"])
+            reset = noise.lift(seeding.random_rows(some, min(p.spares, 1024), *key, "spare"), back, clip)
+        loop = time.perf_counter()
+        fit = kmeans.drive([p.lloyd(start, reset)], lambda asked: [stats.cluster_sums(work, c) for _, c in asked])[0]
+        loop_ms = (time.perf_counter() - loop) * 1000
+        out = hold(stats.assign(work, fit.centroids).select("row_id", F.col("_z").alias("features"), "cluster", "label"))
+        found = metrics.quality(out) if df.schema["label"].dataType.typeName() != "void" else {"ari": None, "nmi": None, "f1": None}
+        return p.result(fit, meta, found, stats.sums_by(out, "cluster", k).sse_own(), loop_ms, (time.perf_counter() - begun) * 1000), fit, out
+    finally:
+        for held in kept:
+            held.unpersist()
 
 
 def results_frame(spark, rows: Sequence[dict]) -> DataFrame:
@@ -177,20 +231,21 @@ def results_frame(spark, rows: Sequence[dict]) -> DataFrame:
 
 
 def experiment(df: DataFrame, dataset: str, k: int, names: Sequence[str], budgets: Sequence[float], seeds: Sequence[int], **config) -> DataFrame:
-    """Results of every method, budget and seed. The rows are read and kept once; runs are independent jobs."""
-    held = df.persist()
-    rows = [run(held, dataset, m, k, e, s, **config)[0] for m in names for e in budgets for s in seeds]
-    held.unpersist()
-    return results_frame(df.sparkSession, rows)
+    """Results of every method, budget and seed, all in the same passes over the rows (plans/grid.py)."""
+    from noisefold.plans import grid
+
+    return results_frame(df.sparkSession, grid.run_all(df, dataset, k, [(m, e, s) for m in names for e in budgets for s in seeds], **config))
 
 
 def tune(df: DataFrame, dataset: str, name: str, k: int, candidates: Sequence[Mapping], budgets: Sequence[float], seeds: Sequence[int], **config) -> tuple[Mapping, list[dict]]:
     """The best candidate by mean F1, then small deviation, then small error, the first of equals; and each one's summary."""
     import statistics
 
+    from noisefold.plans import grid
+
     held, out = df.persist(), []
     for c in candidates:
-        got = [run(held, dataset, name, k, e, s, **merged(config, c))[0] for e in budgets for s in seeds]
+        got = grid.run_all(held, dataset, k, [(name, e, s) for e in budgets for s in seeds], **merged(config, c))
         out.append({"candidate": dict(c), "f1_mean": statistics.fmean(r["f1"] for r in got), "f1_std": statistics.pstdev(r["f1"] for r in got), "sse_mean": statistics.fmean(r["sse_x"] for r in got), "runtime_mean_ms": statistics.fmean(r["runtime_ms_total"] for r in got)})
     held.unpersist()
     best = max(range(len(out)), key=lambda i: (out[i]["f1_mean"], -out[i]["f1_std"], -out[i]["sse_mean"], -i))

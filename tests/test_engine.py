@@ -1,15 +1,17 @@
 """Runs, sources, sinks and streams end to end."""
 
 import os
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from noisefold import catalog
-from noisefold.operators import kmeans, prep, seeding, stats
-from noisefold.plans import methods
-from noisefold.sources import runs, sinks, synthetic, tables, text
+from noisefold.functions import rng
+from noisefold.operators import kmeans, metrics, noise, prep, seeding, stats
+from noisefold.plans import grid, methods
+from noisefold.sources import lines, runs, sinks, synthetic, tables, text
 from noisefold.streaming import batches
 
 QUICK = {"steps": 3, "top_m": 8, "pca_r": 4, "proxy_dim": 3, "restarts": 1, "proxy_least": 50}
@@ -88,10 +90,82 @@ def test_run_logs(spark, tmp_path):
         (tmp_path / "har" / m / "eps0.5_seed3.csv").write_text("t,eps_t,macro_f1,runtime_ms\n0,0.1,,\n1,0.2,,\n-1,,0.7,1500\n")
     logs = runs.run_logs(spark, f"{tmp_path}/*/*/*.csv", {"known": "K"})
     last = runs.final_row(logs, ["dataset", "method", "eps", "seed"], "line", ["macro_f1"])
-    row = last.withColumn("sec", runs.runtime_seconds(last)).collect()
+    row = last.withColumn("sec", runs.runtime_seconds(last.select("runtime_ms"))).collect()
     assert [(r["dataset"], r["method"], r["eps"], r["seed"], r["macro_f1"], r["sec"]) for r in row] == [("har", "K", 0.5, 3, 0.7, 1.5)]
 
 
+def test_run_logs_read_columns_by_each_files_header(spark, tmp_path):
+    files = {
+        "a b/m+1/eps1.0_seed0.csv": "t,macro_f1,sse\n0,0.5,180.0\n1,0.6,170.0\n",
+        "a b/m+1/eps1.0_seed1.csv": "sse,t,extra,macro_f1\n180.0,0,x,0.5\n\n170.0,-1,\"y, z\",0.6\n160.0,2,w,0.7\n",
+        "d/m/eps2_seed10.csv": "\ufeffiter,sse_x,runtime_ms_total,macro_f1,runtime_sec\r\n0,9,1500,nan,\r\n1,8,1600,0.4,2.5\r\n2,7,1700,,3.5\r\n",
+        "d/m/eps0.5_seed2.csv": "runtime,non_empty_k_final,max_cluster_ratio_final\n7,3,oops\n",
+        "d/m/eps0.5_seed3.csv": "t,macro_f1\n",
+        "d/m/eps0.5_seed4.csv": "",
+        "d/m/epsx_seed4.csv": "t,macro_f1\n1,2\n",
+        "d/m/eps1.2.3_seed4.csv": "t,macro_f1\n1,2\n",
+    }
+    for name, body in files.items():
+        os.makedirs((tmp_path / name).parent, exist_ok=True)
+        (tmp_path / name).write_bytes(body.encode())
+    rows = {(r["dataset"], r["method"], r["eps"], r["seed"], r["line"]): r for r in runs.run_logs(spark, f"{tmp_path}/*/*/*.csv").collect()}
+    assert len(rows) == 9 and {k[:2] for k in rows} == {("a b", "m+1"), ("d", "m")}
+    assert [(rows["a b", "m+1", 1.0, s, at]["macro_f1"], rows["a b", "m+1", 1.0, s, at]["sse"], rows["a b", "m+1", 1.0, s, at]["t"]) for s, at in ((0, 1), (1, 1))] == [(0.5, 180.0, 0)] * 2
+    assert rows["a b", "m+1", 1.0, 1, 3]["macro_f1"] == 0.6 and rows["d", "m", 2.0, 10, 1]["macro_f1"] is None and rows["d", "m", 0.5, 2, 1]["max_cluster_ratio_final"] is None
+    got = {(r["dataset"], r["eps_tot"], r["seed"]): tuple(r)[4:] for r in runs.collect_runs(spark, f"{tmp_path}/*/*/*.csv", {"m+1": "one", "m": "two"}).collect()}
+    assert got == {("a b", 1.0, 0): (0.6, 170.0, None, None, None), ("a b", 1.0, 1): (0.6, 170.0, None, None, None), ("d", 2.0, 10): (0.4, 8.0, None, None, 2.5), ("d", 0.5, 2): (None, None, 3.0, None, 7.0)}
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    r = random.Random(4)
+    texts = {f"f{i}.txt": ["".join(r.choice("ab \u00e9") for _ in range(r.randint(0, 60))) for _ in range(n)] for i, n in enumerate((0, 1, 3000, 700))}
+    for name, rows in texts.items():
+        (tmp_path / name).write_text("\n".join(rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        found = lines.numbered(spark, f"{tmp_path}/*.txt")
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+        got = {}
+        for x in found.collect():
+            got.setdefault(os.path.basename(x["path"]), {})[x["line"]] = x["value"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: v if v[-1:] != [""] else v[:-1] for k, v in texts.items() if v}
+
+
+def test_first_by_draw_is_exact(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") * 7).alias("row_id"))
+    want = sorted(((rng.uniform("s", 1, i * 7), i * 7) for i in range(5000)))
+    for limit, n in ((10, 11), (10, 2500), (40, 4999), (10, 5000), (10, 6000), (10_000, 30)):
+        monkeypatch.setattr(noise, "SORTED", limit)
+        assert sorted(r["row_id"] for r in noise.first_by_draw(df, n, "s", 1).collect()) == sorted(i for _, i in want[:n])
+    cuts = noise.cuts_by_draw(df, {3: ("s|1", 7), 5: ("t", 4000), 6: ("u", 9999)}, buckets=8)
+    assert cuts[3] == want[6] and cuts[5] == sorted((rng.uniform("t", i * 7), i * 7) for i in range(5000))[3999] and set(cuts) == {3, 5}
+
+
+def test_grid_gives_the_rows_of_single_runs(spark, tiny):
+    df = catalog._e(spark, tiny).persist()
+    how = QUICK | {"restarts": 2, "proxy_share": 0.6, "proxy_least": 20}
+    todo = [("dpk", 50.0, 0), ("dpk_full", 50.0, 1), ("dpk_full", 200.0, 1), ("dpk_pca", 50.0, 0), ("dpk_proxy_rr", 200.0, 1), ("dpk_random_features", 50.0, 0), ("dpk_fb_v2", 200.0, 0), ("dpk_strong", 50.0, 1)]
+    for row, (name, eps, seed) in zip(grid.run_all(df, "e", 4, todo, **how), todo):
+        one = methods.run(df, "e", name, 4, eps, seed, **how)[0]
+        assert row.keys() == one.keys()
+        for key, value in one.items():
+            if not key.startswith("runtime"):
+                assert row[key] == (pytest.approx(value, rel=1e-7, abs=1e-9) if isinstance(value, float) else value), (name, key)
+    bare = df.withColumn("label", F.lit(None))
+    assert grid.run_all(bare, "e", 4, todo[:1], **how)[0]["ari"] is None and grid.run_all(df, "e", 4, [], **how) == []
+    df.unpersist()
+
+
+def test_agreement_of_tables(spark):
+    for rows in ([(0, 0, 5), (0, 1, 2), (1, 1, 7)], [(0, 0, 4)], [(0, 0, 1), (1, 1, 1)], [(3, -1, 9), (2, 4, 1), (2, -1, 3)]):
+        one = metrics.agreement(spark.createDataFrame(rows, "label int, cluster int, n long")).first()
+        assert metrics.agreement_of(rows) == pytest.approx((one["ari"], one["nmi"]))
+
+
 def test_aliases_and_upsert(spark, tmp_path):
     a = spark.createDataFrame([("d", "m", 1.0, 0, 0.5, 9.0, 2000.0)], "Dataset string, algo string, eps_tot double, seed int, f1 double, sse_x double, runtime_ms_total double")
     got = runs.with_aliases(a)
