@@ -20,15 +20,81 @@ def pair_distances(points: DataFrame) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.sqrt(vectors.distance2("_a", "_b")).alias("distance"))
 
 
-def radius_graph(points: DataFrame, radius: float, blocks: int = 8) -> DataFrame:
-    """a, b, distance of all pairs a < b within radius, over all rows: a row goes to the pairs of blocks that its own block is part of, and each pair of blocks compares its rows."""
-    own = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
-    points = points.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cell = points.select(F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "row_id", "features")
-    a, b = (cell.where(F.col("_own") == F.col(side)).select("i", "j", F.col("row_id").alias(n), F.col("features").alias(f"_{n}")) for n, side in (("a", "i"), ("b", "j")))
-    near = F.sqrt(vectors.distance2("_a", "_b"))
-    pairs = a.join(b, ["i", "j"]).where(F.when(F.col("i") == F.col("j"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), near.alias("distance")).where(F.col("distance") <= radius)
+PIVOTS, SAMPLED, BLOCK = 256, 2048, 2048
+
+
+def pivots(points: DataFrame, rows: int) -> np.ndarray:
+    """Up to PIVOTS rows far from each other (about the square root of the rows), of a sample of at most SAMPLED: each is the sampled row that is farthest from those before."""
+    x = np.array([r["features"] for r in noise.first_by_draw(points, min(SAMPLED, rows), "pivots").select("features").collect()], float)
+    picked, near = [0], np.full(len(x), np.inf)
+    for _ in range(min(PIVOTS, max(1, math.isqrt(rows)), len(x)) - 1):
+        near = np.minimum(near, ((x - x[picked[-1]]) ** 2).sum(1))
+        if near.max() <= 0:
+            break
+        picked.append(int(near.argmax()))
+    return x[picked]
+
+
+def radius_cells(points: DataFrame, radius: float, centres: np.ndarray) -> DataFrame:
+    """cell, ring, home, row_id, features: where a row is compared. A row is at home in the cell of its nearest pivot, in the ring of its distance there. It visits each cell whose pivot is at most 2 * radius farther than its own, as no row at home elsewhere can be within radius, and there the rings within radius of its distance."""
+    sent = points.sparkSession.sparkContext.broadcast(centres)  # at most PIVOTS vectors
+    wide = max(radius, 1e-12)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = sent.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["features"].to_numpy()).astype(float)
+            far = np.sqrt(np.stack([((x - p) ** 2).sum(1) for p in c], axis=1))
+            slack = 1e-9 * (1 + far.max(1))
+            own = far.argmin(1)
+            at, cell = np.nonzero(far <= (far[np.arange(len(x)), own] + 2 * radius + slack)[:, None])
+            low, high = (np.floor((far[at, cell] + s * (radius + slack[at])) / wide).astype(np.int64) for s in (-1, 1))
+            low = np.maximum(low, 0)
+            n = high - low + 1
+            first = np.repeat(np.cumsum(n) - n, n)
+            ring = np.repeat(low, n) + np.arange(n.sum()) - first
+            rows = np.concatenate([np.arange(len(x)), np.repeat(at, n)])
+            yield pd.DataFrame(
+                {
+                    "cell": np.concatenate([own, np.repeat(cell, n)]).astype(np.int32), "ring": np.concatenate([np.floor(far[np.arange(len(x)), own] / wide).astype(np.int64), ring]),
+                    "home": np.concatenate([np.ones(len(x), bool), np.zeros(n.sum(), bool)]), "row_id": pdf["row_id"].to_numpy()[rows], "features": pd.Series(list(x[rows]), dtype=object),
+                }
+            )
+
+    return points.select("row_id", "features").mapInPandas(place, "cell int, ring long, home boolean, row_id long, features array<double>")
+
+
+def radius_graph(points: DataFrame, radius: float) -> DataFrame:
+    """a, b, distance of all pairs a < b within radius, over all rows, exactly.
+
+    Rows meet in the rings of metric cells (radius_cells): a pair is found where the smaller id is at home. Rings without rows at home aren't sent to; those of many rows are split into blocks of about BLOCK rows at home and BLOCK visitors, each of which is one group, so that no task gets more however the rows cluster. Where no two rows are farther apart than a few radii, every cell is visited and this is the join of all pairs of blocks.
+    """
+    n = points.count()
+    if not n:
+        return points.sparkSession.createDataFrame([], "a long, b long, distance double")
+    placed = radius_cells(points, radius, pivots(points, n))
+    sizes = placed.groupBy("cell", "ring").agg(F.sum(F.col("home").cast("long")).alias("_h"), F.sum((~F.col("home")).cast("long")).alias("_v")).where("_h > 0")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    rows = placed.join(sizes, ["cell", "ring"]).withColumn("_p", F.xxhash64("row_id"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(parts(c) - 1, F.lit(0))))
+    homes = rows.where("home").withColumn("i", F.pmod("_p", parts("_h")).cast("int")).withColumn("j", every("_v")).select("cell", "ring", "i", "j", "row_id", "features")
+    guests = rows.where("not home").withColumn("j", F.pmod("_p", parts("_v")).cast("int")).withColumn("i", every("_h")).select("cell", "ring", "i", "j", "row_id", "features").toDF("at_cell", "at_ring", "at_i", "at_j", "guest", "guest_features")
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.stack(v.to_numpy()) if len(v) else np.zeros((0, 0)) for v in (left["features"], right["guest_features"]))
+        ids, guests, found = left["row_id"].to_numpy(), right["guest"].to_numpy(), [np.zeros((2, 0), np.int64)]
+        far = [np.zeros(0)]
+        for i in range(len(x) if len(y) else 0):
+            d = np.sqrt(((y - x[i]) ** 2).sum(1))
+            near = np.flatnonzero((d <= radius) & (guests > ids[i]))
+            found.append(np.stack([np.full(len(near), ids[i]), guests[near]]))
+            far.append(d[near])
+        pairs = np.concatenate(found, axis=1)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1], "distance": np.concatenate(far)})
+
+    return homes.groupBy("cell", "ring", "i", "j").cogroup(guests.groupBy("at_cell", "at_ring", "at_i", "at_j")).applyInPandas(compare, "a long, b long, distance double")
 
 
 def radius_candidates(pairs: DataFrame, shares: list[float]) -> list[float]:

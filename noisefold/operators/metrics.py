@@ -43,50 +43,74 @@ def agreement_of(rows: list[tuple[int, int, int]]) -> tuple[float, float]:
 
 
 def match(table: np.ndarray) -> list[int]:
-    """For each row of a square table the column of a best assignment (largest sum); of several best the lexicographically smallest. Shortest augmenting paths with potentials."""
-    n = len(table)
-
-    def best(cost: np.ndarray) -> tuple[float, list[int]]:
-        m = len(cost)
-        u, v, owner = np.zeros(m + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-        for i in range(1, m + 1):
-            owner[0], j0 = i, 0
-            least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-            while True:
-                used[j0] = True
-                i0 = owner[j0]
-                free = np.flatnonzero(~used[1:]) + 1
-                reach = cost[i0 - 1, free - 1] - u[i0] - v[free]
-                closer = reach < least[free]
-                least[free[closer]], way[free[closer]] = reach[closer], j0
-                j1 = free[np.argmin(least[free])]
-                step = least[j1]
-                u[owner[used]] += step
-                v[used] -= step
-                least[~used] -= step
-                j0 = j1
-                if not owner[j0]:
-                    break
-            while j0:
-                owner[j0] = owner[way[j0]]
-                j0 = way[j0]
-        out = [0] * m
-        for j in range(1, m + 1):
-            out[owner[j] - 1] = j - 1
-        return float(sum(cost[i, out[i]] for i in range(m))), out
-
-    cost = -np.asarray(table, float)
-    goal, _ = best(cost) if n else (0.0, [])
-    left, out, spent = list(range(n)), [], 0.0
-    for i in range(n):
-        for j in left:
-            rest = [c for c in left if c != j]
-            if abs(spent + cost[i, j] + (best(cost[i + 1 :][:, rest])[0] if rest else 0.0) - goal) < 1e-9:
-                out.append(j)
-                spent += cost[i, j]
-                left = rest
+    """For each row of a square table of counts the column of a best assignment (largest sum); of several best the lexicographically smallest.
+
+    Shortest augmenting paths give one best assignment and prices u, v with u + v at most the cost of every pair; the best assignments are those made of pairs where they are equal. So each row in turn takes the smallest such column that it can get by shifting later rows among such columns, along one alternating path.
+    """
+    cost = -np.asarray(table).astype(np.int64)
+    n = len(cost)
+    u, v, owner = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1)
+    huge = np.iinfo(np.int64).max // 4
+    for row in range(n):
+        least, way, used, i, j = np.full(n, huge), np.full(n, -1), np.zeros(n, bool), row, -1
+        while True:
+            reach = cost[i] - u[i] - v
+            closer = ~used & (reach < least)
+            least[closer], way[closer] = reach[closer], j
+            j = int(np.where(used, huge, least).argmin())
+            step = least[j]
+            u[row] += step
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            used[j] = True
+            if owner[j] < 0:
+                break
+            i = owner[j]
+        while j >= 0:
+            before = way[j]
+            owner[j] = owner[before] if before >= 0 else row
+            j = before
+    out = np.empty(n, int)
+    out[owner] = np.arange(n)
+    tight = cost - u[:, None] - v == 0
+    free = np.ones(n, bool)  # columns of this row and later ones
+    for row in range(n):
+        for j in np.flatnonzero(tight[row] & free):
+            if j >= out[row]:
+                break
+            if (path := _shift(tight, owner, free, int(owner[j]), int(j), int(out[row]))) is not None:
+                owner[j] = row
+                for r, c in path:
+                    owner[c] = r
+                out[owner] = np.arange(n)
                 break
-    return out
+        free[out[row]] = False
+    return out.tolist()
+
+
+def _shift(tight: np.ndarray, owner: np.ndarray, free: np.ndarray, row: int, taken: int, goal: int) -> list[tuple[int, int]] | None:
+    """New (row, column) pairs by which `row` and rows after it get other free columns than `taken`, the last one `goal`; None if they can't. Breadth first over columns."""
+    came: dict[int, tuple[int, int]] = {}
+    open_ = free.copy()
+    open_[taken] = False
+    rows = [(row, -1)]
+    while rows and goal not in came:
+        nxt = []
+        for r, c in rows:
+            for j in np.flatnonzero(tight[r] & open_).tolist():
+                open_[j] = False
+                came[j] = (r, c)
+                nxt.append((int(owner[j]), j))
+        rows = nxt
+    if goal not in came:
+        return None
+    path, c = [], goal
+    while c >= 0:
+        r, before = came[c]
+        path.append((r, c))
+        c = before
+    return path
 
 
 def macro_f1(rows: list[tuple[int, int, int]]) -> tuple[float, dict[int, int]]:
@@ -99,8 +123,9 @@ def macro_f1(rows: list[tuple[int, int, int]]) -> tuple[float, dict[int, int]]:
     classes, clusters = (sorted({r[i] for r in rows}) for i in (0, 1))
     size = max(len(classes), len(clusters))
     table = np.zeros((size, size))
+    at_class, at_cluster = ({x: i for i, x in enumerate(ids)} for ids in (classes, clusters))
     for a, b, n in rows:
-        table[clusters.index(b), classes.index(a)] += n
+        table[at_cluster[b], at_class[a]] += n
     k = match(table)
     mapping = {b: classes[k[i]] if k[i] < len(classes) else b for i, b in enumerate(clusters)}
     names = {a for a, _, _ in rows} | set(mapping.values())

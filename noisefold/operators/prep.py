@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noisefold.functions import rng, vectors
+from noisefold.operators import ranks
 
 TAU = 1e-6
 
@@ -85,6 +86,6 @@ def select_widest(df: DataFrame, m: int = 100, col: str = "features") -> tuple[D
 
 
 def relabel(df: DataFrame, col: str = "label") -> DataFrame:
-    """Labels as 0..K-1 in sorted order (a noise label -1 becomes 0). The distinct labels are few and joined back."""
-    names = df.select(col).distinct().withColumn("_new", (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))
-    return df.join(F.broadcast(names), col).withColumn(col, F.col("_new")).drop("_new")
+    """Labels as 0..K-1 in ascending order (a noise label -1 becomes 0); rows without one go. Labels may be as many as rows."""
+    names = ranks.distinct_values(df, col, "_new")
+    return df.join(names, col).withColumn(col, F.col("_new").cast("int")).drop("_new")

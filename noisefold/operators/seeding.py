@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noisefold.functions import rng
-from noisefold.operators import noise, stats
+from noisefold.operators import noise, ranks, stats
 
 
 def random_rows(df: DataFrame, k: int, *seed: object) -> np.ndarray:
@@ -89,12 +89,7 @@ def layered(df: DataFrame, k: int, *seed: object, cfg: dict | None = None, resta
 
 def noisy_means(df: DataFrame, k: int, eps: float, clip: float, *seed: object) -> np.ndarray:
     """Means of k random equal parts with noisy counts and sums, clipped."""
-    n_parts = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # Equal parts without a global sort of rows: a row's part follows its rank in one of 1,024 buckets of the keyed draw and the rows in the buckets before.
-    drawn = df.withColumn("_u", rng.uniform_col(*seed, "parts", F.col("row_id"))).withColumn("_b", F.floor(F.col("_u") * 1024).cast("int"))
-    before = drawn.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(n_parts), F.lit(0)))
-    n = df.count()
-    ranked = drawn.join(F.broadcast(before), "_b").withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_u", "row_id")) - 1)
+    ranked, n = ranks.by_draw(df, "_r", *seed, "parts")
     parts = ranked.withColumn("cluster", F.least(F.floor(F.col("_r") * k / max(n, 1)), F.lit(k - 1)).cast("int"))
     _, c = noise.noisy_centroids(stats.sums_by(parts, "cluster", k), eps / 2, eps / 2, clip, noise.public_points(k, len(df.select("features").first()[0]), clip, *seed), *seed, "means")
     return noise.clip_rows(c, clip)

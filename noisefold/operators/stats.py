@@ -78,7 +78,7 @@ def cluster_sums(df: DataFrame, centroids: np.ndarray, col: str = "features") ->
                 one[np.arange(len(x)), at] = 1
                 total += one.T @ np.column_stack([np.ones(len(x)), (x * x).sum(1), x])
         full = np.flatnonzero(total[:, 0])
-        yield pd.DataFrame({"cluster": full.astype(np.int32), "sums": list(total[full])})
+        yield pd.DataFrame({"cluster": full.astype(np.int32), "sums": pd.Series(list(total[full]), dtype=object)})  # of a task without rows, too
 
     parts = df.select(col).mapInPandas(run, "cluster int, sums array<double>")
     rows = parts.select("cluster", F.posexplode("sums").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("x")).collect()

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noisefold.functions import rng, vectors
+from noisefold.operators import ranks
 
 
 def weights(k: int, given: Sequence[float] | None = None) -> list[float]:
@@ -39,6 +40,5 @@ def blobs(spark: SparkSession, n: int, d: int, k: int, seed: int = 0, given: Seq
 
 def stream(spark: SparkSession, n: int, d: int, k: int, batches: int, seed: int = 0, **how) -> DataFrame:
     """blobs dealt to batch_id 0..batches-1 in a keyed order; the first n % batches batches get one row more."""
-    order = Window.orderBy(rng.uniform_col(seed, "order", F.col("row_id")), "row_id")
-    ids = spark.range(n).withColumnRenamed("id", "row_id").select("row_id", (F.ntile(batches).over(order) - 1).alias("batch_id"))
-    return blobs(spark, n, d, k, seed, **how).join(ids, "row_id")
+    ids, _ = ranks.by_draw(spark.range(n).withColumnRenamed("id", "row_id"), "_place", seed, "order")
+    return blobs(spark, n, d, k, seed, **how).join(ids.select("row_id", ranks.tile(F.col("_place"), n, batches).alias("batch_id")), "row_id")

@@ -1,15 +1,18 @@
 """Runs, sources, sinks and streams end to end."""
 
+import itertools
 import os
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noisefold import catalog
 from noisefold.functions import rng
-from noisefold.operators import kmeans, metrics, noise, prep, seeding, stats
+from noisefold.operators import alternatives, kmeans, metrics, noise, prep, ranks, seeding, stats
 from noisefold.plans import grid, methods
 from noisefold.sources import lines, runs, sinks, synthetic, tables, text
 from noisefold.streaming import batches
@@ -160,6 +163,50 @@ def test_grid_gives_the_rows_of_single_runs(spark, tiny):
     df.unpersist()
 
 
+def test_radius_graph_in_metric_cells(spark, monkeypatch):
+    """All pairs of clustered rows, with hot rings split, and few compared; rows all alike too."""
+    monkeypatch.setattr(alternatives, "BLOCK", 50)
+    r = np.random.default_rng(1)
+    x = r.uniform(-10, 10, (20, 6))[r.integers(0, 20, 900)] + r.normal(0, 0.3, (900, 6))
+    x[:150] = x[0]
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>").persist()
+    got = {(p["a"], p["b"]): p["distance"] for p in alternatives.radius_graph(points, 0.5).collect()}
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert set(got) == set(zip(*(k.tolist() for k in np.nonzero(np.triu(far <= 0.5, 1))))) and all(abs(far[k] - d) < 1e-12 for k, d in got.items())
+    cells = alternatives.radius_cells(points, 0.5, alternatives.pivots(points, 900)).groupBy("cell", "ring").agg(F.sum(F.col("home").cast("long")).alias("h"), F.sum((~F.col("home")).cast("long")).alias("v"))
+    assert cells.agg(F.sum(F.col("h") * F.col("v"))).first()[0] < 0.2 * 900 * 899 / 2
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(120)], points.schema)
+    assert alternatives.radius_graph(same, 0.0).count() == 120 * 119 // 2 and alternatives.radius_graph(points.limit(0), 1.0).count() == 0
+    points.unpersist()
+
+
+def test_ranks_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BUCKET", 40)
+    df = spark.range(1000).select((F.col("id") * 3).alias("row_id"), (F.col("id") % 321 * 5 - 7).cast("int").alias("label"))
+    placed, n = ranks.by_draw(df, "p", "s")
+    want = sorted((rng.uniform("s", 3 * i), 3 * i) for i in range(1000))
+    assert n == 1000 and [r["row_id"] for r in placed.orderBy("p").collect()] == [i for _, i in want]
+    odd = df.unionByName(spark.createDataFrame([(-1, None)], df.schema))
+    assert {(r["label"], r["p"]) for r in ranks.distinct_values(odd, "label", "p").collect()} == {(i * 5 - 7, i) for i in range(321)}
+    assert sorted({r["label"] for r in prep.relabel(odd).collect()}) == list(range(321))
+    for n, k in ((10, 3), (2, 5), (12, 4)):
+        tiles = [r["t"] for r in spark.range(n).select(ranks.tile(F.col("id"), n, k).alias("t")).collect()]
+        assert tiles == [r["t"] for r in spark.range(n).select((F.ntile(k).over(Window.orderBy("id")) - 1).alias("t")).collect()]
+
+
+def test_alignment_is_the_smallest_best_one():
+    r = np.random.default_rng(0)
+    for _ in range(150):
+        n = int(r.integers(1, 7))
+        t = r.integers(0, r.integers(1, 5) + 1, (n, n))
+        total = lambda p: sum(t[i, p[i]] for i in range(n))  # noqa: B023, E731
+        best = max(map(total, itertools.permutations(range(n))))
+        assert tuple(metrics.match(t)) == min(p for p in itertools.permutations(range(n)) if total(p) == best)
+    begun = time.perf_counter()
+    assert sorted(metrics.match(r.integers(0, 3, (200, 200)))) == list(range(200))
+    assert time.perf_counter() - begun < 10  # solving it anew for each tried pair takes minutes
+
+
 def test_agreement_of_tables(spark):
     for rows in ([(0, 0, 5), (0, 1, 2), (1, 1, 7)], [(0, 0, 4)], [(0, 0, 1), (1, 1, 1)], [(3, -1, 9), (2, 4, 1), (2, -1, 3)]):
         one = metrics.agreement(spark.createDataFrame(rows, "label int, cluster int, n long")).first()
