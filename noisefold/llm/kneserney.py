@@ -159,9 +159,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored, _ = cut(perplexities(docs, labels, id_col, text_col, lang_col), "perplexities")
     good = labels.where("quality = 1").select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
     base = scored.join(good, "_id", "left_semi").where("perplexity is not null").withColumn("lang", F.coalesce("lang", F.lit("")))
-    limits = base.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit")).collect()  # one number for each language
-    threshold = F.lit(None).cast("double")
-    for lang, x in sorted((r["lang"], r["limit"]) for r in limits):
-        threshold = F.when(F.coalesce("lang", F.lit("")) == lang, F.lit(x)).otherwise(threshold)
+    limits = base.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))  # a row for each language
+    scored = scored.join(limits, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return scored.withColumn("threshold", threshold).select(F.col("_id").alias("doc_id"), "lang", "n_units", "perplexity", "threshold", F.coalesce(kept, F.lit(False)).alias("kept"), F.col("_th").alias("text_hash"))
+    return scored.select(F.col("_id").alias("doc_id"), "lang", "n_units", "perplexity", "threshold", F.coalesce(kept, F.lit(False)).alias("kept"), F.col("_th").alias("text_hash"))

@@ -424,6 +424,13 @@ def test_quality_of_odd_tables(spark):
     assert kneserney.classify(documents(spark, []), labels).count() == 0
 
 
+def test_each_of_many_languages_has_its_own_threshold(spark):
+    docs = spark.createDataFrame([(i, f"some text {i % 7} of {i}", None if i % 2500 == 9 else f"l{i % 2500}") for i in range(5000)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(2500)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in kneserney.classify(docs, labels).collect()}
+    assert len(got) == 5000 and all(r["threshold"] == got[i % 2500]["perplexity"] and r["kept"] == (r["perplexity"] <= r["threshold"]) for i, r in got.items())
+
+
 # ---- 8: SimHash ----
 
 
