@@ -1,6 +1,6 @@
 """Operator 1: passages that documents share, exactly or nearly, by collinear chaining of k-mer seeds.
 
-Seeds are all four-word k-mers. Of L words at a similarity of 0.8, at least 0.8 L are equal and lie in at most 0.2 L + 1 runs, so 0.2 L - 3 k-mers or more are shared, 7 for 50 words: no such passage is without a seed, wherever its edits stand. A seed's anchor is its first occurrence in document order, and every other occurrence is matched with that one only (of each length: see below), so a passage of a million documents gives a million rows, not their square. A short seed may have its anchor in a smaller document by chance, where nothing else is shared; so minimizers of eight and of _FRAGMENT words are seeds too, with anchors of their own: every equal stretch of 23 words holds one of the latter, whichever documents its shorter seeds are in.
+Seeds are all four-word k-mers. Of L words at a similarity of 0.8, at least 0.8 L are equal and lie in at most 0.2 L + 1 runs, so 0.2 L - 3 k-mers or more are shared, 7 for 50 words: no such passage is without a seed, wherever its edits stand. A seed's anchor is its first occurrence in document order, and every other occurrence is matched with that one only (of each length: see below), so a passage of a million documents gives a million rows, not their square. A short seed may have its anchor in a smaller document by chance, where nothing else is shared; so pairs of k-mers, which chance seldom shares, and minimizers of _FRAGMENT words are seeds too, with anchors of their own. A pair is two k-mers in a row or with one word between them, hashed alike, so that it outlasts an edit of that word: a replaced, inserted or dropped one. Of pairs those stay whose hash is divisible by _PAIR_SHARE, wherever they stand. Of the pairs that two passages share, one is enough: 50 words of which every fifth is replaced share eight, of which one stays with 0.96, and 80 words share fourteen (0.997). Every equal stretch of 23 words holds a minimizer, whichever documents its shorter seeds are in.
 
 Each document's matches are chained: ordered in both texts, with gap costs, best predecessors found in a Fenwick tree over positions in the other text. A match of K words alone begins no chain; one of eight words or more does. Where a document has fewer matches than a passage must have, none is aligned, and few matches inside a stretch that is chained already add nothing and go. Chains are aligned: extended at both ends, gaps between seeds aligned in a band, parted at the worst gap while they are below `similarity`, and kept at `similarity` or more. What a document shares with several anchors side by side is joined into one passage, and passages of at least min_words words are reported.
 
@@ -26,7 +26,8 @@ from noisefold.llm.common import cut, drop_folder
 
 K = 4
 _FRAGMENT = 16  # words of the shortest piece that may join a passage
-LEVELS = ((K, 1), (8, 4), (_FRAGMENT, 8))  # words and window of the seeds: short ones reach edited text, long ones are in no smaller document by chance
+LEVELS = ((K, 1), (_FRAGMENT, 8))  # words and window of the seeds: short ones reach edited text, long ones are in no smaller document by chance
+_PAIR_SHARE = 3  # one pair of k-mers of so many is a seed
 MIN_WORDS = 50
 SIMILARITY = 0.8
 BLOCK_WORDS = 1 << 18
@@ -91,6 +92,30 @@ def minimizers(words: np.ndarray, k: int = K, window: int = 1, doc: np.ndarray |
     return at, h[at]
 
 
+def pairs(words: np.ndarray, doc: np.ndarray, share: int = _PAIR_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Positions, in order, and hashes of the pairs of k-mers with no word or one between them; one hash of `share` stays, by its value. The last bit is set, as for all that are of more than K words."""
+    n = len(words) - K + 1
+    if n <= K:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    one = np.zeros(n, np.uint64)
+    for j in range(K):
+        one = one * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+    one ^= one >> np.uint64(32)
+    pos, found = [], []
+    for gap in (0, 1):
+        step = K + gap
+        h = one[: n - step] * np.uint64(0xD6E8FEB86659FD93) + one[step:]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        at = np.flatnonzero(((h >> np.uint64(1)) % np.uint64(share) == 0) & (doc[: n - step] == doc[step + K - 1 :]))
+        pos.append(at)
+        found.append(h[at] | np.uint64(1))
+    at = np.concatenate(pos)
+    order = np.argsort(at, kind="stable")
+    return at[order], np.concatenate(found)[order]
+
+
 def in_order(pos: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Seeds by hash and then position (each level's come by position). Where a document repeats itself within _REPEAT words, equal ones are a run, and one for every _RUN_STEP words of it stays: what grows from these covers the run."""
     low = np.uint64(len(h).bit_length())  # sorted by the hash's upper bits with the place below them, which is far faster than an argsort
@@ -139,7 +164,7 @@ class Block:
     def seeds(self, levels: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct seeds by hash, their first positions, and all positions with the seed's number."""
         doc, words = self.doc_of(), self.words.astype(np.uint64)
-        pos, h = in_order(*map(np.concatenate, zip(*(minimizers(words, k, w, doc) for k, w in levels))), doc)
+        pos, h = in_order(*map(np.concatenate, zip(*(minimizers(words, k, w, doc) for k, w in levels), pairs(words, doc))), doc)
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         return h[new], pos[new], pos, np.cumsum(new) - 1
@@ -497,6 +522,25 @@ def _grow(same: np.ndarray) -> tuple[int, int]:
     return (k + 1, int((~same[: k + 1]).sum())) if score[k] > 0 else (0, 0)
 
 
+def _grow_on(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """How far both texts grow, and the edits: over equal words, and over one or two words that only one text has where K words or twice as many follow that are equal."""
+    i = j = edits = 0
+    while True:
+        m = min(len(a) - i, len(b) - j)
+        n, more = _grow(a[i : i + m] == b[j : j + m])
+        i, j, edits = i + n, j + n, edits + more
+        for skip in (1, 2):
+            need = skip * K
+            if len(a) >= i + skip + need and (a[i + skip : i + skip + need].tobytes() == b[j : j + need].tobytes()):
+                i, edits = i + skip, edits + skip
+                break
+            if len(b) >= j + skip + need and (a[i : i + need].tobytes() == b[j + skip : j + skip + need].tobytes()):
+                j, edits = j + skip, edits + skip
+                break
+        else:
+            return i, j, edits
+
+
 def _gap_edits(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Edits from each seed of a chain to the next."""
     across, down = np.diff(x), np.diff(y)
@@ -517,14 +561,9 @@ def align(at: np.ndarray, ref_at: np.ndarray, f: int, rf: int, a: np.ndarray, b:
     """Start, end, reference start, reference end (words) and edits of a chain's alignment; a and b are the padded slices from f and rf."""
     x, y = at.astype(np.int64) - f, ref_at.astype(np.int64) - rf
     edits = _gap_edits(x, y, a, b).sum() if len(x) > 1 else 0
-    m = min(x[0], y[0])
-    left, more = _grow((a[x[0] - m : x[0]] == b[y[0] - m : y[0]])[::-1])
-    edits += more
-    m = min(len(a) - x[-1], len(b) - y[-1])
-    right, more = _grow(a[x[-1] : x[-1] + m] == b[y[-1] : y[-1] + m])
-    right = max(right, k)
-    edits += more
-    return int(at[0] - left), int(at[-1] + right), int(ref_at[0] - left), int(ref_at[-1] + right), int(edits)
+    left, ref_left, more = _grow_on(a[: x[0]][::-1], b[: y[0]][::-1])
+    right, ref_right, again = _grow_on(a[x[-1] + k :], b[y[-1] + k :])
+    return int(at[0] - left), int(at[-1] + k + right), int(ref_at[0] - ref_left), int(ref_at[-1] + k + ref_right), int(edits + more + again)
 
 
 def align_parts(at: np.ndarray, ref_at: np.ndarray, f: int, rf: int, a: np.ndarray, b: np.ndarray, similarity: float) -> list[tuple[int, int, int, int, int]]:

@@ -113,6 +113,36 @@ def test_a_passage_whose_seeds_stand_in_smaller_documents(spark):
         assert got == [(len(texts) - 1, len(texts) - 2, 20, 80)]
 
 
+def test_edited_passages_whose_short_seeds_stand_in_smaller_documents(spark):
+    """One word of n replaced, inserted or dropped, and every four-word piece of both versions in a document of its own before them: found nearly always, with the right reference and most of its words."""
+    r, texts, planted = random.Random("captured"), [], {}
+    for kind, n, size in (("replace", 5, 80), ("replace", 6, 80), ("replace", 8, 80), ("replace", 10, 60), ("insert", 8, 80), ("drop", 10, 80)):
+        for k in range(12):
+            shared, at = noise(f"p{kind}{n} {k}", size), r.randrange(1, n)
+            fresh = iter(noise(f"q{kind}{n} {k}", size))
+            edited = []
+            for i, w in enumerate(shared):
+                if i % n != at:
+                    edited.append(w)
+                elif kind != "drop":
+                    edited += [next(fresh)] if kind == "replace" else [w, next(fresh)]
+            planted[kind, n, k] = shared, edited
+    pieces = {" ".join(x[i : i + 4]) for both in planted.values() for x in both for i in range(len(x) - 3)}
+    texts = [" ".join(noise(f"a{i}", 6) + [piece] + noise(f"b{i}", 6)) for i, piece in enumerate(sorted(pieces))]
+    where = {}
+    for key, (shared, edited) in planted.items():
+        texts += [" ".join(noise(f"c{key}", 25) + shared + noise(f"d{key}", 25)), " ".join(noise(f"e{key}", 25) + edited + noise(f"f{key}", 25))]
+        where[len(texts) - 1] = key, len(edited)
+    got = defaultdict(list)
+    for x in substring.passages(documents(spark, texts)).collect():
+        got[x["doc_id"]].append(x)
+    assert set(got) <= set(where)
+    recall = Counter()
+    for d, ((kind, n, _), size) in where.items():
+        recall[kind, n] += any(x["ref_doc_id"] == d - 1 and min(x["end_word"], 25 + size) - max(x["start_word"], 25) >= 0.8 * size for x in got[d])
+    assert min(recall.values()) >= 11 and len(recall) == 6, recall
+
+
 def test_blocks_of_any_size_give_the_same_passages(spark):
     """Anchors and references in other blocks; ids that repeat with other texts, and a document longer than a block."""
     shared, other = noise("p", 70), noise("q", 60)
