@@ -1,6 +1,6 @@
 """Operator 2: license notices in documents.
 
-Templates are winnowed: of every window of consecutive word grams the smallest hash is a fingerprint, and an inverted index maps fingerprints to templates and positions. A document's grams are looked up in it; hits of a template on near diagonals make a candidate region, which a banded local alignment with the template then measures: matched words, coverage of the template, and the span in the document.
+Templates are winnowed: of every window of consecutive word grams the smallest hash is a fingerprint, and an inverted index maps fingerprints to templates and positions. A document's grams are looked up in it; hits of a template whose diagonals lie within its drift make a candidate region, which a banded local alignment with the template then measures: matched words, coverage of the template, and the span in the document. The drift is the share of a template's words that coverage lets differ, so a notice is found where runs of so many words are inserted (a holder's name, say) or left out, in one place or several; the band spans a region's hits and a margin.
 
 A template of n words that matches m = coverage * n of them, rounded up, with no more than n - m edits has a run of m / (n - m + 1) equal words or more, rounded up. Grams are of that many words, three at most, and windows as wide as such a run allows, so every match at the coverage holds a fingerprint: short templates are indexed by all their grams, of two words where it takes that.
 
@@ -75,7 +75,7 @@ class Index:
 
     def __init__(self, templates: Mapping[str, str], coverage: float = COVERAGE):
         known = WordHashes()
-        self.names = sorted(templates)
+        self.names, self.coverage = sorted(templates), coverage
         self.words = [word_hashes(templates[name], known) for name in self.names]
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
@@ -92,8 +92,12 @@ class Index:
         """The band for a template: narrow for short ones, whose copies may follow each other."""
         return min(band, max(1, len(self.words[t]) // 3))
 
-    def regions(self, words: np.ndarray, band: int = BAND) -> list[tuple[int, int]]:
-        """(template, diagonal) of candidate places: hits of one template within its band are one candidate."""
+    def drift(self, t: int, band: int) -> int:
+        """Words that a match of the template may gain or lose between its first and its last hit."""
+        return max(self.band(t, band), math.ceil((1 - self.coverage) * len(self.words[t]) - 1e-9))
+
+    def regions(self, words: np.ndarray, band: int = BAND) -> list[tuple[int, int, int]]:
+        """(template, diagonal, drift) of candidate places: the diagonals of one template's hits, each with those up to its drift above; one whose hits all are in the candidate before is none."""
         diagonals: dict[int, set[int]] = defaultdict(set)
         for k, (keys, template, place) in self.by_size.items():
             h = grams(words, k)
@@ -103,20 +107,19 @@ class Index:
                     diagonals[int(template[j])].add(int(i) - int(place[j]))
         out = []
         for t, found in sorted(diagonals.items()):
-            last = None
-            for d in sorted(found):
-                if last is None or d - last > self.band(t, band):
-                    out.append((t, d))
-                    last = d
+            on, drift = np.array(sorted(found)), self.drift(t, band)
+            last = on[np.searchsorted(on, on + drift, "right") - 1]
+            new = np.append(True, last[1:] > last[:-1])
+            out += [(t, int(d), int(e - d)) for d, e in zip(on[new], last[new])]
         return out
 
 
-def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """Best local alignment of template[i] with words[i + diagonal + e], |e| <= band: start, end (exclusive), matched words. A match scores 4 and a mismatch or gap -1, so that words beyond an edit count as long as coverage may reach a fifth; of equal scores most matches, then the earliest end."""
+def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND, drift: int = 0) -> tuple[int, int, int]:
+    """Best local alignment of template[i] with words[i + diagonal + e], -band <= e <= drift + band: start, end (exclusive), matched words. A match scores 4 and a mismatch or gap -1, so that words beyond an edit count as long as coverage may reach a fifth; of equal scores most matches, then the earliest end."""
     n, lo = len(words), diagonal - band
-    t, w = template.tolist(), words[max(0, lo) : max(0, diagonal + len(template) + band)].tolist()
+    t, w = template.tolist(), words[max(0, lo) : max(0, diagonal + len(template) + drift + band)].tolist()
     base = max(0, lo)
-    width = 2 * band + 1
+    width = 2 * band + drift + 1
     above = [(0, 0, 0)] * (width + 1)  # (score, matches, start) by e; start is where the path began
     best = (0, 0, 0, 0)  # score, matches, start, end
     for i, x in enumerate(t):
@@ -146,9 +149,9 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
 def find(text: str, index: Index, known: WordHashes, coverage: float, band: int) -> list[tuple]:
     words = word_hashes(text, known)
     found = []
-    for t, diagonal in index.regions(words, band):
+    for t, diagonal, drift in index.regions(words, band):
         template = index.words[t]
-        start, end, matched = align(template, words, diagonal, index.band(t, band))
+        start, end, matched = align(template, words, diagonal, index.band(t, band), drift)
         if matched >= coverage * len(template) - 1e-9:
             found.append((index.names[t], start, end, matched, len(template)))
     kept: list[tuple] = []

@@ -255,6 +255,41 @@ def test_every_template_is_found_with_edits():
     assert found >= 0.99 * asked and alone >= 0.99 * asked and asked > 1000
 
 
+def test_every_template_is_found_with_runs_of_edits():
+    """Each longer template with runs of one word up to a fifth of its words inserted or dropped at every third place, and the same run in halves at two places."""
+    index, known, asked, lost = licenses.Index(licenses.TEMPLATES), WordHashes(), 0, []
+    for name, text in licenses.TEMPLATES.items():
+        words = text.split()
+        if len(words) < 30:
+            continue
+        for k in sorted({1, 2, 4, 9, 12, 16, len(words) // 5} & set(range(1, len(words) // 5 + 1))):
+            for at in range(0, len(words) - k, 3):
+                half, later = k // 2, min(len(words) - k, at + len(words) // 3)
+                cases = {"insert": words[:at] + noise("m", k) + words[at:], "drop": words[:at] + words[at + k :], "insert twice": words[:at] + noise("m", half) + words[at:later] + noise("o", k - half) + words[later:]}
+                for kind, edited in cases.items():
+                    got = licenses.find(" ".join(noise("a", 12) + edited + noise("b", 12)), index, known, licenses.COVERAGE, licenses.BAND)
+                    asked += 1
+                    if not any(g[0] == name and g[5] >= len(words) - (k if kind == "drop" else 0) - 6 for g in got):
+                        lost.append((name, kind, k, at))
+    assert len(lost) <= 0.01 * asked and asked > 1000, (asked, Counter(x[:3] for x in lost))
+
+
+def test_aligned_places_equal_an_unbanded_search():
+    """Regions and their bands lose nothing against one band over the whole text, on notices with runs inserted and dropped."""
+    index, known, r, several = licenses.Index(licenses.TEMPLATES), WordHashes(), random.Random(9), 0
+    for t, name in enumerate(index.names):
+        words = licenses.TEMPLATES[name].split()
+        for case in range(4 if len(words) >= 30 else 0):
+            k, at = r.randint(1, len(words) // 5), r.randrange(len(words))
+            edited = words[:at] + (noise("m", k) + words[at:] if case % 2 else words[at + k :])
+            text = word_hashes(" ".join(noise("a", 30) + edited + noise("b", 30)), known)
+            whole = licenses.align(index.words[t], text, 0, len(text))
+            best = max((licenses.align(index.words[t], text, d, index.band(t, licenses.BAND), e) for u, d, e in index.regions(text) if u == t), key=lambda x: x[2])
+            assert best[2] == whole[2]
+            several += 1
+    assert several >= 40
+
+
 def test_scan_equals_all_alignments(spark):
     """Against every template at every place by a plain alignment, on texts that repeat, cut and mix notices."""
     r, texts = random.Random(5), []
