@@ -588,6 +588,20 @@ def c25_budget_split(spark, d):
 _QUICK = {"steps": 3, "top_m": 32, "pca_r": 8, "proxy_dim": 4, "restarts": 1, "clip": 1.0}
 
 
+def _fuzzy_round(name: str, before: str) -> str:
+    """The centroids after a round of fuzzy c-means, in SQL."""
+    return f"""{name}n AS (SELECT row_id, cluster, 1 / pow(sqrt(sum((v - x) * (v - x))) + 1e-8, 2) AS near FROM el JOIN {before} USING (dim) GROUP BY ALL),
+{name}w AS (SELECT row_id, cluster, pow(near / sum(near) OVER (PARTITION BY row_id), 2) AS w FROM {name}n),
+{name} AS (SELECT cluster, dim, sum(w * v) / (sum(w) + 1e-9) AS x FROM {name}w JOIN el USING (row_id) GROUP BY ALL)"""
+
+
+@query(f"WITH {E}, f AS (SELECT row_id, CAST(row_number() OVER (ORDER BY row_id) - 1 AS INT) AS cluster FROM e), c0 AS (SELECT cluster, dim, v AS x FROM f JOIN el USING (row_id) WHERE cluster < 4), {_fuzzy_round('c1', 'c0')}, {_fuzzy_round('c2', 'c1')} SELECT cluster, dim, ~(x) AS x FROM c2")
+def c22_fuzzy_means(spark, d):
+    e = _e(spark, d)
+    c = seeding.fuzzy_means(e, _first_rows(e, 4), rounds=2)
+    return spark.createDataFrame([(j, i, float(x)) for j, row in enumerate(c) for i, x in enumerate(row)], "cluster int, dim int, x double")
+
+
 @query()
 def c22_c24_seedings(spark, d):
     e = prep.row_clip(_e(spark, d), 1.0).persist()
@@ -809,6 +823,14 @@ def q25_a23_rank_sums(spark, d):
     return reports.significance_table(_r(spark, d), "view", "click").select("dataset", "eps_tot", "n", "u")
 
 
+@query(f"""WITH {R}, g AS (SELECT dataset, eps_tot, count(f1) FILTER (method = 'view') AS n_a, count(f1) FILTER (method = 'click') AS n_b, avg(f1) FILTER (method = 'view') - avg(f1) FILTER (method = 'click') AS mean_diff,
+  var_samp(f1) FILTER (method = 'view') / n_a AS ea, var_samp(f1) FILTER (method = 'click') / n_b AS eb FROM r WHERE method IN ('view', 'click') GROUP BY ALL)
+SELECT dataset, eps_tot, n_a, n_b, ~(mean_diff) AS mean_diff, ~(mean_diff / sqrt(ea + eb)) AS t, ~((ea + eb) * (ea + eb) / (ea * ea / (n_a - 1) + eb * eb / (n_b - 1))) AS dof FROM g""", 5)
+def q25_a22_welch_t(spark, d):
+    r = _r(spark, d).where("method in ('view', 'click')")
+    return significance.welch(r, ["dataset", "eps_tot"], F.col("method") == "view", "f1").drop("p_t")
+
+
 @query()
 def q25_significance(spark, d):
     return reports.significance_table(_r(spark, d), "view", "click")

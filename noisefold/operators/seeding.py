@@ -58,6 +58,14 @@ def fuzzy_rounds(x: np.ndarray, c: np.ndarray, rounds: int = 50, power: float =
     return c
 
 
+def fuzzy_means(df: DataFrame, c: np.ndarray, rounds: int = 50, power: float = 2.0) -> np.ndarray:
+    """Fuzzy c-means over all rows from given centroids: a round is one aggregation of soft memberships, no row reaches the driver. Without rows the centroids become zero, as without weight."""
+    for _ in range(rounds):
+        weight, total = stats.soft_sums(df, c, power)
+        c = total / (weight[:, None] + 1e-9)
+    return c
+
+
 def proxy_stats(df: DataFrame, centroids: np.ndarray) -> dict[str, float]:
     sums = stats.cluster_sums(df, centroids)
     return {"sse": sums.sse(centroids)} | sums.shape()

@@ -54,14 +54,21 @@ def paired_t(diffs: list[float]) -> tuple[float, float]:
     return t, t_pvalue(t, n - 1)
 
 
-def welch_t(x: list[float], y: list[float]) -> tuple[float, float]:
-    if len(x) < 2 or len(y) < 2:
-        return math.nan, math.nan
-    (mx, vx), (my, vy) = ((sum(v) / len(v), sum((a - sum(v) / len(v)) ** 2 for a in v) / (len(v) - 1) / len(v)) for v in (x, y))
-    if vx + vy == 0:
-        return math.nan, math.nan
-    t = (mx - my) / math.sqrt(vx + vy)
-    return t, t_pvalue(t, (vx + vy) ** 2 / (vx**2 / (len(x) - 1) + vy**2 / (len(y) - 1)))
+def welch(df: DataFrame, by: list[str], side: Column, value: str) -> DataFrame:
+    """Welch's test of the rows where side is true against those where it is false, for sides that share fewer than two seeds: by, n_a, n_b, mean_diff, t, dof, p_t. One aggregation; nulls don't count. t, dof and p_t are null where a side has fewer than two values or neither varies."""
+    a, b = F.when(side, F.col(value)), F.when(~side, F.col(value))
+    g = df.groupBy(*by).agg(F.count(a).alias("n_a"), F.count(b).alias("n_b"), (F.avg(a) - F.avg(b)).alias("mean_diff"), F.var_samp(a).alias("va"), F.var_samp(b).alias("vb"))
+    ea, eb = F.col("va") / F.col("n_a"), F.col("vb") / F.col("n_b")  # of the means
+    defined = (F.col("n_a") > 1) & (F.col("n_b") > 1) & (ea + eb > 0)
+    t = F.when(defined, F.col("mean_diff") / F.sqrt(ea + eb))
+    dof = F.when(defined, (ea + eb) * (ea + eb) / (ea * ea / (F.col("n_a") - 1) + eb * eb / (F.col("n_b") - 1)))
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([t_pvalue(x, n) for x, n in zip(t, dof)], dtype=float)
+
+    one = g.withColumn("t", t).withColumn("dof", dof)
+    return one.select(*by, "n_a", "n_b", "mean_diff", "t", "dof", F.when(F.col("t").isNotNull(), p(F.coalesce("t", F.lit(0.0)), F.coalesce("dof", F.lit(1.0)))).alias("p_t"))
 
 
 def mann_whitney(x: list[float], y: list[float]) -> tuple[float, float]:

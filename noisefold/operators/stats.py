@@ -88,6 +88,31 @@ def cluster_sums(df: DataFrame, centroids: np.ndarray, col: str = "features") ->
     return Sums(out[:, 0], out[:, 2:], out[:, 1])
 
 
+def soft_sums(df: DataFrame, centroids: np.ndarray, power: float = 2.0, col: str = "features") -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weights (k) and of weighted rows (k * d), where a row's weight in a cluster is its fuzzy membership to `power`. One pass: tasks add up their own rows, a slab of memberships at a time, and k * (d + 1) numbers reach the driver."""
+    c = np.asarray(centroids, float)
+    k, d = c.shape
+    sent = df.sparkSession.sparkContext.broadcast(c)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, total = sent.value, np.zeros((k, d + 1))
+        step = max(1, (1 << 21) // max(1, c.size))
+        for pdf in batches:
+            for at in range(0, len(pdf), step):
+                x = np.stack(pdf[col].iloc[at : at + step].to_numpy()).astype(float)
+                near = (np.sqrt(((x[:, None] - c[None]) ** 2).sum(2)) + 1e-8) ** (-2 / (power - 1))
+                total += ((near / near.sum(1, keepdims=True)) ** power).T @ np.column_stack([np.ones(len(x)), x])
+        yield pd.DataFrame({"cluster": np.arange(k, dtype=np.int32), "sums": pd.Series(list(total), dtype=object)})
+
+    parts = df.select(col).mapInPandas(run, "cluster int, sums array<double>")
+    rows = parts.select("cluster", F.posexplode("sums").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("x")).collect()
+    sent.unpersist()
+    out = np.zeros((k, d + 1))
+    for r in rows:
+        out[r["cluster"], r["i"]] = r["x"]
+    return out[:, 0], out[:, 1:]
+
+
 def sums_by(df: DataFrame, by: str, k: int, col: str = "features") -> Sums:
     """The statistics of clusters named by a column 0..k-1, with built-in aggregates."""
     long = df.select(by, F.posexplode(col).alias("dim", "x"))

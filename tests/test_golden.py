@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from noisefold.functions import rng, schedules
-from noisefold.operators import alternatives, metrics, noise, significance, stats
+from noisefold.operators import alternatives, metrics, noise, seeding, significance, stats
 from noisefold.plans import methods
 from noisefold.sources import synthetic
 
@@ -153,6 +154,28 @@ def test_significance_by_aggregates(spark):
     assert got["y"]["t"] is None and got["y"]["p_t"] is None and got["z"]["p_t"] == 0.0
 
 
+def test_welch_of_unpaired_sides(spark):
+    a, b = [1.0, 2.0, 4.0, 0.5], [2.5, 5.0, 3.0, 6.0, 4.5, 2.0]
+    rows = [("x", True, v) for v in [*a, None]] + [("x", False, v) for v in b] + [("one", True, 1.0), ("one", False, 2.0), ("one", False, 3.0)] + [("flat", s, 1.0) for s in (True, True, False, False)]
+    got = {r["g"]: r for r in significance.welch(spark.createDataFrame(rows, "g string, a boolean, v double"), ["g"], F.col("a"), "v").collect()}
+    ea, eb = np.var(a, ddof=1) / 4, np.var(b, ddof=1) / 6
+    t, dof = (np.mean(a) - np.mean(b)) / math.sqrt(ea + eb), (ea + eb) ** 2 / (ea**2 / 3 + eb**2 / 5)
+    x = got["x"]
+    assert (x["n_a"], x["n_b"]) == (4, 6) and (x["t"], x["dof"], x["p_t"]) == pytest.approx((t, dof, significance.t_pvalue(t, dof)))
+    assert significance.t_pvalue(1.5, 2.0) == pytest.approx(1 - 1.5 / math.sqrt(2 + 1.5**2))  # closed form of two degrees
+    assert all(got[g][c] is None for g in ("one", "flat") for c in ("t", "dof", "p_t"))
+
+
+def test_fuzzy_means_equal_numpy(spark):
+    r = np.random.default_rng(3)
+    x, c = np.concatenate([r.normal(m, 0.4, (70, 5)) for m in (-2, 0, 3)]), r.normal(0, 1, (3, 5))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "row_id long, features array<double>").repartition(5)
+    assert np.abs(seeding.fuzzy_means(df, c, rounds=12) - seeding.fuzzy_rounds(x, c, 12)).max() < 1e-9
+    at = seeding.fuzzy_means(df, x[[0, 80]], rounds=1)  # a centroid on a row
+    assert np.abs(at - seeding.fuzzy_rounds(x, x[[0, 80]], 1)).max() < 1e-9
+    assert not seeding.fuzzy_means(df.limit(0), c, rounds=1).any()
+
+
 def test_blob_counts():
     assert synthetic.blob_counts(10, 3) == [3, 3, 4]
     with pytest.raises(ValueError):
