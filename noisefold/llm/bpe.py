@@ -9,10 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import json
-import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,14 +22,6 @@ from noisefold.llm.packing import byte_symbols
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-@functools.cache
-def unassigned() -> str:
-    """Code points without a category in Python's tables, as ranges of a character class."""
-    runs = itertools.groupby(range(sys.maxunicode + 1), lambda c: unicodedata.category(chr(c)) == "Cn")
-    ranges = [list(run) for cn, run in runs if cn]
-    return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in ranges)
-
-
 class TrieBpe:
     """A word-level BPE read from a tokenizers file with an end-of-word suffix."""
 
@@ -54,9 +43,8 @@ class TrieBpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        # Code points that Python's tables don't know may be letters, digits or marks to the library, whose tables are others.
-        self.unknown = re.compile(f"[{unassigned()}]")
-        self.odd = re.compile(f"[\x1c-\x1fİΣ{unassigned()}]")
+        self.odd = regex.compile(r"[\x1c-\x1fİΣ]")
+        self.far = regex.compile("[\u0378-\U0010ffff]")  # from the first unassigned code point on
         self.symbol = byte_symbols()
         self.library = Tokenizer.from_file(tokenizer_file)
         self.keep = keep
@@ -154,7 +142,11 @@ class TrieBpe:
 
     def _chunks(self, text: str) -> list[str]:
         """Normalised text in chunks that no word spans: NFC, lower case, split at white space."""
-        return self.library.normalizer.normalize_str(text).split(" ") if self.odd.search(text) else unicodedata.normalize("NFC", text).lower().split()
+        return self.library.normalizer.normalize_str(text).split(" ") if self.odd.search(text) or self._unknown(text) else unicodedata.normalize("NFC", text).lower().split()
+
+    def _unknown(self, text: str) -> bool:
+        """Whether the text has code points without a category in Python's tables: to the library, whose tables are others, they may be letters, digits or marks."""
+        return not text.isascii() and self.far.search(text) is not None and any(unicodedata.category(c) == "Cn" for c in set(text))
 
     def _library_words(self, chunk: str) -> list[str]:
         """Words of a chunk, in byte symbols, as the library's pre-tokenizer parts it."""
@@ -169,7 +161,7 @@ class TrieBpe:
             if chunk not in known:
                 had = older.get(chunk)
                 if had is None:
-                    split[chunk] = self._library_words(chunk) if self.unknown.search(chunk) else ["".join([symbol[b] for b in w.encode()]) for w in self.words.findall(chunk)]
+                    split[chunk] = self._library_words(chunk) if self._unknown(chunk) else ["".join([symbol[b] for b in w.encode()]) for w in self.words.findall(chunk)]
                 else:
                     known[chunk] = had
         tokens, vocab = self.encode_trie({w for ws in split.values() for w in ws}), self.vocab
