@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noisefold.functions import rng, schedules, vectors
-from noisefold.operators import alternatives, kmeans, metrics, noise, prep, reduction, seeding, significance, stats
+from noisefold.operators import alternatives, graphs, kmeans, metrics, noise, prep, reduction, seeding, significance, stats
 from noisefold.plans import methods, reports
 from noisefold.sources import runs, sinks, storage, synthetic, tables, text
 from noisefold.streaming import batches
@@ -226,6 +226,22 @@ def p12_covariance(spark, d):
     return spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(4) for j in range(4)], "i int, j int, c double")
 
 
+@query(f"WITH {E}, m AS (SELECT dim, avg(v) AS m FROM el GROUP BY dim), c AS (SELECT row_id, dim, v - m AS v FROM el JOIN m USING (dim)), g AS (SELECT a.dim AS i, b.dim AS j, sum(a.v * b.v) / count(*) AS x FROM c a JOIN c b USING (row_id) GROUP BY ALL) SELECT ~(sum(x) FILTER (i = j)) AS trace, ~(sum(x * x)) AS squares FROM g")
+def p12_block_spectrum(spark, d):
+    """Sums of the eigenvalues and of their squares, which are the covariance's trace and the sum of its squared entries."""
+    _, _, values = reduction.block_components(_e(spark, d), 64, 50, 8, 1e-9, "block")
+    return spark.createDataFrame([(float(values.sum()), float((values**2).sum()))], "trace double, squares double")
+
+
+@query(f"WITH {E} SELECT row_id, dim, ~(v) AS x FROM el", 5)
+def p12_reconstruction(spark, d):
+    """Every row again from all its components."""
+    e = _e(spark, d)
+    mean, v = reduction.leading(e, 64)
+    back = noise.times(noise.times(e, v, "features", mean), v.T, "features", -(mean @ v))
+    return back.select("row_id", F.posexplode("features").alias("dim", "x"))
+
+
 @query()
 def p12_pca(spark, d):
     return reduction.pca(_e(spark, d), 8).select("row_id", F.posexplode("features").alias("dim", "x"))
@@ -257,6 +273,20 @@ def p21_scaled_error(spark, d):
     return reports.scaled_error(reports.summary(_r(spark, d).withColumn("sse_x", F.col("sse_x") * 100), ["method", "eps_tot"], ["sse_x"], ["mean"]), "sse_x")
 
 
+@query("SELECT p_partkey, CASE regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') WHEN 'promo' THEN 'Promotion' WHEN 'economy' THEN 'Economy class' WHEN 'standard' THEN 'Promotion' ELSE p_type END AS p_type FROM part")
+def p17_display_names(spark, d):
+    return runs.display_names(tables.table(spark, d, "part").select("p_partkey", "p_type"), {"promo": "Promotion", "economy": "Economy class", "standard": "Promotion"}, "p_type")
+
+
+_P19 = ("%.3g", "%.2e", "%.1f", "%.0f")
+
+
+@query(f"WITH {R}, s AS (SELECT method, seed, avg(sse_x * pow(10, seed - 12)) / 7 AS x FROM r GROUP BY ALL) SELECT method, seed, " + ", ".join(f"printf('{f}', x) AS f{i}" for i, f in enumerate(_P19)) + " FROM s")
+def p19_formats(spark, d):
+    s = _r(spark, d).groupBy("method", "seed").agg((F.avg(F.col("sse_x") * F.pow(F.lit(10.0), F.col("seed") - 12)) / 7).alias("x"))
+    return s.select("method", "seed", *(reports.number("x", f).alias(f"f{i}") for i, f in enumerate(_P19)))
+
+
 # ---- filters and joins ----
 
 
@@ -625,6 +655,41 @@ def c26_grid(spark, d):
     return methods.experiment(_e(spark, d), "embeddings", 10, list(methods.METHODS), [50.0, 200.0], [0, 1], **_QUICK).drop("runtime_ms_total")
 
 
+_LINKS = f"{E}, k AS (SELECT a.row_id AS a, b.row_id AS b FROM e a JOIN e b ON a.row_id < b.row_id WHERE list_distance(a.x, b.x) <= 1.2)"
+_REACH = "SELECT p AS node, p AS other FROM n UNION SELECT r.node, m.b FROM r JOIN m ON m.a = r.other"
+
+
+@query(f"WITH RECURSIVE {_LINKS}, m AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k), n AS (SELECT DISTINCT a AS p FROM m), r(node, other) AS ({_REACH}) SELECT node, min(other) AS component FROM r GROUP BY node")
+def c32_components(spark, d):
+    return graphs.components(alternatives.radius_graph(_e(spark, d), 1.2))
+
+
+def _grows(side: str, eps: str) -> str:
+    return f"deg + {_laplace(f'1 / {eps}', _q('d'), _q(side), _v('radius'), _v('row_id'))} >= 4"
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, g AS (SELECT row_id, count(*) AS deg FROM (SELECT unnest([a, b]) AS row_id FROM k) GROUP BY 1),
+f0 AS (SELECT row_id, 1.2 AS radius, coalesce(deg, 0) AS deg FROM e LEFT JOIN g USING (row_id)), f AS (SELECT row_id AS p, {_grows('starts', '0.5')} AS starts, {_grows('grows', '1.0')} AS grows FROM f0),
+n AS (SELECT p, starts FROM f WHERE starts OR grows), sides AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k), m AS (SELECT a, b FROM sides JOIN n ON n.p = b WHERE a IN (SELECT p FROM n)),
+r(node, other) AS ({_REACH}), c AS (SELECT node AS p, min(other) AS component FROM r GROUP BY node), real AS (SELECT component FROM c JOIN n USING (p) GROUP BY 1 HAVING bool_or(starts)),
+inside AS (SELECT p, component FROM c JOIN real USING (component)), beside AS (SELECT a AS p, min(component) AS component FROM sides JOIN inside ON inside.p = b WHERE a NOT IN (SELECT p FROM n) GROUP BY a),
+named AS (SELECT p, dense_rank() OVER (ORDER BY component) - 1 AS cluster FROM (SELECT * FROM inside UNION ALL SELECT * FROM beside))
+SELECT f.p AS row_id, CAST(coalesce(cluster, -1) AS INT) AS cluster FROM f LEFT JOIN named USING (p)""")
+def c32_expansion(spark, d):
+    """Density labels of all rows at one radius, with noisy degrees."""
+    e = _e(spark, d)
+    links = alternatives.radius_graph(e, 1.2).select(F.lit(1.2).alias("radius"), "a", "b").persist()
+    return alternatives.density_labels(alternatives.noisy_degrees(e, links, 4, 0.5, 1.0, "d"), links).select("row_id", "cluster")
+
+
+@query()
+def q33_resumed_grid(spark, d):
+    """A grid that is asked for in two calls; the second does what is missing."""
+    e, folder = _e(spark, d), storage.new_folder(spark, "grid")
+    methods.resumed(e, "embeddings", 10, ["dpk"], [50.0, 200.0], [0], folder, **_QUICK)
+    return methods.resumed(e, "embeddings", 10, ["dpk", "dpk_kpp"], [50.0, 200.0], [0], folder, **_QUICK).drop("runtime_ms_total")
+
+
 @query()
 def c32_density(spark, d):
     return alternatives.density(_e(spark, d), 10, 50.0, "d")[0].groupBy("cluster").agg(F.count("*").alias("n"))

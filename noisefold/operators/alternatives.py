@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noisefold.functions import rng, schedules, vectors
-from noisefold.operators import kmeans, noise, seeding, stats
+from noisefold.operators import graphs, kmeans, noise, ranks, seeding, stats
 
 
 def pair_distances(points: DataFrame) -> DataFrame:
@@ -115,42 +115,30 @@ def noisy_degrees(points: DataFrame, links: DataFrame, least: float, eps_seed: f
 def density_labels(flags: DataFrame, links: DataFrame) -> DataFrame:
     """radius, row_id, cluster: the components of the points that start or grow, as far as one of them starts, numbered by their smallest point; a point beside such a component, which neither starts nor grows, joins the first of them, others get -1.
 
-    A point has one draw of each kind, so the labels don't depend on the order in which points are visited. A scan in order differs from this where a point's first visit uses up its only draw. A radius is a group of its own, bounded by the sample that the points are.
+    A point has one draw of each kind, so the labels don't depend on the order in which points are visited. A scan in order differs from this where a point's first visit uses up its only draw. Everything is joins and aggregates, keyed by radius and point; only the places of the clusters' smallest points are ranked, by exact ranks within a radius.
     """
     able = flags.select("radius", F.col("row_id").alias("p"), "starts", (F.col("starts") | F.col("grows")).alias("spreads"))
     side = lambda c: able.select("radius", F.col("p").alias(c), F.col("spreads").alias(f"{c}_spreads"))
-    used = links.join(side("a"), ["radius", "a"]).join(side("b"), ["radius", "b"]).where("a_spreads or b_spreads").select(F.col("radius").alias("within"), "a", "b")
-
-    def label(points: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        points = points.sort_values("p")
-        ids, spreads, starts = points["p"].to_numpy(), points["spreads"].to_numpy(bool), points["starts"].to_numpy(bool)
-        i, j = (np.searchsorted(ids, pairs[c].to_numpy()) for c in "ab")
-        inner = spreads[i] & spreads[j]
-        own, before = np.arange(len(ids)), None
-        while before is None or (own != before).any():  # each point takes the smallest name around it, and that one's name
-            before = own.copy()
-            np.minimum.at(own, i[inner], before[j[inner]])
-            np.minimum.at(own, j[inner], before[i[inner]])
-            own = own[own]
-        real = np.zeros(len(ids), bool)
-        real[own[starts]] = True
-        name = np.where(spreads & real[own], own, len(ids))
-        edge = name.copy()
-        for p, q in ((i, j), (j, i)):
-            np.minimum.at(edge, p[~spreads[p]], name[q[~spreads[p]]])
-        found = np.unique(edge[edge < len(ids)])
-        return pd.DataFrame({"radius": points["radius"].iloc[0], "row_id": ids, "cluster": np.where(edge < len(ids), np.searchsorted(found, edge), -1).astype(np.int32)})
-
-    return able.groupBy("radius").cogroup(used.groupBy("within")).applyInPandas(label, "radius double, row_id long, cluster int")
-
-
-def density(df: DataFrame, k: int, eps: float, *seed: object, least: int = 10, split: float = 0.5, shares: tuple[float, ...] = (0.01, 0.02, 0.05), most: int = 3000, sample: int = 2000) -> tuple[DataFrame, np.ndarray, dict]:
-    """Density clustering on at most `most` rows; the other rows go to the nearest cluster mean. Of the radii the one with most clusters and then least error wins; without any cluster all rows are one. Neighbour graph, noisy degrees and errors are Spark's aggregates; what reaches the driver is a mean for each cluster."""
-    work = noise.first_by_draw(df, most, *seed, "work").persist()
-    pairs = pair_distances(work).persist()
-    some = noise.first_by_draw(work, sample, *seed, "radius").select(F.col("row_id").alias("a"))
-    radii = radius_candidates(pairs.join(some, "a", "left_semi").join(some.withColumnRenamed("a", "b"), "b", "left_semi"), list(shares))
-    links = pairs.withColumn("radius", F.explode(F.array(*map(F.lit, radii)))).where(F.col("distance") <= F.col("radius")).select("radius", "a", "b")
+    used = links.join(side("a"), ["radius", "a"]).join(side("b"), ["radius", "b"]).where("a_spreads or b_spreads")
+    comp = graphs.components(used.where("a_spreads and b_spreads").select("radius", "a", "b"), ["radius"])
+    inner = able.where("spreads").join(comp.withColumnRenamed("node", "p"), ["radius", "p"], "left").select("radius", "p", "starts", F.coalesce("component", "p").alias("component"))
+    real = inner.groupBy("radius", "component").agg(F.max("starts").alias("real")).where("real").select("radius", "component")
+    inner = inner.join(real, ["radius", "component"]).select("radius", "p", "component")
+    beside = used.where("a_spreads <> b_spreads").select("radius", F.when(F.col("a_spreads"), F.col("a")).otherwise(F.col("b")).alias("p"), F.when(F.col("a_spreads"), F.col("b")).otherwise(F.col("a")).alias("edge"))
+    edge = beside.join(inner, ["radius", "p"]).groupBy("radius", F.col("edge").alias("p")).agg(F.min("component").alias("component"))
+    named = inner.unionByName(edge.select("radius", "p", "component"))
+    numbers = ranks.within(real, "radius", "component", "cluster")
+    named = named.join(numbers, ["radius", "component"]).select("radius", "p", "cluster")
+    return able.select("radius", "p").join(named, ["radius", "p"], "left").select("radius", F.col("p").alias("row_id"), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+
+
+def density(df: DataFrame, k: int, eps: float, *seed: object, least: int = 10, split: float = 0.5, shares: tuple[float, ...] = (0.01, 0.02, 0.05), most: int | None = 3000, sample: int = 2000) -> tuple[DataFrame, np.ndarray, dict]:
+    """Density clustering on at most `most` rows (None: all); the other rows go to the nearest cluster mean. Of the radii the one with most clusters and then least error wins; without any cluster all rows are one. Radii are quantiles of the distances of `sample` rows; the neighbours are the radius graph at the largest of them, cut for the others. Neighbour graph, noisy degrees, components and errors are Spark's joins and aggregates; what reaches the driver is a mean for each cluster."""
+    whole = most is None or df.count() <= most
+    work = (df if whole else noise.first_by_draw(df, most, *seed, "work")).persist()
+    radii = radius_candidates(pair_distances(noise.first_by_draw(work, sample, *seed, "radius")), list(shares))
+    near = radius_graph(work, max(radii)).persist()
+    links = near.withColumn("radius", F.explode(F.array(*map(F.lit, radii)))).where(F.col("distance") <= F.col("radius")).select("radius", "a", "b")
     flags = noisy_degrees(work, links, least, eps * split, max(eps * (1 - split), 1e-8) / max(2 * k, 1), *seed)
     labels = density_labels(flags, links).persist()
     # The sums of a cluster give its mean and its error; all rows without any cluster count as one.
@@ -159,14 +147,14 @@ def density(df: DataFrame, k: int, eps: float, *seed: object, least: int = 10, s
     by = {r: sorted((x for x in sums if x["radius"] == r), key=lambda x: x["cluster"]) for r in {x["radius"] for x in sums}}
     radius = min(by, key=lambda r: (-len(by[r]), sum(x["error"] for x in by[r]), r))
     means = np.array([[m["mean"] for m in x["means"]] for x in by[radius]])
-    whole = df.count() <= most
     none = labels.where((F.col("radius") == radius) & (F.col("cluster") >= 0)).isEmpty()
     known = labels.where(F.col("radius") == radius).select("row_id", F.lit(0).alias("_known") if none else F.col("cluster").alias("_known"))
     out = stats.assign(df, means).join(known, "row_id", "left")
     cluster = F.col("_known") if whole else F.when(F.col("_known") >= 0, F.col("_known")).otherwise(F.col("cluster"))
     out = out.withColumn("cluster", cluster.cast("int")).drop("_known")
-    pairs.unpersist()
-    return out, means, {"radius": radius, "num_clusters": len(means), "used_points": work.count()}
+    used = work.count()
+    near.unpersist()
+    return out, means, {"radius": radius, "num_clusters": len(means), "used_points": used}
 
 
 def merge_clusters(counts: np.ndarray, centroids: np.ndarray, k: int) -> tuple[dict[int, int], list[tuple[int, int]]]:
@@ -230,18 +218,22 @@ class Population:
         return np.array([schedules.project(r, self.eps, *self.bounds) for r in raw])
 
     def breed(self, generation: int, order: np.ndarray, elite: int, crossover: float, mutation: float) -> None:
-        """The elite stays; the rest are children of random parents: with probability crossover one's first steps and the other's last, with probability mutation moved by a tenth of the mean step."""
+        """The elite stays; the rest are children of random pairs of parents, two a pair: with probability crossover each has the one's first steps and the other's last, else they are the parents as they are. A child is moved with probability mutation by a tenth of the mean step, and only then brought within the bounds and the total again: others keep what they inherit, whose sum may differ from it."""
         n, d = self.size - elite, self.draws("breed", generation)
-        left, right = self.rows[d.integers(0, self.size, n)], self.rows[d.integers(0, self.size, n)]
-        at = np.where(d.random(n) <= crossover, d.integers(1, max(2, self.steps), n), self.steps)
-        children = np.where(np.arange(self.steps) < at[:, None], left, right)
+        pairs = -(-n // 2)
+        left, right = self.rows[d.integers(0, self.size, pairs)], self.rows[d.integers(0, self.size, pairs)]
+        at = np.where(d.random(pairs) <= crossover, d.integers(1, max(2, self.steps), pairs), self.steps)
+        first = np.arange(self.steps) < at[:, None]
+        children = np.stack([np.where(first, left, right), np.where(first, right, left)], axis=1).reshape(-1, self.steps)[:n]
         moved = d.random(n) <= mutation
-        children = children + moved[:, None] * d.standard_normal((n, self.steps)) * self.eps / self.steps * 0.1
-        self.rows = np.concatenate([self.rows[order[:elite]], self.within(children)])
+        shift = d.standard_normal((n, self.steps)) * self.eps / self.steps * 0.1
+        if moved.any():
+            children[moved] = self.within(children[moved] + shift[moved])
+        self.rows = np.concatenate([self.rows[order[:elite]], children])
 
 
 def search_schedule(df: DataFrame, k: int, eps: float, steps: int, clip: float, *seed: object, least: float = 0.01, most: float | None = None, population: int = 30, generations: int = 40, crossover: float = 0.8, mutation: float = 0.2, elite: int = 2, rows: int = 3000) -> tuple[list[float], float]:
-    """Genetic search of a schedule on at most `rows` rows by keyed draw: (schedule, fitness). A generation's candidates are rows of a frame and are evaluated in parallel on the sample; the best one's fitness is of the whole table."""
+    """Genetic search of a schedule on at most `rows` rows by keyed draw: (schedule, fitness). A generation's candidates are rows of a frame and are evaluated in parallel on the sample; the best one's fitness is of the whole table, and it is returned within bounds and total."""
     spark = df.sparkSession
     some = noise.first_by_draw(df, rows, *seed, "search").persist()
     init = seeding.kmeanspp(some, k, *seed)
@@ -264,6 +256,5 @@ def search_schedule(df: DataFrame, k: int, eps: float, steps: int, clip: float,
         best = min(best, (float(fitness[order[0]]), held.rows[order[0]]), key=lambda b: b[0])
         held.breed(g, order, elite, crossover, mutation)
     some.unpersist()
-    schedule = best[1].tolist()
-    fit = kmeans.dp_kmeans(df, init, steps, eps, clip, *seed, schedule=schedule, boost=1.0)
-    return schedule, fit.final.sse(fit.centroids) + 1e6 * (k - fit.final.shape()["non_empty"])
+    fit = kmeans.dp_kmeans(df, init, steps, eps, clip, *seed, schedule=best[1].tolist(), boost=1.0)
+    return held.within(best[1][None])[0].tolist(), fit.final.sse(fit.centroids) + 1e6 * (k - fit.final.shape()["non_empty"])

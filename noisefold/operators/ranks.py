@@ -47,3 +47,18 @@ def tile(place: Column, n: int, tiles: int) -> Column:
     """The tile from 0 of a place among n: equal ones, the first n % tiles with one row more, as ntile() has them."""
     size, more = divmod(n, tiles)
     return F.when(place < more * (size + 1), F.floor(place / (size + 1))).otherwise(more + F.floor((place - more * (size + 1)) / max(size, 1))).cast("int")
+
+
+def within(df: DataFrame, by: str, col: str, name: str) -> DataFrame:
+    """df (distinct by, col) with each row's place from 0 in its group by col. Groups are few and each may be large: rows are ranked in buckets between approximate quantiles of all, and each bucket's counts a group say how many came before."""
+    buckets = min(max(df.count() // BUCKET, 1), 1024)
+    bucket: Column = F.lit(0)
+    if buckets > 1:
+        bounds = sorted(set(df.agg(F.percentile_approx(col, [i / buckets for i in range(1, buckets)], 100 * buckets).alias("q")).first()["q"]))
+        bucket = F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda n, b: n + (F.col(col) > b).cast("int"))
+    dealt = df.withColumn("_bucket", bucket)
+    sizes = dealt.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))  # at most 1024 rows a group
+    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(col)) - 1
+    return dealt.withColumn("_here", here).join(offsets, [by, "_bucket"]).withColumn(name, F.col("_before") + F.col("_here")).drop("_bucket", "_before", "_here")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from noisefold.functions import schedules
 from noisefold.operators import kmeans, metrics, noise, prep, reduction, seeding, stats
-from noisefold.sources import runs, tables
+from noisefold.sources import runs, storage, tables
 
 
 @dataclass(frozen=True)
@@ -143,6 +143,11 @@ class Plan:
     def spares(self) -> int:
         return max(128, 8 * self.k)
 
+    @property
+    def hash(self) -> str:
+        """What tells this run from others, configuration included."""
+        return runs.config_hash({"dataset": self.dataset, "method": self.name, "eps": self.eps, "seed": self.seed, "k": self.k, "n": self.n, "d": self.d, **self.cfg})
+
     def control(self) -> dict:
         return control_parameters(self.cfg["budget"], self.dataset, self.method.budget)
 
@@ -161,7 +166,7 @@ class Plan:
         low = [h["non_empty_k"] < k or h["min_cluster_ratio"] < min_ratio for h in fit.history]
         return {
             "dataset": self.dataset, "method": self.name, "eps_tot": float(self.eps), "seed": self.seed, "k": k, "d": self.d, "r": fit.centroids.shape[1], "T": cfg["steps"], "n": self.n, **self.eps_of, "eps_proxy_ratio": float(cfg["proxy_ratio"]), "clip_norm": float(cfg["clip"]), "algo_variant": self.init,
-            "config_hash": runs.config_hash({"dataset": self.dataset, "method": self.name, "eps": self.eps, "seed": self.seed, "k": k, "n": self.n, "d": self.d, **{x: v for x, v in cfg.items()}}), "runtime_ms_total": loop_ms, "history_path": None, **meta,
+            "config_hash": self.hash, "runtime_ms_total": loop_ms, "history_path": None, **meta,
             "sse_x": sse_x, "sse_z": fit.final.sse(fit.centroids), **quality, "non_empty_k_final": shape["non_empty"], "max_cluster_ratio_final": shape["max_ratio"], "min_cluster_ratio_final": shape["min_ratio"], "cluster_entropy_final": shape["entropy"],
             "collapse_final": int(shape["non_empty"] < k or shape["max_ratio"] > cfg["collapse_above"]), "collapse_rate": sum(low) / len(low) if low else None, "runtime_ms_all": all_ms, "privacy_audit": "exact moments; raw counts in control",
         }
@@ -237,6 +242,33 @@ def experiment(df: DataFrame, dataset: str, k: int, names: Sequence[str], budget
     return results_frame(df.sparkSession, grid.run_all(df, dataset, k, [(m, e, s) for m in names for e in budgets for s in seeds], **config))
 
 
+def resumed(df: DataFrame, dataset: str, k: int, names: Sequence[str], budgets: Sequence[float], seeds: Sequence[int], folder: str, at_once: int = 64, **config) -> DataFrame:
+    """experiment() that goes on where an earlier call ended: results of all the runs asked for, from the table in `folder`, after the missing ones were done.
+
+    Runs go in groups of at_once, each of which shares its passes and commits its rows in one folder, named by the runs and written whole or, without its success mark, not counted; so a killed grid loses at most the group at work, and a repeated attempt writes the same folder. A run is known by its configuration's hash, so other parameters, rows or widths are other runs. Where two drivers commit a run, the row of the first group by name counts.
+    """
+    from noisefold.plans import grid
+
+    n, d = df.count(), len(df.select("features").first()["features"])
+    asked = {plan(dataset, m, k, e, s, n, d, config).hash: (m, e, s) for m in names for e in budgets for s in seeds}
+    done = storage.committed(df.sparkSession, folder)
+    known = {r["config_hash"] for r in _committed(df.sparkSession, done).select("config_hash").distinct().collect()} if done else set()  # a row a run
+    left = [h for h in asked if h not in known]
+    for i in range(0, len(left), at_once):
+        group = left[i : i + at_once]
+        rows = grid.run_all(df, dataset, k, [asked[h] for h in group], **config)
+        path = f"{folder.rstrip('/')}/group-{runs.config_hash({'runs': sorted(group)})}"
+        results_frame(df.sparkSession, rows).coalesce(1).write.mode("overwrite").parquet(path)
+        done.append(path)
+    wanted = df.sparkSession.createDataFrame([(h,) for h in asked], "config_hash string")
+    found = runs.keep_first(_committed(df.sparkSession, done), ["config_hash"], "_group")
+    return found.join(F.broadcast(wanted), "config_hash", "left_semi").select(*(f.split()[0] for f in tables.RESULTS.split(", ")))  # a row a run asked for
+
+
+def _committed(spark, folders: Sequence[str]) -> DataFrame:
+    return spark.read.schema(tables.RESULTS).parquet(*folders).withColumn("_group", F.input_file_name())
+
+
 def tune(df: DataFrame, dataset: str, name: str, k: int, candidates: Sequence[Mapping], budgets: Sequence[float], seeds: Sequence[int], **config) -> tuple[Mapping, list[dict]]:
     """The best candidate by mean F1, then small deviation, then small error, the first of equals; and each one's summary."""
     import statistics

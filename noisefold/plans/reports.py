@@ -195,11 +195,27 @@ def datasets_with(df: DataFrame, names: Sequence[str], by: str = "dataset") -> D
     return found.where(F.col("n") == len(set(names))).select(by)
 
 
+def number(value: str | Column, fmt: str) -> Column:
+    """A number as text by a C format: `%.Nf`, `%.Ne`, or `%.Ng`, which is the fixed form for exponents from -4 to N - 1 and the other beyond, both without zeros at the end. Null and NaN are --. Ties of the last digit round up, as the number's shortest text has them."""
+    x = F.col(value) if isinstance(value, str) else value
+    if fmt[-1] != "g":
+        shown = F.format_string(fmt, x)
+    else:
+        digits = max(int(fmt[2:-1]), 1)
+        parts = F.split(F.format_string(f"%.{digits - 1}e", x), "e")
+        exponent = parts[1].cast("int")
+        plain = F.coalesce(*(F.when(exponent == e, F.format_string(f"%.{digits - 1 - e}f", x)) for e in range(-4, digits)))
+        bare = lambda c: F.when(F.contains(c, F.lit(".")), F.regexp_replace(c, r"\.?0+$", "")).otherwise(c)
+        shown = F.coalesce(bare(plain), F.concat(bare(parts[0]), F.lit("e"), parts[1]))
+    return F.when(x.isNull() | F.isnan(x), F.lit("--")).otherwise(shown)
+
+
 # Formats of mean and deviation by metric.
 FORMATS = {"sse_x": "%.3e", "f1": "%.3f", "collapse_rate": "%.3f"}
 
 
-def formatted(summary_: DataFrame, by: Sequence[str], values: Sequence[str], between: str = "±") -> DataFrame:
-    """A summary's means and deviations as texts, errors in scientific notation; -- for what is missing."""
-    text = lambda v: F.when(F.col(f"{v}_mean").isNull(), F.lit("--")).otherwise(F.concat(F.format_string(FORMATS.get(v, "%.3f"), f"{v}_mean"), F.lit(between), F.coalesce(F.format_string(FORMATS.get(v, "%.3f"), f"{v}_std"), F.lit("--"))))
+def formatted(summary_: DataFrame, by: Sequence[str], values: Sequence[str], between: str = "±", formats: Mapping[str, str] = FORMATS) -> DataFrame:
+    """A summary's means and deviations as texts, by default errors in scientific notation; -- for what is missing."""
+    of = lambda v: formats.get(v, "%.3f")
+    text = lambda v: F.when(F.col(f"{v}_mean").isNull(), F.lit("--")).otherwise(F.concat(number(f"{v}_mean", of(v)), F.lit(between), number(f"{v}_std", of(v))))
     return summary_.select(*by, *(text(v).alias(v) for v in values))

@@ -43,6 +43,20 @@ def canonical(method: str | Column) -> Column:
     return F.regexp_replace(F.lower(F.col(method) if isinstance(method, str) else method), "[^a-z0-9]", "")
 
 
+def display_names(df: DataFrame, names: Mapping[str, str], method: str = "method") -> DataFrame:
+    """df with each method under the name that `names` has for its key (canonical()); others keep theirs. Several keys may have one name."""
+    known = df.sparkSession.createDataFrame(list(names.items()), "_key string, _shown string")  # the caller's mapping
+    joined = df.withColumn("_key", canonical(method)).join(F.broadcast(known), "_key", "left")
+    return joined.withColumn(method, F.coalesce("_shown", method)).select(*df.columns)
+
+
+def normal_path(path: str) -> str:
+    """A path with one separator between its parts and without . and .. where they can be resolved."""
+    import posixpath
+
+    return posixpath.normpath(path)
+
+
 def runtime_seconds(df: DataFrame) -> Column:
     """Seconds from the first of the known runtime columns that exists, even where it is null."""
     for name, factor in (("runtime_sec", 1.0), ("runtime_ms_total", 1e-3), ("runtime_ms", 1e-3), ("runtime", 1.0)):

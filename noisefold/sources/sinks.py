@@ -54,7 +54,8 @@ def write_run_logs(rows: DataFrame, folder: str, header: str = "header", order:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    """With a header; quotes inside values are doubled, as most readers expect."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_json(value: object, path: str) -> None:

@@ -20,3 +20,19 @@ def new_folder(spark: SparkSession, what: str) -> str:
     found = sc._jvm.org.apache.hadoop.fs.Path(path)
     found.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(found)
     return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def committed(spark: SparkSession, folder: str) -> list[str]:
+    """The folders directly in `folder` whose write was finished (they have the success mark), by name; none where it doesn't exist."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
+    return sorted(p.toString() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))

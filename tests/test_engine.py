@@ -290,3 +290,49 @@ def test_comparison_queries_run_the_whole_operators(spark, tiny, monkeypatch):
     catalog.queries()["c32_density"](spark, tiny)
     catalog.queries()["c34_schedule_search"](spark, tiny)
     assert given == {"density": {}, "search": {}}
+
+
+def test_a_killed_grid_goes_on(spark, blobs, tmp_path, monkeypatch):
+    """The second group fails: the first stays, and the next call does only what is missing; each run is there once, with the row of an unbroken grid."""
+    folder, done, real = str(tmp_path / "grid"), [], grid.run_all
+
+    def failing(df, dataset, k, group, **config):
+        if len(done) == 1 and not done[0][1]:
+            raise RuntimeError("lost")
+        done.append([list(group), False])
+        return real(df, dataset, k, group, **config)
+
+    asked = ("blobs", 3, ["dpk", "dpk_kpp"], [5.0], [0, 1])
+    monkeypatch.setattr(grid, "run_all", failing)
+    with pytest.raises(RuntimeError):
+        methods.resumed(blobs, *asked, folder, at_once=2, **QUICK)
+    (tmp_path / "grid/group-half").mkdir()  # an attempt that didn't get to its success mark
+    done[0][1] = True
+    rows = methods.resumed(blobs, *asked, folder, at_once=2, **QUICK).collect()
+    assert [len(g) for g, _ in done] == [2, 2] and not set(done[0][0]) & set(done[1][0])
+    monkeypatch.setattr(grid, "run_all", real)
+    whole = methods.experiment(blobs, *asked, **QUICK).collect()
+    key = lambda r: (r["method"], r["seed"])
+    assert sorted(map(key, rows)) == sorted(map(key, whole))
+    for a, b in zip(sorted(rows, key=key), sorted(whole, key=key)):
+        assert a["config_hash"] == b["config_hash"] and a["sse_x"] == pytest.approx(b["sse_x"]) and a["f1"] == pytest.approx(b["f1"])
+    methods.resumed(blobs, *asked, folder, **QUICK)
+    assert len(done) == 2  # nothing was left to do
+    few = methods.resumed(blobs, "blobs", 3, ["dpk"], [5.0], [1], folder, **QUICK)
+    assert [key(r) for r in few.collect()] == [("dpk", 1)]  # others of the folder aren't asked for
+
+
+def test_configurations_and_tables_as_text(spark, tmp_path):
+    value = {"b": [1, 2.5], "a": {"x": None}}
+    sinks.write_json(value, str(tmp_path / "c.json"))
+    assert runs.read_config(str(tmp_path / "c.json")) == value and (tmp_path / "c.json").read_text().index('"a"') < (tmp_path / "c.json").read_text().index('"b"')
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump(value))
+    assert runs.read_config(str(tmp_path / "c.yaml")) == value
+
+
+def test_csv_reads_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a,"b"', 0.5), (2, None, None)], "n int, t string, x double")
+    sinks.write_csv(df, str(tmp_path / "t"))
+    sinks.write_csv(df, str(tmp_path / "t"))  # replaced, not appended
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "t"), header=True, schema=df.schema, escape='"').collect())) == [(1, 'a,"b"', 0.5), (2, None, None)]

@@ -9,9 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from noisefold.functions import rng, schedules
-from noisefold.operators import alternatives, metrics, noise, seeding, significance, stats
-from noisefold.plans import methods
-from noisefold.sources import synthetic
+from noisefold.operators import alternatives, graphs, metrics, noise, ranks, reduction, seeding, significance, stats
+from noisefold.plans import methods, reports
+from noisefold.sources import runs, synthetic
 
 Y, P = [0, 0, 1, 1, 2, 2], [1, 1, 0, 0, 0, 2]
 
@@ -180,3 +180,126 @@ def test_blob_counts():
     assert synthetic.blob_counts(10, 3) == [3, 3, 4]
     with pytest.raises(ValueError):
         synthetic.weights(2, [0.0, 0.0])
+
+
+def plain_components(edges):
+    """Group and node to its smallest reachable node, by sweeps."""
+    label = {(g, x): x for g, a, b in edges for x in (a, b)}
+    for _ in range(len(label)):
+        before = dict(label)
+        for g, a, b in edges:
+            label[g, a] = label[g, b] = min(label[g, a], label[g, b])
+        if label == before:
+            break
+    return label
+
+
+@pytest.mark.parametrize("shape", ["random", "chain", "star", "empty"])
+def test_components_by_joins(spark, shape):
+    r = np.random.default_rng(5)
+    edges = {
+        "random": [(g, int(a), int(b)) for g in (0, 1) for a, b in r.integers(0, 80, (70, 2)) if a != b],
+        "chain": [(0, i, i + 1) for i in range(120)] + [(1, 7, 3)],
+        "star": [(0, 99, i) for i in range(40)] + [(0, i, 200 + i) for i in range(30, 60)],
+        "empty": [],
+    }[shape]
+    rows = [*edges, *edges[:3], (0, 5, 5), (0, None, 3)]  # repeated links, a self loop and a null
+    got = graphs.components(spark.createDataFrame(rows, "g int, a long, b long"), ["g"]).collect()
+    assert len(got) == len({(x["g"], x["node"]) for x in got})
+    assert {(x["g"], x["node"]): x["component"] for x in got} == plain_components(edges)
+
+
+def test_density_labels_equal_a_plain_version(spark):
+    """500 points, two radii, draws that often change what degrees say."""
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(c, 0.35, (100, 2)) for c in ((0, 0), (2, 0), (0, 2), (3, 3))] + [r.uniform(-2, 5, (100, 2))])
+    points = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(x)], "row_id long, features array<double>")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    radii = [0.25, 0.4]
+    links = spark.createDataFrame([(rad, int(i), int(j)) for rad in radii for i, j in zip(*np.nonzero(np.triu(far <= rad, 1)))], "radius double, a long, b long")
+    flags = alternatives.noisy_degrees(points, links, 10, 0.5, 0.2, "s")
+    held = {(f["radius"], f["row_id"]): (f["starts"], f["grows"]) for f in flags.collect()}
+    got = {(f["radius"], f["row_id"]): f["cluster"] for f in alternatives.density_labels(flags, links).collect()}
+    want = {}
+    for rad in radii:
+        near = [[int(j) for j in np.flatnonzero(far[i] <= rad) if j != i] for i in range(len(x))]
+        spreads = [any(held[rad, i]) for i in range(len(x))]
+        name, number = {}, 0
+        for i in range(len(x)):  # components by smallest point
+            if spreads[i] and i not in name:
+                todo, seen = [i], {i}
+                while todo:
+                    new = [j for j in near[todo.pop()] if spreads[j] and j not in seen]
+                    seen.update(new)
+                    todo += new
+                real = any(held[rad, j][0] for j in seen)
+                name |= {j: number if real else -1 for j in seen}
+                number += real
+        for i in range(len(x)):
+            beside = [name[j] for j in near[i] if spreads[j] and name[j] >= 0]
+            want[rad, i] = name[i] if spreads[i] else min(beside, default=-1)
+    assert got == want and {-1, 0, 1} <= set(want.values())
+
+
+def test_ranks_within_groups(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BUCKET", 7)
+    rows = [(g, int(v)) for g in range(3) for v in np.random.default_rng(g).permutation(200)[: 20 * (g + 1)]]
+    got = {(r["g"], r["v"]): r["place"] for r in ranks.within(spark.createDataFrame(rows, "g int, v long"), "g", "v", "place").collect()}
+    assert got == {(g, v): sorted(x for h, x in rows if h == g).index(v) for g, v in rows}
+
+
+def test_block_components_span_the_exact_ones(spark):
+    """Wide rows with a gap after the fifth eigenvalue; and more components than features."""
+    r = np.random.default_rng(2)
+    basis = np.linalg.qr(r.standard_normal((60, 60)))[0]
+    x = r.standard_normal((400, 60)) * np.concatenate([[9, 8, 7, 6, 5], np.full(55, 0.3)]) @ basis.T + 3
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "row_id long, features array<double>").repartition(5)
+    mean, v, values = reduction.block_components(df, 5, 50, 3, 1e-9, "s")
+    _, exact_mean, cov = reduction.moments(df)
+    exact = reduction.components(cov, 5)
+    assert np.allclose(mean, exact_mean) and np.allclose(values, np.sort(np.linalg.eigvalsh(cov))[::-1][:5], rtol=1e-9)
+    assert np.abs(v @ v.T - exact @ exact.T).max() < 1e-6 and np.abs(v - exact).max() < 1e-6
+    assert np.abs(v.T @ v - np.eye(5)).max() < 1e-9
+    _, whole, _ = reduction.block_components(df.select("row_id", F.slice("features", 1, 4).alias("features")), 9, 50, 8, 1e-9, "s")
+    assert whole.shape == (4, 4)
+
+
+def test_wide_rows_take_the_block_way(spark, monkeypatch):
+    x = np.random.default_rng(1).standard_normal((80, 6)) * [5, 3, 1, 0.5, 0.2, 0.1]
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "row_id long, features array<double>")
+    exact = {r["row_id"]: r["features"] for r in reduction.pca(df, 2).collect()}
+    monkeypatch.setattr(reduction, "WIDE", 5)
+    monkeypatch.setattr(reduction, "moments", None)  # the Gram matrix isn't made
+    for r in reduction.pca(df, 2).collect():
+        assert r["features"] == pytest.approx(exact[r["row_id"]], abs=1e-6)
+
+
+def test_children_of_schedules():
+    """Two children a pair, swapped at one place; only moved ones are brought within the total again."""
+    held = alternatives.Population(9, 5, 10.0, 0.5, 6.0, "p")
+    before = held.rows.copy()
+    held.breed(0, np.arange(9), 2, 1.0, 0.0)
+    assert held.rows.shape == (9, 5) and (held.rows[:2] == before[:2]).all()
+    for i in range(2, 8, 2):
+        a, b = held.rows[i], held.rows[i + 1]
+        assert any((np.concatenate([p[:c], q[c:]]) == a).all() and (np.concatenate([q[:c], p[c:]]) == b).all() for p in before for q in before for c in range(1, 5))
+    assert np.abs(held.rows[2:].sum(1) - 10).max() > 1e-6  # an unmoved child keeps what it inherits
+    held.breed(1, np.arange(9), 2, 1.0, 1.0)
+    assert np.allclose(held.rows[2:].sum(1), 10)
+
+
+def test_number_formats(spark):
+    values = [123456.0, 0.00012346, 1.0, 100.0, 999.9, 0.1, 1e-9, -2.6e10, 12.345678, 0.0, 1e15, 9.996]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
+    for fmt in ("%.3g", "%.2e", "%.3e", "%.1f", "%.0f", "%.3f", "%.1g"):
+        got = [r[0] for r in df.select(reports.number("x", fmt)).collect()]
+        assert got == [fmt % v for v in values] + ["--", "--"], fmt
+    assert spark.range(1).select(reports.number(F.lit(0.00012345), "%.3e")).first()[0] == "1.235e-04"  # a tie in the shortest text, which C rounds by the bits
+
+
+def test_names_paths_and_rescaled_budgets(spark):
+    df = spark.createDataFrame([("A-b (1)", 1), ("ab1", 2), ("other", 3), (None, 4)], "method string, n int")
+    got = {r["n"]: r["method"] for r in runs.display_names(df, {"ab1": "AB one"}).collect()}
+    assert got == {1: "AB one", 2: "AB one", 3: "other", 4: None} and runs.display_names(df, {"x": "y"}).columns == df.columns
+    assert [runs.normal_path(p) for p in ("a//b/./c/../d/", "./x", "")] == ["a/b/d", "x", "."]
+    assert schedules.rescaled([1.0, 3.0], 2.0) == pytest.approx([0.5, 1.5]) and schedules.rescaled([], 2.0) == []
