@@ -2,7 +2,7 @@
 
 A fingerprint's 64 bits are a path in a binary trie. Node pairs are traversed together from the root: each level adds the differing bit to a pair's count, and a pair over its budget is dropped with all below it. Two fingerprints with at most `bits` differing bits have at most bits // 2 of them in one of their two halves, so the trie is joined twice, once with either half in front, with the budget bits // 2 through the front half and `bits` below. That keeps the pairs per node at the square of log(n), not its fourth power.
 
-The trie's top is dealt over tasks: a task owns one page (a prefix of `depth` bits) and receives the fingerprints of the pages that are at most bits // 2 bits away. Its links leave as a spanning forest, so rows out never outgrow rows in, however dense a group of near copies is. Equal fingerprints are one node throughout.
+The trie's top is dealt over tasks: a task owns one page (a prefix of `depth` bits) and receives the fingerprints of the pages that are at most bits // 2 bits away. What each page would get is counted first, from the pages' own counts; a page that would get more than usual is parted by further bits of its half, and what comes to it goes to those parts that are within what is left of the budget. Its links leave as a spanning forest, so rows out never outgrow rows in, however dense a group of near copies is. Equal fingerprints are one node throughout.
 """
 
 from __future__ import annotations
@@ -98,30 +98,53 @@ def trie_links(values: np.ndarray, home: int, front: int, budget: int, most: int
     return forest(n, np.concatenate([np.arange(n), *held_i]), np.concatenate([label, *held_j]))
 
 
+HALF = 32  # bits of either half
+
+
+def _masks(width: int, most: int) -> list[int]:
+    """The numbers of `width` bits with at most `most` ones."""
+    return [sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(width), k)]
+
+
 def trie_self_join(fps: DataFrame, bits: int = BITS, page_rows: int = 50_000) -> DataFrame:
     """Edges (a, b) between distinct fingerprints fp (signed longs) that connect exactly what links of at most `bits` bits connect."""
     n = max(1, fps.count())
     depth = min(20, max(8, math.ceil(math.log2(n / page_rows)) if n > page_rows else 0))
     front = bits // 2
-    masks = [sum(1 << b for b in c) for k in range(front + 1) for c in combinations(range(depth), k)]
-    turned = fps.select(F.explode(F.array(*(F.struct(F.lit(r).alias("turn"), v.alias("v")) for r, v in ((0, F.col("fp")), (1, F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))))))).alias("x")).select("x.*")
-    own = F.shiftrightunsigned("v", 64 - depth).cast("int")
-    dealt = turned.select("turn", "v", own.alias("own"), F.explode(F.array(*map(F.lit, masks))).alias("mask")).select("turn", "v", F.col("own").bitwiseXOR(F.col("mask")).alias("page"), "own").where("page <= own").drop("own")
+    masks = _masks(depth, front)
+    turned = fps.select(F.explode(F.array(*(F.struct(F.lit(r).alias("turn"), v.alias("v")) for r, v in ((0, F.col("fp")), (1, F.shiftleft("fp", HALF).bitwiseOR(F.shiftrightunsigned("fp", HALF))))))).alias("x")).select("x.*")
+    turned = turned.withColumn("own", F.shiftrightunsigned("v", 64 - depth).cast("int"))
+    around = lambda df: df.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).withColumn("page", F.col("own").bitwiseXOR(F.col("mask"))).where("page <= own")
+    usual = page_rows * len(masks)
+    loads = around(turned.groupBy("turn", "own").agg(F.count("*").alias("n"))).groupBy("turn", "page").agg(F.sum("n").alias("n"))  # at most 2 ** depth counts a turn, each sent to its pages
+    hot = loads.where(F.col("n") > usual).select("turn", "page", F.least(F.lit(HALF - depth), F.ceil(F.log2(F.col("n") / usual))).cast("int").alias("extra"))
+    hot, _ = cut(hot, "pages", free=False)
+    dealt = around(turned)
+    if hot.isEmpty():
+        dealt = dealt.select("turn", "v", "page", F.lit(0).alias("extra"), F.lit(0).alias("part"))
+    else:
+        dealt = dealt.join(F.broadcast(hot), ["turn", "page"], "left").withColumn("extra", F.coalesce("extra", F.lit(0)))  # at most 2 ** 21 pages
+        left = front - F.bit_count("mask")
+        all_parts = F.coalesce(*(F.when(F.col("extra") == e, F.array(*map(F.lit, _masks(e, front)))) for e in range(HALF - depth + 1)))
+        at = F.when(F.col("extra") > 0, F.expr(f"shiftrightunsigned(shiftleft(v, {depth}), 64 - extra)")).otherwise(F.lit(0)).cast("int")
+        dealt = dealt.withColumn("at", at).withColumn("part_mask", F.explode(F.filter(all_parts, lambda x: F.bit_count(x) <= left)))
+        dealt = dealt.withColumn("part", F.col("at").bitwiseXOR(F.col("part_mask"))).where("page < own or part <= at").select("turn", "v", "page", "extra", "part")
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        turn, page = key
+        turn, page, extra, part = map(int, key)
         values = np.unique(pdf["v"].to_numpy(np.int64).view(np.uint64))
-        home = int(np.searchsorted(values, np.uint64((int(page) + 1) << (64 - depth)))) if (int(page) + 1) < (1 << depth) else len(values)
+        width, prefix = depth + extra, (page << extra) + part + 1
+        home = int(np.searchsorted(values, np.uint64(prefix << (64 - width)))) if prefix < 1 << width else len(values)
         if not home:
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         label = trie_links(values, home, front, bits)
         i = np.flatnonzero(label != np.arange(len(label)))
         a, b = values[i], values[label[i]]
         if turn:
-            a, b = ((x << np.uint64(32)) | (x >> np.uint64(32)) for x in (a, b))
+            a, b = ((x << np.uint64(HALF)) | (x >> np.uint64(HALF)) for x in (a, b))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("turn", "page").applyInPandas(join, "a long, b long")
+    return dealt.groupBy("turn", "page", "extra", "part").applyInPandas(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
