@@ -263,6 +263,46 @@ def test_lineitem_reaches_the_scan_pruned(spark, tiny):
     assert "l_shipdate" not in plan.split("ReadSchema")[1]
 
 
+def test_radius_joins_where_all_is_near(spark, monkeypatch):
+    """Rows that are within a few radii of each other are sent once for each pair of blocks, and batches of links stay small; degrees and forests are those of the graph. The same in cells."""
+    monkeypatch.setattr(alternatives, "BLOCK", 100)
+    monkeypatch.setattr(alternatives, "CELLS", 1 << 10)
+    r = np.random.default_rng(3)
+    dense = r.normal(0, 1, (700, 16))
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    dense[:40] = dense[0]
+    apart = r.uniform(-50, 50, (30, 3))[r.integers(0, 30, 700)] + r.normal(0, 0.3, (700, 3))
+    for x, radius, blocks in ((dense, 0.8, True), (apart, 0.5, False)):
+        points = spark.createDataFrame([(i, v.tolist(), bool(i % 3)) for i, v in enumerate(x)], "row_id long, features array<double>, spreads boolean").persist()
+        far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        want = set(zip(*(k.tolist() for k in np.nonzero(np.triu(far <= radius, 1)))))
+        groups = alternatives._radius_groups(points.select("row_id", "features"), radius)
+        assert groups.where("cell is null").isEmpty() != blocks and (not blocks or groups.count() == 700 * 7)
+        assert groups.groupBy("cell", "ring", "i", "j", "side").count().agg(F.max("count")).first()[0] < 160
+        got = alternatives.radius_graph(points, radius).collect()
+        assert len(got) == len(want) and {(p["a"], p["b"]) for p in got} == want and all(p["distance"] == pytest.approx(far[p["a"], p["b"]], abs=1e-12) for p in got)
+        degrees = {p["row_id"]: p["n"] for p in alternatives.radius_degrees(points, radius).collect()}
+        assert degrees == {i: int(n) for i, n in enumerate((far <= radius).sum(1) - 1) if n}
+
+        def names(links):
+            label = list(range(700))
+            for _ in range(700):
+                before = list(label)
+                for a, b in links:
+                    label[a] = label[b] = min(label[a], label[b])
+                if label == before:
+                    return label
+
+        forest = {(p["a"], p["b"]) for p in alternatives.radius_forest(points, radius).collect()}
+        assert names(forest) == names(want)
+        some = alternatives.radius_forest(points, radius, "spreads").collect()
+        beside = [(p["a"], p["b"]) for p in some if (p["a"] % 3 > 0) != (p["b"] % 3 > 0)]
+        assert len(beside) == len(set(beside)) and set(beside) == {k for k in want if (k[0] % 3 > 0) != (k[1] % 3 > 0)}
+        inner = lambda links: names({k for k in links if k[0] % 3 and k[1] % 3})
+        assert inner({(p["a"], p["b"]) for p in some}) == inner(want) and all(p["a"] % 3 or p["b"] % 3 for p in some)
+        points.unpersist()
+
+
 def whole_graph(spark, tiny):
     rows = catalog._e(spark, tiny).select("row_id", "features").orderBy("row_id").collect()
     x = np.array([r["features"] for r in rows], float)
