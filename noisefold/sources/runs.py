@@ -90,18 +90,21 @@ def run_logs(spark: SparkSession, glob: str, methods: Mapping[str, str] | None =
     """
     rows = lines.numbered(spark, glob)
     part = lambda n: F.regexp_extract("path", LOG_PATH, n)
-    rows = rows.where(F.col("path").rlike(LOG_PATH)).select("path", "line", "value", F.url_decode(F.regexp_replace(part(1), r"\+", "%2B")).alias("dataset"), F.url_decode(F.regexp_replace(part(2), r"\+", "%2B")).alias("method"), part(3).try_cast("double").alias("eps"), part(4).try_cast("int").alias("seed")).where("eps is not null and seed is not null")
+    # What a path and a header say is worked out once a file. The path is bound to the line's number, as conditions on the path alone are moved below the numbering's join and run on each line.
+    heads = rows.where("line = 0").withColumn("path", F.when(F.col("line") == 0, F.col("path"))).where(F.col("path").rlike(LOG_PATH)).select("path", F.regexp_replace("value", "^\ufeff", "").alias("_head"))
+    heads = heads.select("path", "_head", F.url_decode(F.regexp_replace(part(1), r"\+", "%2B")).alias("dataset"), F.url_decode(F.regexp_replace(part(2), r"\+", "%2B")).alias("method"), part(3).try_cast("double").alias("eps"), part(4).try_cast("int").alias("seed")).where("eps is not null and seed is not null")
     if methods is not None:
         names = spark.createDataFrame(list(methods.items()), "method string, _name string")  # the caller's mapping
-        rows = rows.join(F.broadcast(names), "method").withColumn("method", F.col("_name")).drop("_name")
-    heads = rows.where("line = 0").select("path", F.regexp_replace("value", "^\ufeff", "").alias("_head"))
+        heads = heads.join(F.broadcast(names), "method").withColumn("method", F.col("_name")).drop("_name")
+    heads = heads.persist()  # a row a file
     width = heads.agg(F.max(F.size(F.split("_head", ",", -1)))).first()[0] or 1
     cells = lambda c: F.from_csv(c, ", ".join(f"_{i} string" for i in range(width)), {"mode": "PERMISSIVE"})
-    listed = lambda c: F.array(*(F.trim(cells(c)[f"_{i}"]) for i in range(width)))
-    heads = heads.select("path", F.filter(listed("_head"), lambda x: x.isNotNull()).alias("header"))
+    # A lambda's argument is evaluated once, so a line is parsed once for all its cells.
+    listed = lambda c: F.transform(F.array(cells(c)), lambda s: F.array(*(F.trim(s[f"_{i}"]) for i in range(width))))[0]
     fields = [f.split() for f in columns.split(", ")]
-    places = heads.select("path", "header", *(F.array_position("header", F.lit(n)).cast("int").alias(f"_at_{n}") for n, _ in fields))
-    body = rows.where(F.trim("value") != "").where("line > 0").withColumn("_cells", listed("value")).join(places, "path")
+    heads = heads.select("path", "dataset", "method", "eps", "seed", F.filter(listed("_head"), lambda x: x.isNotNull()).alias("header"))
+    places = heads.select("*", *(F.array_position("header", F.lit(n)).cast("int").alias(f"_at_{n}") for n, _ in fields))
+    body = rows.where("line > 0").where(F.trim("value") != "").select("path", "line", listed("value").alias("_cells")).join(places, "path")
 
     def value(name: str, kind: str) -> Column:
         text = F.try_element_at("_cells", F.when(F.col(f"_at_{name}") > 0, F.col(f"_at_{name}")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,21 +36,34 @@ def write_history(history: DataFrame, path: str, run: Mapping[str, object]) -> N
 
 
 def write_run_logs(rows: DataFrame, folder: str, header: str = "header", order: str = "line") -> DataFrame:
-    """A log file {dataset}/{method}/eps{e}_seed{s}.csv for each run of rows (dataset, method, eps, seed, `header`, `order`, cells by name), with the columns that the run's header (names joined by commas, the same in all its rows) lists; a row with the path for each. A run is a log of some steps and is written by one task; a repeated attempt writes the same file."""
+    """A log file {dataset}/{method}/eps{e}_seed{s}.csv for each run of rows (dataset, method, eps, seed, `header`, `order`, cells by name), with the columns that the run's header (names joined by commas, the same in all its rows) lists; a row with the path for each. A run is written by one task, which gets it sorted and holds a batch of it at a time; a repeated attempt writes the same file."""
+    keys = ["dataset", "method", "eps", "seed"]
 
-    def write(run: pd.DataFrame) -> pd.DataFrame:
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        one = run.iloc[0]
-        names = one[header].split(",")
         where, base = fs.FileSystem.from_uri(folder)
-        name = f"{one['dataset']}/{one['method']}/eps{float(one['eps'])!r}_seed{one['seed']}.csv"
-        where.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
-        with where.open_output_stream(f"{base}/{name}") as f:
-            f.write(run.sort_values(order)[names].to_csv(index=False).encode())
-        return pd.DataFrame({"path": [f"{folder}/{name}"]})
-
-    return rows.groupBy("dataset", "method", "eps", "seed").applyInPandas(write, "path string")
+        now, f = None, None
+        try:
+            for pdf in batches:
+                for run, part in pdf.groupby(keys, sort=False, dropna=False):
+                    dataset, method, eps, seed = run
+                    name, names = f"{dataset}/{method}/eps{float(eps)!r}_seed{seed}.csv", part[header].iloc[0].split(",")
+                    begins = name != now
+                    if begins:
+                        if f is not None:
+                            f.close()
+                            yield pd.DataFrame({"path": [f"{folder}/{now}"]})
+                        where.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+                        now, f = name, where.open_output_stream(f"{base}/{name}")
+                    f.write(part[names].to_csv(index=False, header=begins).encode())
+        finally:
+            if f is not None:
+                f.close()
+        if f is not None:
+            yield pd.DataFrame({"path": [f"{folder}/{now}"]})
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(write, "path string")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -119,6 +119,15 @@ def test_run_logs_read_columns_by_each_files_header(spark, tmp_path):
     assert got == {("a b", 1.0, 0): (0.6, 170.0, None, None, None), ("a b", 1.0, 1): (0.6, 170.0, None, None, None), ("d", 2.0, 10): (0.4, 8.0, None, None, 2.5), ("d", 0.5, 2): (None, None, 3.0, None, 7.0)}
 
 
+def test_run_logs_parse_a_line_once(spark, tmp_path):
+    """Whatever the number of columns: once the headers, once the lines."""
+    os.makedirs(tmp_path / "d" / "m")
+    (tmp_path / "d" / "m" / "eps1_seed2.csv").write_text("t,iter,macro_f1,sse,non_empty_k\n1,2,0.5,3,4\n")
+    logs = runs.run_logs(spark, f"{tmp_path}/*/*/*.csv")
+    assert logs._jdf.queryExecution().analyzed().toString().count("from_csv") <= 2
+    assert [(r["eps"], r["seed"], r["macro_f1"], r["non_empty_k"]) for r in logs.collect()] == [(1.0, 2, 0.5, 4.0)]
+
+
 def test_lines_of_split_files(spark, tmp_path):
     r = random.Random(4)
     texts = {f"f{i}.txt": ["".join(r.choice("ab \u00e9") for _ in range(r.randint(0, 60))) for _ in range(n)] for i, n in enumerate((0, 1, 3000, 700))}
