@@ -39,6 +39,8 @@ _RUN_STEP = 6  # words between equal seeds of a run, of which MIN_WORDS words th
 _STRETCH_STEP = 20  # words between seeds of a stretch that are chained
 _STRETCH_GAP = K + 1  # words from one seed to the next within a stretch: one word between them may differ
 _REPEAT = 50  # words within which equal seeds of one document are a run
+_CELLS = 1 << 20  # words of ends that grow together
+_TOGETHER = 500  # documents that are aligned together
 _LEAST = 7  # k-mers that MIN_WORDS words at SIMILARITY share: 40 equal words in at most 11 runs, of which each loses K - 1
 
 
@@ -293,11 +295,11 @@ class Fenwick:
 
     def top(self, i: int) -> tuple[float, int]:
         """Over indices below i."""
-        x = (-math.inf, -1)
+        x, best = (-math.inf, -1), self.best
         while i:
-            if self.best[i] > x:
-                x = self.best[i]
-            i -= i & -i
+            if best[i] > x:
+                x = best[i]
+            i &= i - 1
         return x
 
 
@@ -306,7 +308,7 @@ def chains(x: np.ndarray, y: np.ndarray, gap_cost: float = 0.01, max_gap: int =
 
     A match scores 1 and a step costs gap_cost for each word it moves in either text. x is sorted. Chains are cut where a step exceeds max_gap. Matches that all lie on one diagonal are a chain as they are.
     """
-    if len(x) > 1 and (np.diff(x) > 0).all() and (y - x == y[0] - x[0]).all():
+    if len(x) > 1 and (y - x == y[0] - x[0]).all() and (x[1:] > x[:-1]).all():
         found = [np.arange(len(x))]
     else:
         order = np.lexsort((y, x))
@@ -338,8 +340,11 @@ def chains(x: np.ndarray, y: np.ndarray, gap_cost: float = 0.01, max_gap: int =
                 found.append(order[path[::-1]])
     out = []
     for c in found:
-        cuts = np.flatnonzero((np.diff(x[c]) > max_gap + K) | (np.diff(y[c]) > max_gap + K)) + 1
-        out += [part for part in np.split(c, cuts) if len(part) > 1]
+        if len(c) < 2:
+            continue
+        at, to = x[c], y[c]
+        cuts = np.flatnonzero(np.maximum(at[1:] - at[:-1], to[1:] - to[:-1]) > max_gap + K) + 1
+        out += [part for part in np.split(c, cuts) if len(part) > 1] if len(cuts) else [c]
     return out
 
 
@@ -402,9 +407,15 @@ def _within(mask: np.ndarray, which, *columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunks_of(first: int, last: int) -> tuple[int, int]:
-    """The chunks, from and to, that a chain with these outer positions needs of its reference."""
-    return max(0, first - _PAD) // _CHUNK, (last + K + _PAD) // _CHUNK + 1
+def _parts(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n[i] whole numbers from each first[i] on, one after another: (i, number)."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _chunks_of(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks, from and to, that chains with these outer positions need of their reference."""
+    return np.maximum(0, first - _PAD) // _CHUNK, (last + K + _PAD) // _CHUNK + 1
 
 
 def chain_block(levels, more_bits: int, shards: int, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -444,7 +455,9 @@ def chain_block(levels, more_bits: int, shards: int, own: pd.DataFrame, told: pd
         if not got:
             continue
         refs, sizes, xs, ys = np.array([g[0] for g in got]), np.array([len(g[1]) for g in got], np.int32), np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
-        asked = np.array(sorted({(g[0], c) for g in got for c in range(*_chunks_of(int(g[2][0]), int(g[2][-1])))}))
+        low, high = _chunks_of(np.array([g[2][0] for g in got]), np.array([g[2][-1] for g in got]))
+        of, chunk = _parts(low, high - low)
+        asked = np.array(sorted(set(zip(refs[of].tolist(), chunk.tolist()))))
         words = block.words[starts[d] : starts[d + 1]]
         rows.append((block.block, block.ids[d] if block.known[d] else None, block.texts[d], pack(words, refs, sizes, (xs - starts[d]).astype(np.int32), ys.astype(np.int32)), asked[:, 0], asked[:, 1]))
     out = pd.DataFrame(rows, columns=["block", "doc", "th", "data", "ask_block", "ask_chunk"])
@@ -484,12 +497,6 @@ class Reference:
         self.starts, once = np.unique(starts, return_index=True)
         self.ends, self.ids, self.known = ends[once], np.concatenate(of("ids", np.int64))[once], np.concatenate(of("known", np.uint8))[once]
 
-    def slice(self, first: int, last: int) -> tuple[int, np.ndarray]:
-        """The words that a chain with these outer positions needs, and the position of the first of them."""
-        a, b = _chunks_of(first, last)
-        i, j = np.searchsorted(self.chunks, (a, b))
-        return a * _CHUNK, self.words[i * _CHUNK : j * _CHUNK]  # all chunks before one are whole
-
 
 def banded_edits(a: np.ndarray, b: np.ndarray, band: int = 12) -> int:
     """Edit distance of two short word sequences within a band around the diagonal."""
@@ -513,97 +520,129 @@ def banded_edits(a: np.ndarray, b: np.ndarray, band: int = 12) -> int:
     return row.get(len(b), big)
 
 
-def _grow(same: np.ndarray) -> tuple[int, int]:
-    """How far an end grows over equal words: the length of the best-scoring extension (1 a match, -2 a mismatch), and its mismatches."""
-    if not len(same):
-        return 0, 0
-    score = np.cumsum(np.where(same, 1, -2))
-    k = int(score.argmax())
-    return (k + 1, int((~same[: k + 1]).sum())) if score[k] > 0 else (0, 0)
-
-
-def _grow_on(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """How far both texts grow, and the edits: over equal words, and over one or two words that only one text has where K words or twice as many follow that are equal."""
-    i = j = edits = 0
-    while True:
-        m = min(len(a) - i, len(b) - j)
-        n, more = _grow(a[i : i + m] == b[j : j + m])
-        i, j, edits = i + n, j + n, edits + more
-        for skip in (1, 2):
-            need = skip * K
-            if len(a) >= i + skip + need and (a[i + skip : i + skip + need].tobytes() == b[j : j + need].tobytes()):
-                i, edits = i + skip, edits + skip
-                break
-            if len(b) >= j + skip + need and (a[i : i + need].tobytes() == b[j + skip : j + skip + need].tobytes()):
-                j, edits = j + skip, edits + skip
-                break
-        else:
-            return i, j, edits
-
-
-def _gap_edits(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edits from each seed of a chain to the next."""
-    across, down = np.diff(x), np.diff(y)
-    if (across == down).all():
-        off = np.concatenate([[0], np.cumsum(a[x[0] : x[-1]] != b[y[0] : y[-1]])])
-        edits = np.diff(off[x - x[0]])
-        check = np.flatnonzero(edits >= 3)
-    else:
-        edits, check = np.zeros(len(across), np.int64), range(len(across))
-    for i in check:
-        p, q = a[x[i] : x[i + 1]], b[y[i] : y[i + 1]]
-        differ = int((p != q).sum()) if len(p) == len(q) else None
-        edits[i] = differ if differ is not None and differ < 3 else min(banded_edits(p, q), len(p) + len(q) if differ is None else differ)
-    return edits
+def grow_ends(a: np.ndarray, b: np.ndarray, at: np.ndarray, ref_at: np.ndarray, step: int, room: np.ndarray, ref_room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far ends grow in both texts, and the edits, for many ends at once: from a[at] and b[ref_at] on, forwards (step 1) or back (-1), over at most `room` and `ref_room` words.
 
+    An end grows over its best-scoring extension (1 an equal word, -2 another), and over one or two words that only one text has where K words or twice as many follow that are equal, again and again.
+    """
+    i, j, edits = (np.zeros(len(at), np.int64) for _ in range(3))
+    wide = np.maximum(room, ref_room)
+    order, begin = np.argsort(wide, kind="stable"), 0
+    while begin < len(order):
+        end = max(begin + 1, int(np.searchsorted(wide[order] * np.arange(1 - begin, len(order) + 1 - begin), _CELLS, "right")))
+        some, begin = order[begin:end], end
+        width = int(wide[some].max())
+        if not width:
+            continue
+        steps = np.arange(2 * width + 3 * K)
+        taken = lambda text, at, room, none: np.where(steps < room[some, None], text[np.clip(at[some, None] + step * steps, 0, len(text) - 1)].astype(np.int64), none)  # noqa: B023, E731
+        x, y = taken(a, at, room, -1), taken(b, ref_at, ref_room, -2)  # beyond their ends texts differ
+        go, p, q, e = np.arange(len(some)), *(np.zeros(len(some), np.int64) for _ in range(3))
+        while len(go):
+            from_ = lambda text, at, n: text[go[:, None], at[go, None] + np.arange(n)]  # noqa: B023, E731
+            score = np.cumsum(np.where(from_(x, p, width) == from_(y, q, width), 1, -2), axis=1)
+            k = score.argmax(1)
+            best = score[np.arange(len(go)), k]
+            n = np.where(best > 0, k + 1, 0)
+            p[go] += n
+            q[go] += n
+            e[go] += np.where(best > 0, (n - best) // 3, 0)
+            moved = np.zeros(len(go), bool)
+            for skip in (1, 2):
+                for over, ref_over in ((skip, 0), (0, skip)):
+                    fits = ~moved & (from_(x, p + over, skip * K) == from_(y, q + ref_over, skip * K)).all(1)
+                    p[go[fits]] += over
+                    q[go[fits]] += ref_over
+                    e[go[fits]] += skip
+                    moved |= fits
+            go = go[moved]
+        i[some], j[some], edits[some] = p, q, e
+    return i, j, edits
+
+
+def gap_edits(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, to_x: np.ndarray, to_y: np.ndarray) -> np.ndarray:
+    """Edits between a[x:to_x] and b[y:to_y], for many gaps between seeds at once: words that differ where these are under three, else in a band."""
+    across, down = to_x - x, to_y - y
+    even = np.flatnonzero(across == down)
+    of, left = _parts(x[even], across[even])
+    edits = across + down
+    edits[even] = np.bincount(of[a[left] != b[left + (y - x)[even][of]]], minlength=len(even))
+    for k in np.flatnonzero((across != down) | (edits >= 3)).tolist():
+        edits[k] = min(banded_edits(a[x[k] : to_x[k]], b[y[k] : to_y[k]]), edits[k])
+    return edits
 
-def align(at: np.ndarray, ref_at: np.ndarray, f: int, rf: int, a: np.ndarray, b: np.ndarray, k: int = K) -> tuple[int, int, int, int, int]:
-    """Start, end, reference start, reference end (words) and edits of a chain's alignment; a and b are the padded slices from f and rf."""
-    x, y = at.astype(np.int64) - f, ref_at.astype(np.int64) - rf
-    edits = _gap_edits(x, y, a, b).sum() if len(x) > 1 else 0
-    left, ref_left, more = _grow_on(a[: x[0]][::-1], b[: y[0]][::-1])
-    right, ref_right, again = _grow_on(a[x[-1] + k :], b[y[-1] + k :])
-    return int(at[0] - left), int(at[-1] + k + right), int(ref_at[0] - ref_left), int(ref_at[-1] + k + ref_right), int(edits + more + again)
 
+def align_many(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, sizes: np.ndarray, bounds: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """Alignments of many chains at once: chain, start, end, reference start, reference end, edits. Chains stand in x and y, `sizes` seeds of K words each, as places in the texts a and b; bounds has the first place and the end of the words that each may grow into, in a and then in b.
 
-def align_parts(at: np.ndarray, ref_at: np.ndarray, f: int, rf: int, a: np.ndarray, b: np.ndarray, similarity: float) -> list[tuple[int, int, int, int, int]]:
-    """align() of a chain, or of its parts where the whole is below similarity: it is parted at the gap with most edits for its words."""
-    got = align(at, ref_at, f, rf, a, b)
-    if len(at) == 1 or got[4] <= (1 - similarity) * max(got[1] - got[0], got[3] - got[2]):
-        return [got]
-    x, y = at.astype(np.int64), ref_at.astype(np.int64)
-    loss = (1 - similarity) * np.maximum(np.diff(x), np.diff(y)) - _gap_edits(x - f, y - rf, a, b)
-    cut_at = int(np.argmin(loss)) + 1
-    return align_parts(at[:cut_at], ref_at[:cut_at], f, rf, a, b, similarity) + align_parts(at[cut_at:], ref_at[cut_at:], f, rf, a, b, similarity)
+    A chain below similarity is parted at the gap with most edits for its words, and so are its parts. Gaps are aligned once for all parts.
+    """
+    hi = np.cumsum(sizes)
+    lo, chain = hi - sizes, np.arange(len(sizes))
+    inner = np.setdiff1d(np.arange(len(x)), hi - 1, assume_unique=True)  # seeds with another behind them
+    edits = np.zeros(len(x), np.int64)
+    edits[inner] = gap_edits(a, b, x[inner], y[inner], x[inner + 1], y[inner + 1])
+    loss = np.zeros(len(x))
+    loss[inner] = (1 - similarity) * np.maximum(x[inner + 1] - x[inner], y[inner + 1] - y[inner]) - edits[inner]
+    upto, out = np.concatenate([[0], np.cumsum(edits)]), []
+    while len(lo):
+        f, t, rf, rt = bounds[chain].T
+        (x0, y0), (x1, y1) = (x[lo], y[lo]), (x[hi - 1] + K, y[hi - 1] + K)
+        left, ref_left, more = grow_ends(a, b, x0 - 1, y0 - 1, -1, x0 - f, y0 - rf)
+        right, ref_right, again = grow_ends(a, b, x1, y1, 1, np.maximum(t - x1, 0), np.maximum(rt - y1, 0))
+        found = np.stack([chain, x0 - left, x1 + right, y0 - ref_left, y1 + ref_right, upto[hi - 1] - upto[lo] + more + again])
+        ok = (hi - lo == 1) | (found[5] <= (1 - similarity) * np.maximum(found[2] - found[1], found[4] - found[3]))
+        out.append(found[:, ok])
+        lo, hi, chain = lo[~ok], hi[~ok], chain[~ok]
+        at = np.array([s + 1 + int(np.argmin(loss[s : e - 1])) for s, e in zip(lo.tolist(), hi.tolist())], np.int64)
+        lo, hi, chain = np.concatenate([lo, at]), np.concatenate([at, hi]), np.concatenate([chain, chain])
+    return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 6
+
+
+def _aligned(similarity: float, docs: list[tuple], have: dict[int, Reference], first: dict[int, int], b: np.ndarray) -> pd.DataFrame:
+    """Aligned pieces of some documents (id, text hash, packed chains), whose references stand one after another in b, from `first` on."""
+    held = [unpack(d[2]) for d in docs]
+    own = np.cumsum([0, *(len(h[0]) for h in held)])  # where each document begins in a
+    a = np.concatenate([h[0] for h in held])
+    refs, sizes = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (1, 2))
+    of = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+    x, y = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (3, 4))
+    seed_of = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.cumsum(sizes)
+    low, high = _chunks_of(y[ends - sizes], y[ends - 1])
+    d, start, end, shift = (np.zeros(n, np.int64) for n in (len(y), len(y), len(y), len(sizes)))
+    for ref in np.unique(refs).tolist():
+        known, mine = have[ref], refs == ref
+        shift[mine] = first[ref] + (np.searchsorted(known.chunks, low[mine]) - low[mine]) * _CHUNK  # a chain's chunks stand in a row, and all before them are whole
+        here = mine[seed_of]
+        d[here] = at = np.searchsorted(known.starts, y[here], "right") - 1
+        start[here], end[here] = known.starts[at], known.ends[at]
+    new = np.flatnonzero(np.concatenate([[True], (seed_of[1:] != seed_of[:-1]) | (d[1:] != d[:-1])]))  # neighbours in a block may share one chain, a part for each
+    last = np.append(new[1:], len(y)) - 1
+    chain, doc = seed_of[new], of[seed_of[new]]
+    move, ref_move = own[doc], shift[chain]
+    bounds = np.stack([np.maximum(0, x[new] - _PAD), np.minimum(np.diff(own)[doc], x[last] + K + _PAD), np.maximum(np.maximum(low[chain] * _CHUNK, start[new]), y[new] - _PAD), np.minimum(end[new], y[last] + K + _PAD)], axis=1)
+    bounds += np.stack([move, move, ref_move, ref_move], axis=1)
+    n, s, e, rs, re_, edits = align_many(a, b, x + own[of[seed_of]], y + shift[seed_of], last - new + 1, bounds, similarity)
+    ok = (e - s >= _FRAGMENT) & (edits <= (1 - similarity) * np.maximum(e - s, re_ - rs))
+    n, s, e, rs, re_, edits = (v[ok] for v in (n, s, e, rs, re_, edits))
+    to = [(have[r].ids[k], have[r].known[k]) for r, k in zip(refs[chain[n]].tolist(), d[new[n]].tolist())]
+    ids = [docs[k][0] for k in doc[n].tolist()]
+    begin = ref_move[n] + start[new[n]]
+    return pd.DataFrame({
+        "doc": pd.array(ids, dtype="Int64"), "th": np.array([docs[k][1] for k in doc[n].tolist()], np.int64), "ref": pd.array([int(i) if k else None for i, k in to], dtype="Int64"),
+        "start": s - move[n], "end": e - move[n], "ref_start": rs - begin, "ref_end": re_ - begin, "edits": edits,
+    })
 
 
 def align_block(similarity: float, chained: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
     """Aligned pieces of a block's documents, of _FRAGMENT words or more and at similarity or more."""
     have = {block: Reference(g) for block, g in chunks.groupby("ask_block")}
-    rows = []
-    for doc, th, data in zip(chained["doc"].array, chained["th"], chained["data"]):
-        doc = None if pd.isna(doc) else int(doc)
-        words, refs, sizes, at, ref_at = unpack(data)
-        upto = np.cumsum(sizes)
-        for ref, i, j in zip(refs.tolist(), (upto - sizes).tolist(), upto.tolist()):
-            x, y, known = at[i:j].astype(np.int64), ref_at[i:j].astype(np.int64), have[ref]
-            base, text = known.slice(int(y[0]), int(y[-1]))
-            d, last = np.searchsorted(known.starts, (y[0], y[-1]), "right") - 1
-            of = np.full(len(y), d) if d == last else np.searchsorted(known.starts, y, "right") - 1
-            for d in range(d, last + 1):  # neighbours in a block may share one chain
-                px, py = (x, y) if of[0] == of[-1] else (x[of == d], y[of == d])
-                if not len(px):
-                    continue
-                begin = int(known.starts[d])
-                f, rf = max(0, int(px[0]) - _PAD), max(base, begin, int(py[0]) - _PAD)
-                t, rt = int(px[-1]) + K + _PAD, min(int(known.ends[d]), int(py[-1]) + K + _PAD)
-                for s, e, rs, re_, edits in align_parts(px, py, f, rf, words[f:t], text[rf - base : rt - base], similarity):
-                    if e - s >= _FRAGMENT and edits <= (1 - similarity) * max(e - s, re_ - rs):
-                        rows.append((doc, th, int(known.ids[d]) if known.known[d] else None, s, e, rs - begin, re_ - begin, edits))
-    out = pd.DataFrame(rows, columns=["doc", "th", "ref", "start", "end", "ref_start", "ref_end", "edits"])
-    for k, c in ((0, "doc"), (2, "ref")):
-        out[c] = pd.array([r[k] for r in rows], dtype="Int64")
-    return out
+    begins = np.cumsum([0, *(len(r.words) for r in have.values())]).tolist()
+    first, b = dict(zip(have, begins)), np.concatenate([np.zeros(0, np.uint32), *(r.words for r in have.values())])
+    docs = [(None if pd.isna(i) else int(i), th, data) for i, th, data in zip(chained["doc"].array, chained["th"], chained["data"])]
+    out = [_aligned(similarity, docs[k : k + _TOGETHER], have, first, b) for k in range(0, len(docs), _TOGETHER)]
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["doc", "th", "ref", "start", "end", "ref_start", "ref_end", "edits"])
 
 
 def text_hash(text_col: str = "text"):
