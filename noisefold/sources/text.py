@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +33,20 @@ def split_matrix(spark: SparkSession, root: str, parts: tuple[str, ...] = ("trai
     return out
 
 
+def _dense(index: Column, number: Column, width: int) -> Column:
+    """Arrays of `width` doubles with each number at its index (from 1); others are 0. Null indices are left out, null numbers are 0, of repeated indices the last counts."""
+
+    @F.arrow_udf("array<double>")
+    def dense(index: pa.Array, number: pa.Array) -> pa.Array:
+        rows = len(index)
+        out, row = np.zeros((rows, width)), np.repeat(np.arange(rows), pc.list_value_length(index).to_numpy())
+        at = pc.fill_null(index.flatten(), 0).to_numpy(zero_copy_only=False)
+        out[row[at > 0], at[at > 0] - 1] = number.flatten().to_numpy(zero_copy_only=False)[at > 0]
+        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(out.ravel()))
+
+    return dense(index, number)
+
+
 def sparse_rows(rows: DataFrame, width: int = 128, value: str = "value") -> DataFrame:
     """label (zero based), concentration and dense features of lines `class;concentration index:value ...`.
 
@@ -40,12 +57,12 @@ def sparse_rows(rows: DataFrame, width: int = 128, value: str = "value") -> Data
     head = F.split(F.element_at(tokens, 1), ";")
     entry = lambda t: F.struct(F.element_at(F.split(t, ":"), 1).cast("int").alias("i"), F.element_at(F.split(t, ":"), 2).cast("double").alias("x"))
     parsed = F.transform(F.filter(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: F.instr(t, ":") > 0), entry)
-    # A lambda's argument is evaluated once, so the entries are parsed once for all positions.
-    bound = lambda f: F.transform(F.array(parsed), f)[0]
-    outside = bound(lambda p: F.exists(p, lambda e: ~e["i"].between(1, width)))
-    dense = bound(lambda p: F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.coalesce(F.try_element_at(F.filter(p, lambda e: e["i"] == i), F.lit(-1))["x"], F.lit(0.0))))
-    checked = F.when(F.size(head) < 2, F.raise_error(F.concat(F.lit("no class;concentration: "), text)).cast(T.ArrayType(T.DoubleType()))).when(outside, F.raise_error(F.concat(F.lit("index out of range: "), text)).cast(T.ArrayType(T.DoubleType()))).otherwise(dense)
-    return rows.where(text != "").withColumn("features", checked).withColumn("label", F.element_at(head, 1).cast("int") - 1).withColumn("concentration", F.try_element_at(head, F.lit(2)).cast("double")).drop(value)
+    held = rows.where(text != "").withColumn("_parsed", parsed)
+    error = lambda what: F.raise_error(F.concat(F.lit(what), text)).cast(T.ArrayType(T.IntegerType()))
+    index = F.transform("_parsed", lambda e: e["i"])
+    checked = F.when(F.size(head) < 2, error("no class;concentration: ")).when(F.exists(index, lambda i: ~i.between(1, width)), error("index out of range: ")).otherwise(index)
+    dense = _dense(checked, F.transform("_parsed", lambda e: F.coalesce(e["x"], F.lit(0.0))), width)
+    return held.withColumn("features", dense).drop("_parsed").withColumn("label", F.element_at(head, 1).cast("int") - 1).withColumn("concentration", F.try_element_at(head, F.lit(2)).cast("double")).drop(value)
 
 
 def sparse_files(spark: SparkSession, glob: str, width: int = 128) -> DataFrame:
