@@ -55,6 +55,9 @@ class WordHashes(dict):
         return h
 
 
+_known = WordHashes()  # of this process: most words of a task were in the one before
+
+
 def word_hashes(text: str, known: WordHashes) -> np.ndarray:
     words = text.split()
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -174,7 +177,7 @@ class Block:
 
 def make_blocks(block_words: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Over documents sorted by id and text hash: a row per block. Rows with equal id and text are one document; blocks of a task are numbered on."""
-    known, base, last = WordHashes(), TaskContext.get().partitionId() << 32, None
+    known, base, last = _known, TaskContext.get().partitionId() << 32, None
     ids, texts, words, size = [], [], [], 0
 
     def row() -> pd.DataFrame:

@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pandas as pd
 
 from noisefold.llm import substring
 from noisefold.llm.substring import K
@@ -93,3 +94,13 @@ def test_parts_and_gaps_as_one_by_one():
     want = sorted((c, s + bounds[c][0], e + bounds[c][0], rs + bounds[c][2], re_ + bounds[c][2], n) for c, v in enumerate(at) for s, e, rs, re_, n in parts(*v))
     got = substring.align_many(np.concatenate(a), np.concatenate(b), np.array(x), np.array(y), np.array(sizes), np.array(bounds), 0.8)
     assert sorted(zip(*(v.tolist() for v in got))) == want and len(want) > 60
+
+
+def test_words_are_hashed_once_for_all_tasks_of_a_process(monkeypatch):
+    calls = []
+    real = substring.xxh64_intdigest
+    monkeypatch.setattr(substring, "xxh64_intdigest", lambda w: calls.append(w) or real(w))
+    monkeypatch.setattr(substring, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    docs = pd.DataFrame({"id": [1], "th": [2], "text": ["some words Words, that nobody has hashed before"]})
+    first, second = (list(substring.make_blocks(1 << 18, iter([docs])))[0] for _ in range(2))
+    assert first.equals(second) and 0 < len(calls) <= 8
