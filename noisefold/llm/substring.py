@@ -9,13 +9,17 @@ How it is spread: documents are dealt by ranges of (id, hash of the text) to blo
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import pickle
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -40,22 +44,56 @@ _STRETCH_STEP = 20  # words between seeds of a stretch that are chained
 _STRETCH_GAP = K + 1  # words from one seed to the next within a stretch: one word between them may differ
 _REPEAT = 50  # words within which equal seeds of one document are a run
 _CELLS = 1 << 20  # words of ends that grow together
+_SPLIT = 1 << 22  # characters of the texts that are split together
+_HELD = 32 << 20  # bytes of freed memory that a worker keeps
 _TOGETHER = 500  # documents that are aligned together
 _LEAST = 7  # k-mers that MIN_WORDS words at SIMILARITY share: 40 equal words in at most 11 runs, of which each loses K - 1
 
 
+@cache
+def hold_memory() -> None:
+    """Have this process keep up to _HELD bytes that it freed, and take arrays of that size from them: a block's arrays come and go by the hundred, and to clear their pages each time costs about a quarter of the work. Without such a setting in the C library all stays as it is."""
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        mallopt = ctypes.CDLL(None).mallopt
+        for which in (-3, -1):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            mallopt(which, _HELD)
+
+
+_ENDS = ".,;:!?\"'()[]{}<>*#%$&|-_/\\«»“”„’‘…"
+
+
 class WordHashes(dict):
     """Hash of a word as compared: lower case, without punctuation at its ends."""
 
     def __missing__(self, word: str) -> int:
-        bare = word.lower().strip(".,;:!?\"'()[]{}<>*#%$&|-_/\\«»“”„’‘…")
         if len(self) > 200_000:
             self.clear()
-        self[word] = h = xxh64_intdigest(bare or word)
+        self[word] = h = xxh64_intdigest(word.lower().strip(_ENDS) or word)
         return h
 
 
-_known = WordHashes()  # of this process: most words of a task were in the one before
+class KnownWords:
+    """Words and their hashes as WordHashes has them, looked up many at a time; at most `most`, or the last ones asked for."""
+
+    def __init__(self, most: int = 100_000):
+        self.most, self.words, self.hashes = most, pa.array([], pa.large_string()), np.zeros(0, np.uint64)
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        """Hashes of distinct words."""
+        at = pc.index_in(words, value_set=self.words)
+        lost = at.is_null()
+        new, missing = words.filter(lost), lost.to_numpy(zero_copy_only=False)
+        out = np.empty(len(words), np.uint64)
+        out[~missing] = self.hashes[at.drop_null().to_numpy()]
+        out[missing] = [xxh64_intdigest(w.lower().strip(_ENDS) or w) for w in new.to_numpy(zero_copy_only=False).tolist()]
+        if len(self.words) + len(new) > self.most:
+            self.words, self.hashes = words, out
+        elif len(new):
+            self.words, self.hashes = pa.concat_arrays([self.words, new]), np.concatenate([self.hashes, out[missing]])
+        return out
+
+
+_known = KnownWords()  # of this process: most words of a task were in the one before
 
 
 def word_hashes(text: str, known: WordHashes) -> np.ndarray:
@@ -63,6 +101,24 @@ def word_hashes(text: str, known: WordHashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def many_word_hashes(texts: list[str], known: KnownWords) -> Iterator[np.ndarray]:
+    """word_hashes of each text. Texts are split together, _SPLIT characters at a time, and each distinct word of these is hashed once; Arrow splits at the white space that str.split does."""
+    begin = 0
+    while begin < len(texts):
+        end, size = begin + 1, len(texts[begin])
+        while end < len(texts) and size + len(texts[end]) <= _SPLIT:
+            size += len(texts[end])
+            end += 1
+        split = pc.utf8_split_whitespace(pa.array(texts[begin:end], pa.large_string()))
+        words, begin = split.flatten().dictionary_encode(), end
+        names, at = words.dictionary, words.indices.to_numpy()
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        if (none := pc.index(names, "").as_py()) >= 0:  # what Arrow finds before white space that begins a text and behind that which ends it
+            there = at != none
+            ends, at = np.concatenate([[0], np.cumsum(there)])[ends], at[there]
+        yield from np.split(known.of(names)[at], ends[:-1])
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes; equal places of the numbers stand together, which compresses."""
     return zstandard.compress(pickle.dumps([(a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()) for a in arrays]), 1)
@@ -75,14 +131,24 @@ def unpack(data: bytes) -> list[np.ndarray]:
 # ---- seeds ----
 
 
+def _polynomials(words: np.ndarray, k: int) -> np.ndarray:
+    """Of each k words in a row w: the sum of w[j] * base ** (k - 1 - j) mod 2 ** 64, by doubling."""
+    base, out, have = 0x9E3779B97F4A7C15, words.astype(np.uint64), 1
+    for bit in bin(k)[3:]:
+        more = out[:-have] * np.uint64(pow(base, have, 1 << 64))
+        more += out[have:]
+        out, have = more, 2 * have
+        if bit == "1":
+            out, have = out[:-1] * np.uint64(base) + words[have:], have + 1
+    return out
+
+
 def minimizers(words: np.ndarray, k: int = K, window: int = 1, doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the k-mers that are smallest in some window of consecutive k-mers; windows are shorter at the ends of a document. doc has the words' documents where there are several. The last bit of a hash tells whether it is of more than K words."""
     n = len(words) - k + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+    h = _polynomials(words, k)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -102,9 +168,7 @@ def pairs(words: np.ndarray, doc: np.ndarray, share: int = _PAIR_SHARE) -> tuple
     n = len(words) - K + 1
     if n <= K:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    one = np.zeros(n, np.uint64)
-    for j in range(K):
-        one = one * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+    one = _polynomials(words, K)
     one ^= one >> np.uint64(32)
     pos, found = [], []
     for gap in (0, 1):
@@ -127,7 +191,9 @@ def in_order(pos: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarra
     order = np.sort((h >> low << low) | np.arange(len(h), dtype=np.uint64)) & ((np.uint64(1) << low) - np.uint64(1))
     by, of = pos[order], h[order]
     new = np.ones(len(by), bool)
-    new[1:] = (of[1:] != of[:-1]) | (np.diff(by) > _REPEAT) | (doc[by[1:]] != doc[by[:-1]])
+    again = np.flatnonzero(of[1:] == of[:-1]) + 1
+    now, then = by[again], by[again - 1]
+    new[again] = (now - then > _REPEAT) | (doc[now] != doc[then])
     if not new.all():
         step = (by - by[np.flatnonzero(new)][np.cumsum(new) - 1]) // _RUN_STEP
         new[1:] |= step[1:] != step[:-1]
@@ -149,6 +215,7 @@ class Block:
     """The documents of a block: ids, text hashes, the first word of each, and the words."""
 
     def __init__(self, block: int, data: bytes):
+        hold_memory()
         self.block = block
         self.known, self.ids, self.texts, self.starts, names, codes = unpack(data)
         self.words = names[codes]
@@ -156,7 +223,14 @@ class Block:
     @staticmethod
     def data(ids: list[int | None], texts: list[int], words: list[np.ndarray]) -> bytes:
         """Words are written as places in the block's own list, the frequent ones first."""
-        names, where, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        every = np.concatenate(words)
+        by = np.sort(every.astype(np.uint64) << np.uint64(32) | np.arange(len(every), dtype=np.uint64))  # words with their places, which is faster than an argsort
+        sorted_ = (by >> np.uint64(32)).astype(np.uint32)
+        new = np.ones(len(by), bool)
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        names, times = sorted_[new], np.diff(np.append(np.flatnonzero(new), len(by)))
+        where = np.empty(len(by), np.int64)
+        where[by & np.uint64(0xFFFFFFFF)] = np.cumsum(new) - 1
         order = np.argsort(-times, kind="stable")
         place = np.empty(len(names), np.uint32)
         place[order] = np.arange(len(names))
@@ -177,6 +251,7 @@ class Block:
 
 def make_blocks(block_words: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Over documents sorted by id and text hash: a row per block. Rows with equal id and text are one document; blocks of a task are numbered on."""
+    hold_memory()
     known, base, last = _known, TaskContext.get().partitionId() << 32, None
     ids, texts, words, size = [], [], [], 0
 
@@ -184,12 +259,12 @@ def make_blocks(block_words: int, batches: Iterator[pd.DataFrame]) -> Iterator[p
         return pd.DataFrame({"block": [base], "n": [size], "data": [Block.data(ids, texts, words)]})
 
     for pdf in batches:
-        for i, th, text in zip(pdf["id"].array, pdf["th"], pdf["text"]):
+        for i, th, all_words in zip(pdf["id"].array, pdf["th"], many_word_hashes(pdf["text"].tolist(), known)):
             i = None if pd.isna(i) else int(i)
             if (i, th) == last:
                 continue
             last = (i, th)
-            own = (word_hashes(text, known) >> np.uint64(32)).astype(np.uint32)
+            own = (all_words >> np.uint64(32)).astype(np.uint32)
             if not len(own):
                 continue
             if size and size + len(own) > block_words:
@@ -640,6 +715,7 @@ def _aligned(similarity: float, docs: list[tuple], have: dict[int, Reference], f
 
 def align_block(similarity: float, chained: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
     """Aligned pieces of a block's documents, of _FRAGMENT words or more and at similarity or more."""
+    hold_memory()
     have = {block: Reference(g) for block, g in chunks.groupby("ask_block")}
     begins = np.cumsum([0, *(len(r.words) for r in have.values())]).tolist()
     first, b = dict(zip(have, begins)), np.concatenate([np.zeros(0, np.uint32), *(r.words for r in have.values())])

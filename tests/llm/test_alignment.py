@@ -1,6 +1,9 @@
 """Alignments of many chains at once against one after another."""
 
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -104,3 +107,33 @@ def test_words_are_hashed_once_for_all_tasks_of_a_process(monkeypatch):
     docs = pd.DataFrame({"id": [1], "th": [2], "text": ["some words Words, that nobody has hashed before"]})
     first, second = (list(substring.make_blocks(1 << 18, iter([docs])))[0] for _ in range(2))
     assert first.equals(second) and 0 < len(calls) <= 8
+
+
+def test_texts_are_split_and_hashed_together_as_one_by_one():
+    """At any white space that str.split knows, with words in any case, over slices and forgotten words."""
+    spaces = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+    texts = [f"a{s}B,{s}{s}a" for s in spaces] + ["", " ", spaces, " Ärger  ärger. ", "...", "İx ß ſ ςΣ «q»", "x" * 50, *(f"n{i} N{i}! m{i % 7}" for i in range(300))]
+    want = [substring.word_hashes(t, substring.WordHashes()).tolist() for t in texts]
+    for most in (0, 20, 100_000):
+        known = substring.KnownWords(most)
+        assert [[h.tolist() for h in substring.many_word_hashes(texts, known)] for _ in range(2)] == [want, want]
+        assert len(known.words) == len(known.hashes)
+
+
+def test_blocks_reuse_the_memory_of_their_arrays():
+    """Arrays that come and go by the hundred don't clear their pages anew each time: under a page for each hundred words of a block, of which the seeds are made three times."""
+    code = """
+import resource
+import numpy as np
+from noisefold.llm import substring
+words = np.random.default_rng(1).integers(0, 1 << 32, 200_000, dtype=np.uint32)
+data = substring.Block.data(list(range(400)), list(range(400)), np.split(words, 400))
+faults = []
+for _ in range(4):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    substring.Block(0, data).seeds(substring.LEVELS)
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+print(sum(faults[1:]))
+"""
+    root = Path(__file__).parents[2]
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) < 2000
