@@ -3,9 +3,11 @@
 import itertools
 import os
 import random
+import threading
 import time
 
 import numpy as np
+import psutil
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -312,6 +314,44 @@ def test_radius_joins_where_all_is_near(spark, monkeypatch):
         points.unpersist()
 
 
+def test_radius_graph_takes_little_memory_where_all_is_near(spark):
+    """3,000 rows, as many as the density scan takes, at a radius that a twentieth of the pairs are within: no worker grows by more than 300 MB."""
+    x = np.random.default_rng(8).normal(0, 1, (3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = np.sort(np.concatenate([np.sqrt(((x[i + 1 :] - x[i]) ** 2).sum(1)) for i in range(len(x))]))
+    radius = float(near[len(near) // 20])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>").persist()
+    points.count()
+
+    def held():
+        out = {}
+        for p in psutil.Process().children(recursive=True):
+            try:
+                if "python" in p.name():
+                    out[p.pid] = p.memory_info().rss
+            except psutil.Error:
+                pass
+        return out
+
+    before, most, done = held(), {}, threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            for pid, rss in held().items():
+                most[pid] = max(most.get(pid, 0), rss)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        links = alternatives.radius_graph(points, radius).count()
+    finally:
+        done.set()
+        watcher.join()
+        points.unpersist()
+    assert links == (near <= radius).sum()
+    assert most and max(rss - before.get(pid, 0) for pid, rss in most.items()) < 300e6
+
+
 def whole_graph(spark, tiny):
     rows = catalog._e(spark, tiny).select("row_id", "features").orderBy("row_id").collect()
     x = np.array([r["features"] for r in rows], float)
